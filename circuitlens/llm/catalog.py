@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from circuitlens.llm import bpe
 from circuitlens.llm.common import read
+from circuitlens.llm import simhash
 from circuitlens.llm.token_counts import count_tokens
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -25,7 +30,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe, "op8_token_counts": op8_token_counts}
+    return {"op2_simhash": op2_simhash, "op4_bpe": op4_bpe, "op8_token_counts": op8_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
