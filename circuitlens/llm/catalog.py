@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from circuitlens.llm import bpe, quality_rules, secrets, simhash
+from circuitlens.llm import bpe, licenses, quality_rules, secrets, simhash
 from circuitlens.llm.common import read
 from circuitlens.llm.token_counts import count_tokens
 
@@ -36,10 +36,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op4_bpe, op6_quality_rules, op7_secrets, op8_token_counts)
+    found = (op2_simhash, op4_bpe, op6_quality_rules, op7_secrets, op8_token_counts, op10_license_scan)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE}
+    return {"op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle()}
