@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from circuitlens.llm import bpe, licenses, quality_rules, secrets, simhash
+from circuitlens.llm import bpe, licenses, quality_rules, secrets, simhash, url_filter
 from circuitlens.llm.common import read
 from circuitlens.llm.token_counts import count_tokens
 
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -41,9 +45,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op4_bpe, op6_quality_rules, op7_secrets, op8_token_counts, op10_license_scan)
+    found = (op2_simhash, op3_url_filter, op4_bpe, op6_quality_rules, op7_secrets, op8_token_counts, op10_license_scan)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle()}
+    return {"op3_url_filter": url_filter.oracle(), "op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle()}
