@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from circuitlens.llm import bpe, licenses, quality_rules, secrets, simhash, url_filter
+from circuitlens.llm import bpe, embeddings, licenses, mixing, quality_rules, secrets, simhash, url_filter
 from circuitlens.llm.common import read
 from circuitlens.llm.token_counts import count_tokens
 
@@ -28,6 +28,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents")).drop("removed", "digest")
 
@@ -40,14 +44,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op3_url_filter, op4_bpe, op6_quality_rules, op7_secrets, op8_token_counts, op10_license_scan)
+    found = (op2_simhash, op3_url_filter, op4_bpe, op5_embeddings, op6_quality_rules, op7_secrets, op8_token_counts, op9_mixing, op10_license_scan)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle()}
+    return {"op3_url_filter": url_filter.oracle(), "op5_embeddings": embeddings.ORACLE, "op9_mixing": mixing.oracle(), "op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,22 @@ def text_blocks(batches: Iterable[pa.RecordBatch], limit: int = 4_000_000, colum
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows with equal ``keys``, of which no key is null, from batches sorted by them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        if not table.num_rows:
+            continue
+        changed = np.zeros(table.num_rows, bool)
+        for key in keys:
+            values = table.column(key).to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        starts = [0, *np.flatnonzero(changed).tolist()]
+        for a, b in zip(starts, starts[1:]):
+            yield table.slice(a, b - a)
+        held = table.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held
