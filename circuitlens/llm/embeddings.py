@@ -188,7 +188,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     groups = components(found.where("b is not null"))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     linked = counts.join(groups, "node", "left")
-    known = distinct.join(linked, distinct.first == linked.node, "left").select("label", "vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component"))
+    known = distinct.join(linked, distinct["first"] == linked["node"], "left").select("label", "vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component"))
     known = checkpointed(known)  # so that the next join shuffles both sides and can split a vector of many copies
     good = rows.where("usable").join(known, ["label", "vec"]).select("id", "n_links", F.coalesce("component", "id").alias("component_id"))
     lone = rows.where("not usable").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from circuitlens.llm.common import checkpointed
+from circuitlens.llm.common import Rounds, checkpointed
 
 ROUNDS, SETTLE_ROUNDS = 12, 40
 #: Share of all tokens to keep, and the targets: a power of the observed shares, or weights by value.
@@ -43,7 +43,7 @@ def rake(cells: DataFrame, targets: Mapping = TARGETS, rounds: int = ROUNDS) ->
 
     Each step scales the weights of one dimension to its target marginal; the
     sums are combined before the shuffle and the factors, one a value, are
-    joined back. A round ends in a checkpoint. Everything works on cells, of
+    joined back. A round ends in a written table. Everything works on cells, of
     which there are as many as combinations of values, not as documents.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -54,12 +54,13 @@ def rake(cells: DataFrame, targets: Mapping = TARGETS, rounds: int = ROUNDS) ->
         raw = checkpointed(shares.select(dim, _target(dim, targets).alias("raw")))
         scale = raw.agg(F.sum("raw")).first()[0] or 1.0
         wanted[dim] = raw.select(dim, (F.col("raw") / F.lit(scale) * F.lit(float(total))).alias("want"))
+    keep = Rounds(cells.sparkSession)
     for _ in range(rounds):
         for dim in DIMS:
             factors = cells.groupBy(dim).agg(F.sum("w").alias("have")).join(wanted[dim], dim).select(dim, (F.col("want") / F.col("have")).alias("factor"))
             cells = cells.join(factors, dim).select(*DIMS, "tokens", (F.col("w") * F.col("factor")).alias("w"))
-        cells = checkpointed(cells)
-    return cells
+        cells = keep(cells)
+    return keep.close(cells)
 
 
 def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
