@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from circuitlens.llm import bpe, embeddings, licenses, mixing, quality_rules, secrets, simhash, url_filter
+from circuitlens.llm import bpe, embeddings, licenses, mixing, quality_model, quality_rules, secrets, simhash, url_filter
 from circuitlens.llm.common import read
 from circuitlens.llm.token_counts import count_tokens
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_model.classify(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op3_url_filter, op4_bpe, op5_embeddings, op6_quality_rules, op7_secrets, op8_token_counts, op9_mixing, op10_license_scan)
+    found = (op1_quality, op2_simhash, op3_url_filter, op4_bpe, op5_embeddings, op6_quality_rules, op7_secrets, op8_token_counts, op9_mixing, op10_license_scan)
     return {query.__name__: query for query in found}
 
 
