@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,7 +39,7 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(read(spark, sf_dir, "documents")).drop("removed", "digest")
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents")).drop("removed", "digest", "host")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_quality, op2_simhash, op3_url_filter, op4_bpe, op5_embeddings, op6_quality_rules, op7_secrets, op8_token_counts, op9_mixing, op10_license_scan)
-    return {query.__name__: query for query in found}
+    return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -83,7 +83,7 @@ def quality_rules(
 
     Returns ``id_col``, the five figures, base_failed, n_removed_words, kept
     (neither base_failed nor depleted), removed (hashes of its removed lines,
-    see ``line_key``) and digest (of the text). Null texts count as empty and
+    see ``line_key``), digest (of the text) and host. Null texts count as empty and
     fail the base rules; null hosts are one host; null ids stay and never hold
     a line first; repeated rows are copies. Other columns are not read.
     """
@@ -116,7 +116,7 @@ def quality_rules(
     depleted = (F.col("n_words") - F.col("n_removed_words")) < min_left * F.col("n_words")
     return judged.select(
         F.col("id").alias(id_col), *METRICS, failed.alias("base_failed"), "n_removed_words", (~failed & ~depleted).alias("kept"),
-        F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"), "digest",
+        F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"), "digest", "host",
     )
 
 
@@ -157,3 +157,19 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
     (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ((n_words - n_removed_words) < 0.3 * n_words)) AS kept
 FROM j
 """
+
+
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
+    """The documents that the rules keep, all columns, without the lines above the limits.
+
+    A verdict belongs to an id, host and text, so repeated rows share it; null
+    ids and hosts meet their own verdicts.
+    """
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
+    own = docs.withColumns({"__id": F.col(id_col), "__host": host, "__digest": F.md5(F.coalesce(F.col(text_col), F.lit("")))})
+    judged = quality_rules(own, id_col, text_col, "__host", **limits).where("kept")
+    judged = judged.select(F.col(id_col).alias("__v_id"), F.col("digest").alias("__v_digest"), F.col("host").alias("__v_host"), F.col("removed").alias("__removed")).dropDuplicates(["__v_id", "__v_digest", "__v_host"])
+    same = own["__id"].eqNullSafe(judged["__v_id"]) & (own["__digest"] == judged["__v_digest"]) & (own["__host"] == judged["__v_host"])
+    lines = F.filter(F.split(text_col, "\n"), lambda line: ~F.array_contains(F.col("__removed"), line_key(line)))
+    cleaned = F.when(F.size("__removed") > 0, F.array_join(lines, "\n")).otherwise(F.col(text_col))
+    return own.join(judged, same).select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -211,3 +211,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hexed = F.lower(F.lpad(F.hex("bits"), 16, "0"))
     return left.join(right, ["bits", "salt"]).select(F.col("__id").alias(id_col), hexed.alias("fingerprint"), F.col("smallest").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id, with all its columns.
+
+    Repeated rows of it are one document. A group in which no document has an
+    id can't name one; its rows stay.
+    """
+    grouped = near_duplicates(docs, id_col, text_col)
+    first = grouped.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    nameless = grouped.where(F.col("component_id").isNull()).select(F.col("fingerprint")).distinct()
+    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    marks = fingerprints(docs.where(F.col(id_col).isNull()), text_col, text_col).select(F.col(text_col).alias("__text"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"))
+    lone = marks.join(nameless, "fingerprint", "left_semi").select("__text").distinct()
+    rest = docs.where(F.col(id_col).isNull())
+    return kept.unionByName(rest.join(lone, rest[text_col].eqNullSafe(lone["__text"]), "left_semi"))

@@ -1,4 +1,67 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: five stages over ``documents``, each handing a Parquet table to the next."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from circuitlens.llm import bpe, mixing, quality_rules, secrets, simhash
+from circuitlens.llm.common import read, shared_folder
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: rejected documents go, and so do lines above the limits."""
+    return _sized(quality_rules.apply_rules(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: one document of each group stays."""
+    return simhash.deduplicate(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: all documents stay, with their secrets hidden."""
+    return _sized(secrets.redact(docs))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: the documents that are drawn stay."""
+    return mixing.sample(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: token ids of every document, and a digest of the bytes that they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.col("ids").alias("token_ids"), "ids"), ranks)
+    return decoded.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", rules),
+    ("SimHash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mixture),
+    ("byte-level BPE encoding and decoding", tokenize),
+]
+
+#: SQL expresses neither the fingerprints nor the tokenizer; the tests compare with a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table; each result but the last is a Parquet table in the shared folder."""
+    docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
