@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from circuitlens.plans import outcomes
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-PLANS: tuple = ()
+PLANS = (outcomes,)
 
 
 def queries() -> dict[str, Query]:
