@@ -62,9 +62,14 @@ def motif_label(flags: dict[str, Column]) -> Column:
     return F.when(joined == "", "(none)").otherwise(joined)
 
 
+def relabel(ixns: Column, names: str, others: str) -> Column:
+    """Interactions with each of ``names`` replaced by the letter of ``others`` in its place, sorted."""
+    return F.array_sort(F.transform(ixns, lambda x: F.concat(F.translate(F.substring(x, 1, 2), names, others), F.substring(x, 3, 1))))
+
+
 def canonical(state: Column, names: str = "ABC") -> Column:
     """The least genotype, in code-point order, among all relabellings of the components."""
-    relabelled = [F.array_join(F.array_sort(F.transform(interactions(state), lambda x, p=p: F.concat(F.translate(F.substring(x, 1, 2), names, "".join(p)), F.substring(x, 3, 1)))), "_") for p in permutations(names)]
+    relabelled = [F.array_join(relabel(interactions(state), names, "".join(p)), "_") for p in permutations(names)]
     return F.concat(F.lit(f"*{names}::"), F.array_min(F.array(*relabelled)))
 
 

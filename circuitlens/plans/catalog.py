@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from circuitlens.plans import outcomes
+from circuitlens.plans import motifs, outcomes, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PLANS = (outcomes,)
+PLANS = (outcomes, motifs, search)
 
 
 def queries() -> dict[str, Query]:

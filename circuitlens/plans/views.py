@@ -34,7 +34,7 @@ DUCK = {
     "edges": """
         SELECT '*ABC::' || array_to_string(list_filter(ixns, lambda x: x <> ixn), '_') AS src, node AS dst, ixn, visits, reward
         FROM (SELECT node, visits, reward, ixns, unnest(ixns) AS ixn FROM (SELECT *, list_filter(string_split(split_part(node, '::', 2), '_'), lambda x: x <> '') AS ixns FROM nodes))""",
-    "binary": "SELECT p_partkey, lpad(bin(p_size), 8, '0') AS outcome, p_retailprice, CASE WHEN CAST(floor(p_retailprice) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS reward FROM part",
+    "bincodes": "SELECT p_partkey, lpad(bin(p_size), 8, '0') AS outcome, p_retailprice, CASE WHEN CAST(floor(p_retailprice) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS reward FROM part",
     "snapshots": """
         SELECT replicate, s * 100 AS step, state, count(*) AS visits, CAST(sum(reward) AS BIGINT) AS reward, sum(reward)::DOUBLE / count(*) AS q
         FROM search_log JOIN (SELECT unnest(range(1, 11)) AS s) g ON step <= s * 100 GROUP BY replicate, s, state""",
@@ -121,7 +121,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges_of(nodes(spark, sf_dir))
 
 
-def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bincodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     even = F.floor("p_retailprice") % 2 == 0
     return parts.select("p_partkey", F.lpad(F.bin("p_size"), 8, "0").alias("outcome"), "p_retailprice", F.when(even, 1).otherwise(0).alias("reward"))
