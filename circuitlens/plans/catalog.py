@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from circuitlens.plans import motifs, outcomes, search
+from circuitlens.plans import motifs, outcomes, search, series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PLANS = (outcomes, motifs, search)
+PLANS = (outcomes, motifs, search, series)
 
 
 def queries() -> dict[str, Query]:
