@@ -48,19 +48,19 @@ def rake(cells: DataFrame, targets: Mapping = TARGETS, rounds: int = ROUNDS) ->
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     cells = cells.withColumn("w", F.col("tokens").cast("double"))
-    wanted = {}
     for dim in DIMS:
         shares = cells.groupBy(dim).agg(F.sum("tokens").alias("n")).withColumn("share", F.col("n") / F.lit(float(total or 1)))
         raw = checkpointed(shares.select(dim, _target(dim, targets).alias("raw")))
         scale = raw.agg(F.sum("raw")).first()[0] or 1.0
-        wanted[dim] = raw.select(dim, (F.col("raw") / F.lit(scale) * F.lit(float(total))).alias("want"))
+        cells = cells.join(raw, dim).withColumn(f"want_{dim}", F.col("raw") / F.lit(scale) * F.lit(float(total))).drop("raw")
     keep = Rounds(cells.sparkSession)
+    cells = keep(cells)
     for _ in range(rounds):
         for dim in DIMS:
-            factors = cells.groupBy(dim).agg(F.sum("w").alias("have")).join(wanted[dim], dim).select(dim, (F.col("want") / F.col("have")).alias("factor"))
-            cells = cells.join(factors, dim).select(*DIMS, "tokens", (F.col("w") * F.col("factor")).alias("w"))
+            sums = cells.groupBy(dim).agg(F.sum("w").alias("have"))
+            cells = cells.join(sums, dim).withColumn("w", F.col("w") * (F.col(f"want_{dim}") / F.col("have"))).drop("have")
         cells = keep(cells)
-    return keep.close(cells)
+    return keep.close(cells.select(*DIMS, "tokens", "w"))
 
 
 def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
