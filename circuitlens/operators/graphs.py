@@ -155,7 +155,7 @@ def circuit_components(states: DataFrame, names: str) -> DataFrame:
             found = F.when(F.substring(x, place, 1) == c, F.substring(acc, k, 1)).otherwise(found)
         return found
 
-    merged = F.aggregate(ixns, F.lit(names), lambda acc, x: F.translate(acc, F.greatest(of(acc, x, 1), of(acc, x, 2)), F.least(of(acc, x, 1), of(acc, x, 2))))
+    merged = F.aggregate(ixns, F.lit(names), lambda acc, x: F.call_function("translate", acc, F.greatest(of(acc, x, 1), of(acc, x, 2)), F.least(of(acc, x, 1), of(acc, x, 2))))
     rows = states.select("state", merged.alias("label"), F.array_join(F.transform(ixns, lambda x: F.substring(x, 1, 2)), "").alias("used"))
     roots = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.col("used"), F.lit(c)), F.substring("label", k, 1)) for c, k in letters.items()])))
     return rows.select("state", F.greatest(F.lit(1), F.size(roots)).alias("n_components"))
