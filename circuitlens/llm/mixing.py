@@ -96,7 +96,7 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: Mapping = TARGETS
     """
     marked = _marked(docs, topic, id_col, text_col, source_col, lang_col)
     joined = _placed(marked, marked, targets, keep)
-    return joined.select(F.col("__id").alias(id_col), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), "probability", _drawn().alias("kept"))
+    return joined.select(F.col("__id").alias(id_col), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__probability").alias("probability"), _drawn().alias("kept"))
 
 
 def sample(docs: DataFrame, topic: Column | None = None, targets: Mapping = TARGETS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -113,13 +113,13 @@ def _marked(docs: DataFrame, topic: Column | None, id_col: str, text_col: str, s
 
 def _placed(rows: DataFrame, marked: DataFrame, targets: Mapping, keep: float) -> DataFrame:
     cells = marked.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens"))
-    drawn = checkpointed(probabilities(rake(checkpointed(cells), targets), keep).select(*[F.col(d).alias(f"__{d}") for d in DIMS], "probability"))
+    drawn = checkpointed(probabilities(rake(checkpointed(cells), targets), keep).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("probability").alias("__probability")))
     return rows.join(F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn, [f"__{d}" for d in DIMS])
 
 
 def _drawn() -> Column:
     key = F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("__id").cast("string"), F.lit("(null)")))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0) < F.col("probability")
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0) < F.col("__probability")
 
 
 def oracle(targets: Mapping = TARGETS, keep: float = KEEP, rounds: int = ROUNDS) -> str:
