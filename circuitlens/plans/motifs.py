@@ -14,7 +14,12 @@ QUERIES, ORACLES = {}, {}
 r6 = lambda c: F.round(c, 6)
 C, Q = V.ctes("circuits"), V.ctes("circuits", "q_table")
 IXNS = "list_filter(string_split(split_part(state, '::', 2), '_'), lambda x: x <> '')"
-SUCCESS = F.col("q") >= 0.5
+
+
+def success():
+    return F.col("q") >= 0.5
+
+
 
 
 def query(name, oracle=None):
@@ -114,7 +119,7 @@ def _pairs(spark, d):
 
 def _cells(spark, d):
     q, pairs = _pairs(spark, d)
-    return M.contingency(q, pairs, SUCCESS)
+    return M.contingency(q, pairs, success())
 
 
 @query("pattern_containment", f"{PAIRS} SELECT pattern, count(*) AS n FROM pairs GROUP BY pattern")
@@ -145,7 +150,7 @@ def chi2_pattern_p(spark, d):
 @query("testable_patterns", f"{PAIRS}, g AS (SELECT pattern, count(*) AS n_matches FROM pairs JOIN q_table USING (state) WHERE q >= 0.5 GROUP BY pattern) SELECT pattern, n_matches, round(q * visits)::BIGINT AS n_success FROM g JOIN q_table ON q_table.state = pattern WHERE n_matches > 5 AND round(q * visits) > 5")
 def testable_patterns(spark, d):
     q, pairs = _pairs(spark, d)
-    return M.testable(q, pairs, SUCCESS)
+    return M.testable(q, pairs, success())
 
 
 @query("motif_verdict")
@@ -155,7 +160,7 @@ def motif_verdict(spark, d):
 
 @query("venn_counts", f"{Q}, {X} SELECT {FLAGS['AI']} AS \"AI\", {FLAGS['III']} AS \"III\", {FLAGS['toggle']} AS toggle, count(*) AS n, count_if(q >= 0.5)::BIGINT AS n_success FROM x GROUP BY ALL")
 def venn_counts(spark, d):
-    return M.venn_counts(V.q_table(spark, d), G.flags(F.col("state"), ["AI", "III", "toggle"]), SUCCESS)
+    return M.venn_counts(V.q_table(spark, d), G.flags(F.col("state"), ["AI", "III", "toggle"]), success())
 
 
 SUBSETS = "SELECT '(none)' AS combination" + "".join(f" UNION ALL SELECT '{c}'" for c in ["AI", "AAI", "III", "toggle", "AI+AAI", "AI+III", "AI+toggle", "AAI+III", "AAI+toggle", "III+toggle", "AI+AAI+III", "AI+AAI+toggle", "AI+III+toggle", "AAI+III+toggle", "AI+AAI+III+toggle"])

@@ -10,7 +10,12 @@ from circuitlens.plans import views as V
 
 r6 = lambda c: F.round(c, 6)
 THR = -0.4
-OSC = F.col("acf_min") < THR
+
+
+def oscillated():
+    return F.col("acf_min") < THR
+
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -71,7 +76,7 @@ def retry_list(spark, d):
 
 @query("batch_reward", f"{B} SELECT state, count(*) AS runs, count(*) FILTER (NOT isnan(acf_min)) AS usable, round(avg(CASE WHEN isnan(acf_min) THEN NULL WHEN acf_min < -0.4 THEN 1.0 ELSE 0.0 END), 6) AS reward FROM broken GROUP BY state")
 def batch_reward(spark, d):
-    return O.batch_reward(_broken(spark, d), ["state"], OSC).withColumn("reward", r6("reward"))
+    return O.batch_reward(_broken(spark, d), ["state"], oscillated()).withColumn("reward", r6("reward"))
 
 
 @query("route_rows", f"{B} SELECT CASE WHEN isnan(acf_min) THEN 'failed' WHEN acf_min < -0.4 THEN 'oscillating' ELSE 'quiet' END AS route, count(*) AS n, count(DISTINCT state) AS states FROM broken GROUP BY 1")
@@ -94,13 +99,13 @@ def fault_tolerance(spark, d):
 
 @query("semi_success", f"{S} SELECT {KEY} FROM samples WHERE state IN (SELECT state FROM samples GROUP BY state HAVING avg(CASE WHEN acf_min < -0.4 THEN 1.0 ELSE 0.0 END) >= 0.6) AND acf_min < -0.4")
 def semi_success(spark, d):
-    return O.samples_of_successes(V.samples(spark, d), OSC, 0.6).where(OSC).select("l_orderkey", "l_linenumber", "state", "param_idx")
+    return O.samples_of_successes(V.samples(spark, d), oscillated(), 0.6).where(oscillated()).select("l_orderkey", "l_linenumber", "state", "param_idx")
 
 
 @query("anti_states", f"{S} SELECT state, count(*) AS n FROM samples WHERE state NOT IN (SELECT state FROM samples GROUP BY state HAVING avg(CASE WHEN acf_min < -0.4 THEN 1.0 ELSE 0.0 END) >= 0.6) GROUP BY state")
 def anti_states(spark, d):
     s = V.samples(spark, d)
-    return s.join(O.q_values(s, OSC).where("q >= 0.6"), "state", "left_anti").groupBy("state").agg(F.count("*").alias("n"))
+    return s.join(O.q_values(s, oscillated()).where("q >= 0.6"), "state", "left_anti").groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("lookup_q", f"{S}, a AS (SELECT DISTINCT state, CAST(substr(state, 2) AS BIGINT) % 50 AS fam FROM samples), b AS (SELECT CAST(substr(state, 2) AS BIGINT) % 50 AS fam, avg(acf_min) AS q FROM samples WHERE CAST(substr(state, 2) AS BIGINT) % 50 < 40 GROUP BY 1) SELECT state, round(coalesce(q, 0.0), 6) AS q FROM a LEFT JOIN b USING (fam)")
@@ -225,25 +230,25 @@ def mean_by_params(spark, d):
 
 @query("perturbation_summary", f"{S} SELECT sim_time AS level, round(avg(CASE WHEN acf_min < -0.4 THEN 1.0 ELSE 0.0 END), 6) AS success, round(stddev_pop(CASE WHEN acf_min < -0.4 THEN 1.0 ELSE 0.0 END) / sqrt(count(*)), 6) AS sem, round(quantile_cont(acf_min, 0.05), 6) AS q5, round(quantile_cont(acf_min, 0.95), 6) AS q95 FROM samples GROUP BY sim_time")
 def perturbation_summary(spark, d):
-    hit = OSC.cast("double")
+    hit = oscillated().cast("double")
     return V.samples(spark, d).groupBy(F.col("sim_time").alias("level")).agg(r6(F.avg(hit)).alias("success"), r6(F.stddev_pop(hit) / F.sqrt(F.count("*"))).alias("sem"), r6(F.percentile("acf_min", 0.05)).alias("q5"), r6(F.percentile("acf_min", 0.95)).alias("q95"))
 
 
 @query("knockdown_summary", f"{S}, o AS (SELECT param_idx, 60 / sim_time AS f FROM samples WHERE acf_min < -0.4), g AS (SELECT param_idx, count(*) AS n, avg(f) AS m, quantile_cont(f, 0.025) AS a, quantile_cont(f, 0.975) AS b FROM o GROUP BY param_idx) SELECT param_idx, n, round(m, 6) AS mean_freq, round(greatest(m - a, 0), 6) AS err_low, round(greatest(b - m, 0), 6) AS err_high FROM g")
 def knockdown_summary(spark, d):
-    o = V.samples(spark, d).where(OSC).select("param_idx", (60 / F.col("sim_time")).alias("f"))
+    o = V.samples(spark, d).where(oscillated()).select("param_idx", (60 / F.col("sim_time")).alias("f"))
     g = o.groupBy("param_idx").agg(F.count("*").alias("n"), F.avg("f").alias("m"), F.percentile("f", 0.025).alias("a"), F.percentile("f", 0.975).alias("b"))
     return g.select("param_idx", "n", r6("m").alias("mean_freq"), r6(F.greatest(F.col("m") - F.col("a"), F.lit(0.0))).alias("err_low"), r6(F.greatest(F.col("b") - F.col("m"), F.lit(0.0))).alias("err_high"))
 
 
 @query("group_profile", f"{S} SELECT state, count(*) AS size, count(DISTINCT param_idx) AS params, round(quantile_cont(acf_min, 0.25), 6) AS q25, round(quantile_cont(acf_min, 0.75), 6) AS q75, round(avg(1 - CASE WHEN acf_min < -0.4 THEN 1.0 ELSE 0.0 END), 6) AS regret_rate FROM samples GROUP BY state")
 def group_profile(spark, d):
-    return V.samples(spark, d).groupBy("state").agg(F.count("*").alias("size"), F.countDistinct("param_idx").alias("params"), r6(F.percentile("acf_min", 0.25)).alias("q25"), r6(F.percentile("acf_min", 0.75)).alias("q75"), r6(F.avg(1 - OSC.cast("double"))).alias("regret_rate"))
+    return V.samples(spark, d).groupBy("state").agg(F.count("*").alias("size"), F.countDistinct("param_idx").alias("params"), r6(F.percentile("acf_min", 0.25)).alias("q25"), r6(F.percentile("acf_min", 0.75)).alias("q75"), r6(F.avg(1 - oscillated().cast("double"))).alias("regret_rate"))
 
 
 @query("melt_counts", f"{S}, g AS (SELECT param_idx, count_if(acf_min < -0.4) AS oscillating, count_if(acf_min >= -0.4) AS quiet FROM samples GROUP BY param_idx) SELECT param_idx, kind, n FROM g UNPIVOT (n FOR kind IN (oscillating, quiet))")
 def melt_counts(spark, d):
-    g = V.samples(spark, d).groupBy("param_idx").agg(F.count_if(OSC).alias("oscillating"), F.count_if(~OSC).alias("quiet"))
+    g = V.samples(spark, d).groupBy("param_idx").agg(F.count_if(oscillated()).alias("oscillating"), F.count_if(~oscillated()).alias("quiet"))
     return g.unpivot("param_idx", ["oscillating", "quiet"], "kind", "n")
 
 
