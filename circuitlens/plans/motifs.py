@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from circuitlens.functions import genotype as G
 from circuitlens.operators import motifs as M
+from circuitlens.operators.graphs import cut
 from circuitlens.plans import views as V
 
 QUERIES, ORACLES = {}, {}
@@ -113,7 +114,7 @@ CHI = CELLS + ", h AS (SELECT *, pattern_in_succ::DOUBLE AS a, others_in_succ::D
 
 
 def _pairs(spark, d):
-    q = V.q_table(spark, d)
+    q = cut(V.q_table(spark, d))  # three branches start from it
     return q, M.pattern_containment(q, q.where(G.complexity(F.col("state")) <= 2).select(F.col("state").alias("pattern")))
 
 

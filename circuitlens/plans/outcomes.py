@@ -135,9 +135,9 @@ def fallback_lookup(spark, d):
     return O.fallback_lookup(sup, sup, "s_suppkey", ["s_acctbal", "s_nationkey"], "s_name")
 
 
-@query("nearest_join", "WITH g AS (SELECT DISTINCT round(c_acctbal, -2) AS g FROM customer), v AS (SELECT s_acctbal AS v, min(s_suppkey) AS id FROM supplier GROUP BY 1), x AS (SELECT g, v, id, abs(v - g) AS gap, row_number() OVER (PARTITION BY g ORDER BY abs(v - g), id) AS k FROM g CROSS JOIN v) SELECT g, id AS s_suppkey, v AS s_acctbal, round(gap, 6) AS gap FROM x WHERE k = 1")
+@query("nearest_join", "WITH g AS (SELECT DISTINCT round(c_acctbal, -2) + 0.0 AS g FROM customer), v AS (SELECT s_acctbal AS v, min(s_suppkey) AS id FROM supplier GROUP BY 1), x AS (SELECT g, v, id, abs(v - g) AS gap, row_number() OVER (PARTITION BY g ORDER BY abs(v - g), id) AS k FROM g CROSS JOIN v) SELECT g, id AS s_suppkey, v AS s_acctbal, round(gap, 6) AS gap FROM x WHERE k = 1")
 def nearest_join(spark, d):
-    grid = V.table(spark, d, "customer").select(F.round("c_acctbal", -2).alias("g"))
+    grid = V.table(spark, d, "customer").select((F.round("c_acctbal", -2) + 0.0).alias("g"))
     return O.nearest(grid, V.table(spark, d, "supplier"), "g", "s_acctbal", "s_suppkey", 500.0).withColumn("gap", r6("gap"))
 
 
