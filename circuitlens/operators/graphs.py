@@ -234,6 +234,15 @@ def entropy(p: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), 0.0).otherwise(-p * F.log2(p) - (1 - p) * F.log2(1 - p))
 
 
+def layer_q(nodes: DataFrame, depths: DataFrame) -> DataFrame:
+    """Per layer: nodes that were visited, mean rate, its standard error, and log2 of the mean over the first layer's."""
+    rates = nodes.where("visits > 0").select("node", (F.col("reward") / F.col("visits")).alias("q")).join(depths, "node")
+    layers = rates.groupBy("depth").agg(F.count("*").alias("n"), F.avg("q").alias("mean_q"), (F.stddev_samp("q") / F.sqrt(F.count("*"))).alias("se"))
+    first = layers.agg(F.min_by("mean_q", "depth").alias("__first"))
+    ratio = F.when((F.col("mean_q") > 0) & (F.col("__first") > 0), F.log2(F.col("mean_q") / F.col("__first")))
+    return layers.crossJoin(F.broadcast(first)).withColumn("log_ratio", ratio).drop("__first")  # one rate
+
+
 def edge_traffic(edges: DataFrame) -> DataFrame:
     """Visits of an edge over the mean visits of the edges at its depth."""
     w = Window.partitionBy("depth")

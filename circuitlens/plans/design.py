@@ -157,6 +157,15 @@ def beta_posterior(spark, d):
     return B.beta_posterior(V.q_table(spark, d), 0.3).select("state", r6("mean").alias("mean"), r6("variance").alias("variance"), r6("cdf").alias("cdf"))
 
 
+TAILS = f"{Q}, b AS (SELECT len(list_filter(string_split(split_part(state, '::', 2), '_'), lambda x: x <> ''))::INT AS complexity, (reward + 1.0) / (visits + 2) AS m, (reward + 1.0) * (visits - reward + 1) / (pow(visits + 2, 2) * (visits + 3)) AS v, {_tail('(visits + 1)', '0.3', '(reward + 1)')} AS c FROM q_table)"
+
+
+@query("beta_mixture", f"{TAILS} SELECT complexity, round(avg(m), 6) AS mean, round(avg(v + m * m) - avg(m) * avg(m), 6) AS variance, round(avg(c), 6) AS cdf FROM b GROUP BY complexity")
+def beta_mixture(spark, d):
+    q = V.q_table(spark, d).withColumn("complexity", G.complexity(F.col("state")))
+    return B.mixture(B.beta_posterior(q, 0.3), "complexity").select("complexity", r6("mean").alias("mean"), r6("variance").alias("variance"), r6("cdf").alias("cdf"))
+
+
 @query("poisson_binomial", f"{Q}, p AS (SELECT len(list_filter(string_split(split_part(state, '::', 2), '_'), lambda x: x <> ''))::INT AS complexity, {_tail('visits', 'q', 'CAST(floor(visits * 0.4) + 1 AS BIGINT)')} AS p FROM q_table) SELECT complexity, count(*) AS n, round(sum(p), 6) AS mean, round(sum(p * (1 - p)), 6) AS variance FROM p GROUP BY complexity")
 def poisson_binomial(spark, d):
     q = V.q_table(spark, d).withColumn("complexity", G.complexity(F.col("state")))

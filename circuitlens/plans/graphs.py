@@ -189,6 +189,12 @@ def edge_gain(spark, d):
     return ends.select("src", "dst", r6(F.col("q_dst") - F.col("q_src")).alias("delta_q"), r6(N.entropy(F.col("q_src")) - N.entropy(F.col("q_dst"))).alias("gain"))
 
 
+@query("layer_q", f"{E}, {DEPTH}, l AS (SELECT depth, count(*) AS n, avg(reward::DOUBLE / visits) AS m, stddev_samp(reward::DOUBLE / visits) / sqrt(count(*)) AS se FROM nodes JOIN depths USING (node) WHERE visits > 0 GROUP BY depth), f AS (SELECT m AS f FROM l ORDER BY depth LIMIT 1) SELECT depth, n, round(m, 6) AS mean_q, round(se, 6) AS se, round(CASE WHEN m > 0 AND f > 0 THEN log2(m / f) END, 6) AS log_ratio FROM l, f")
+def layer_q(spark, d):
+    nodes, _, depths = _graph(spark, d)
+    return N.layer_q(nodes, depths).select("depth", "n", *[r6(c).alias(c) for c in ("mean_q", "se", "log_ratio")])
+
+
 @query("edge_traffic", f"{E}, {DEPTH}, t AS (SELECT src, dst, depth, visits, sum(visits) OVER (PARTITION BY depth) AS s, count(*) OVER (PARTITION BY depth) AS n FROM edges JOIN depths ON node = dst) SELECT src, dst, round(CASE WHEN s > 0 THEN visits * n / s ELSE 0 END, 6) AS traffic FROM t")
 def edge_traffic(spark, d):
     _, edges, depths = _graph(spark, d)
