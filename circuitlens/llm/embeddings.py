@@ -22,7 +22,7 @@ from circuitlens.llm.common import checkpointed, sorted_groups
 from circuitlens.llm.components import components
 
 #: Dimensions of a block; vectors in a cell that are compared in one tile; pairs that are verified at once.
-BLOCK_DIMS, TILE, PAIRS = 8, 2048, 65_536
+BLOCK_DIMS, TILE, PAIRS = 8, 8192, 65_536
 SEED = 20_240_501
 #: Room for the rounding of rotated coordinates to 32 bits.
 SLACK = 1e-5
@@ -61,14 +61,14 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _spread(threshold: float):
+def _spread(threshold: float, width: str):
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 raw = [batch.column("packed")[int(i)].as_buffer() for i in rows]
-                x = rotate(np.stack([np.frombuffer(r, "<f8") for r in raw]))
+                x = rotate(np.stack([np.frombuffer(r, width) for r in raw]).astype(np.float64))
                 some = batch.take(pa.array(rows))
                 for k, block in enumerate(_blocks(x.shape[1])):
                     reach = np.sqrt(_budget(block, x.shape[1], threshold))
@@ -93,7 +93,7 @@ def _union(roots: dict[int, int], x: int) -> int:
     return x
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, width: str):
     keys = ["group", "dim", "block", "cell", "i", "j"]
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,20 +104,25 @@ def _compare(threshold: float):
                 continue
             vec, copies = table.column("vec").to_numpy(), table.column("copies").to_numpy()
             packed = table.column("packed").combine_chunks()
-            raw = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in packed])
+            raw = np.stack([np.frombuffer(v.as_buffer(), width) for v in packed]).astype(np.float64)
             norms = np.sqrt((raw * raw).sum(axis=1))
             x = rotate(raw)
             blocks = _blocks(x.shape[1])
             k = table.column("block")[0].as_py()
             counts, roots, links = np.zeros(len(vec), np.int64), {}, []
+            part, budget = np.ascontiguousarray(x[:, blocks[k]]), _budget(blocks[k], x.shape[1], threshold)
+            first, squares, reach = part[:, 0], (part * part).sum(axis=1), np.sqrt(budget) + 1e-9
+            left, right = left[np.argsort(first[left], kind="stable")], right[np.argsort(first[right], kind="stable")]
             for start in range(0, len(left), 256):
                 some = left[start : start + 256]
-                near = _far(x[some][:, None, blocks[k]], x[right][None, :, blocks[k]]) <= _budget(blocks[k], x.shape[1], threshold)
-                pairs = np.argwhere(near)
+                low, high = np.searchsorted(first[right], [first[some[0]] - reach, first[some[-1]] + reach])
+                window = right[low:high]
+                roughly = squares[some][:, None] + squares[window][None, :] - 2 * (part[some] @ part[window].T)
+                pairs = np.argwhere(roughly <= budget + 1e-9)
                 for at in range(0, len(pairs), PAIRS):
-                    a, b = some[pairs[at : at + PAIRS, 0]], right[pairs[at : at + PAIRS, 1]]
-                    other = vec[a] != vec[b]
-                    a, b = a[other], b[other]
+                    a, b = some[pairs[at : at + PAIRS, 0]], window[pairs[at : at + PAIRS, 1]]
+                    near = (vec[a] != vec[b]) & (_far(part[a], part[b]) <= budget)
+                    a, b = a[near], b[near]
                     for earlier in blocks[:k]:
                         fresh = _far(x[a][:, earlier], x[b][:, earlier]) > _budget(earlier, x.shape[1], threshold)
                         a, b = a[fresh], b[fresh]
@@ -158,6 +163,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     A cell with more than ``tile`` vectors is dealt into tiles, each pair of
     which is compared in a group of its own, so the memory of a task is bounded.
     """
+    width = "<f4" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "<f8"  # as exact as the column
     v = F.col("vec")
     usable = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False)) & F.exists(v, lambda e: e != 0)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(group_col).cast("string").alias("label"))
@@ -167,12 +173,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.asarray(one.values, "<f8").tobytes() for one in batch.column("vec")]
-            dims = [len(p) // 8 for p in packed]
+            packed = [np.asarray(one.values, width).tobytes() for one in batch.column("vec")]
+            dims = [len(p) // int(width[2:]) for p in packed]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(dims, pa.int32()), batch.column("first"), batch.column("copies"), pa.array(packed, pa.binary())], names=["group", "dim", "vec", "copies", "packed"])
 
     packed = distinct.where("first is not null").mapInArrow(pack, "group string, dim int, vec bigint, copies bigint, packed binary")
-    cells = packed.mapInArrow(_spread(threshold), "group string, dim int, vec bigint, copies bigint, packed binary, block int, cell int, home boolean")
+    cells = packed.mapInArrow(_spread(threshold, width), "group string, dim int, vec bigint, copies bigint, packed binary, block int, cell int, home boolean")
     keys = ["group", "dim", "block", "cell"]
     large = cells.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > tile)
     large = checkpointed(large.select(*keys, F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
@@ -183,7 +189,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     as_right = F.when(~F.col("home") | (F.col("mine") != F.col("other")), F.struct(F.col("other").alias("i"), F.col("mine").alias("j"), F.lit("R").alias("side")))
     tiled = dealt.select(*keys, "vec", "copies", "packed", F.explode(F.array_compact(F.array(as_left, as_right))).alias("place")).select(*keys, "place.*", "vec", "copies", "packed")
     grouped = tiled.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
-    found = checkpointed(grouped.mapInArrow(_compare(threshold), "a bigint, b bigint, n bigint"))
+    found = checkpointed(grouped.mapInArrow(_compare(threshold, width), "a bigint, b bigint, n bigint"))
 
     groups = components(found.where("b is not null"))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
