@@ -98,21 +98,27 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         words, parts, held, key_type = _Numbers(), [], 0, None
 
         def flush() -> pa.RecordBatch:
+            # frequent words get small numbers, which pack best
+            order = np.argsort(-np.bincount(np.concatenate([p[2] for p in parts]), minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            packed = [(keys, _pack(lengths, rank[flat])) for keys, lengths, flat in parts]
             digest = xxhash.xxh3_128()
-            for _, payload in parts:
+            for _, payload in packed:
                 digest.update(payload)
-            encoded = [w.encode() for w in words]
+            seen = list(words)
+            encoded = [seen[i].encode() for i in order.tolist()]
             lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
             place = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int64, len(encoded))
             order = np.argsort(place, kind="stable")
             cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
             found = []
             for mine in np.split(order, cuts[1:]) if len(order) else []:
-                payload = _pack(mine, lengths[mine], b"".join([encoded[i] for i in mine]))
+                payload = _pack(np.diff(mine, prepend=0), lengths[mine], b"".join([encoded[i] for i in mine]))
                 digest.update(payload)
                 found.append((int(place[mine[0]]), -1, [], payload))
             name = digest.hexdigest()
-            found += [(zlib.crc32(f"{name}{k}".encode()) % buckets, k, keys, payload) for k, (keys, payload) in enumerate(parts)]
+            found += [(zlib.crc32(f"{name}{k}".encode()) % buckets, k, keys, payload) for k, (keys, payload) in enumerate(packed)]
             bucket, part, keys, payload = map(list, zip(*found))
             return pa.RecordBatch.from_arrays(
                 [pa.array(bucket, pa.int32()), pa.array([name] * len(found)), pa.array(part, pa.int32()), pa.array(keys, pa.list_(key_type)), pa.array(payload, pa.binary())],
@@ -125,7 +131,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             numbered = [list(map(words.__getitem__, split(t))) if t else [] for t in texts.to_pylist()]
             lengths = np.fromiter(map(len, numbered), np.int64, len(numbered))
             flat = np.fromiter((n for doc in numbered for n in doc), np.uint32, int(lengths.sum()))
-            parts.append((keys.to_pylist(), _pack(lengths, flat)))
+            parts.append((keys.to_pylist(), lengths, flat))
             held += texts.nbytes
             if held >= BLOCK_BYTES:
                 yield flush()
@@ -167,7 +173,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     pieces.append(arrays)
                     continue
                 if ids is None:  # the words of a block come before its texts
-                    numbers = np.concatenate([p[0] for p in pieces] or [np.zeros(0, np.int64)])
+                    numbers = np.concatenate([np.cumsum(p[0]) for p in pieces] or [np.zeros(0, np.int64)])
                     order = np.argsort(numbers)
                     if not np.array_equal(numbers[order], np.arange(len(numbers))):
                         raise RuntimeError("a block lacks words: the input came in another order on a retry; checkpoint it first")
