@@ -71,7 +71,8 @@ def _ratios(grams: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     an unseen context keeps the shorter one's probability, and the last resort
     is even over the alphabet.
     """
-    totals = _totals(counts)
+    counts = checkpointed(counts)
+    totals = checkpointed(_totals(counts))  # both joins then shuffle both sides, and the empty context can be split
     steps = grams.select("gram", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"))
     steps = steps.select("gram", "k", F.expr(f"substring(gram, {order} - k + 1, k + 1)").alias("part"), F.expr(f"substring(gram, {order} - k + 1, k)").alias("context"))
     seen = counts.select(F.col("gram").alias("part"), "n0", "n1")
