@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from math import exp
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from circuitlens.functions.draws import index, uniform
 
@@ -197,9 +197,8 @@ def outcome_design(codes: DataFrame, depth: int, swaps: int, seed: str) -> DataF
     return joined.select(canonical_outcome("outcome", depth).alias("outcome")).distinct()
 
 
-def design_grid(spark: SparkSession, **dims: Sequence) -> DataFrame:
-    """Every combination of small dimensions, numbered in order."""
-    out = spark.range(1).select(F.lit(0).alias("__x"))
+def design_grid(df: DataFrame, **dims: Sequence) -> DataFrame:
+    """Every row with every combination of the values of small dimensions."""
     for name, values in dims.items():
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return out.drop("__x")
+        df = df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return df

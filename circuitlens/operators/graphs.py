@@ -6,7 +6,7 @@ circuit has a few; each layer is handed on as a checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
 from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -16,8 +16,6 @@ from circuitlens.functions import genotype as G
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, a temporary one where none is set."""
-    import tempfile
-
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
@@ -26,14 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def enumerate_circuits(spark: SparkSession, names: str, max_ixn: int, interchangeable: bool = True) -> DataFrame:
     """Every circuit that adding one interaction at a time reaches, one per orbit if components are interchangeable."""
-    pairs = [a + b for a in names for b in names]
-    ixns = spark.createDataFrame([(p + s,) for p in pairs for s in "ai"], "ixn string")  # 2 * components ** 2 rows
+    ixns = F.explode(F.array(*[F.lit(a + b + s) for a in names for b in names for s in "ai"]))
     form = (lambda s: G.canonical(s, names)) if interchangeable else (lambda s: s)
     layer = spark.createDataFrame([(f"*{names}::",)], "state string")
     layers = [layer]
     for _ in range(max_ixn):
         own = G.interactions(F.col("state"))
-        fresh = layer.crossJoin(F.broadcast(ixns)).where(~F.exists(own, lambda x: F.substring(x, 1, 2) == F.substring(F.col("ixn"), 1, 2)))  # the list of interactions
+        fresh = layer.withColumn("ixn", ixns).where(~F.exists(own, lambda x: F.substring(x, 1, 2) == F.substring("ixn", 1, 2)))
         grown = F.concat(F.lit(f"*{names}::"), F.array_join(F.array_sort(F.concat(own, F.array("ixn"))), "_"))
         layer = cut(fresh.select(form(grown).alias("state")).distinct())
         layers.append(layer)

@@ -70,8 +70,7 @@ def hamming(spark, d):
 
 @query("design_grid", "SELECT n_nationkey, tf, coeff, r::INT AS replicate FROM nation CROSS JOIN (SELECT unnest(['A', 'B', 'C']) AS tf) CROSS JOIN (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS coeff) CROSS JOIN (SELECT unnest(range(2)) AS r) x")
 def design_grid(spark, d):
-    grid = D.design_grid(spark, tf=["A", "B", "C"], coeff=[0.25, 0.5, 0.75], replicate=[0, 1])
-    return V.table(spark, d, "nation").select("n_nationkey").crossJoin(F.broadcast(grid))  # a grid of 18 rows
+    return D.design_grid(V.table(spark, d, "nation").select("n_nationkey"), tf=["A", "B", "C"], coeff=[0.25, 0.5, 0.75], replicate=[0, 1])
 
 
 DIMS = ("log10_kd_1", "kd_2_1_ratio")
