@@ -195,8 +195,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     return blocks.mapInArrow(assemble, f"__id {id_type}, ids array<int>").withColumnRenamed("__id", id_col)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Replace the ids of every row by the bytes that they stand for.
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded", keep: bool = False) -> DataFrame:
+    """Replace the ids of every row by the bytes that they stand for, or add these with ``keep``.
 
     Joins the ids with the table of token bytes, which is as large as the
     vocabulary and no larger, so it is broadcast; each id meets it in the task
@@ -228,8 +228,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
                     if one.values.null_count or len(ids) and (ids.min() < 0 or ids.max() >= size or not lengths[ids].all()):
                         raise ValueError("an id is not in the table of tokens")
                     values.append(b"".join([blob[_spread(starts[c], lengths[c])].tobytes() for c in np.split(ids, range(100_000, len(ids), 100_000))]))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(values, pa.binary())], names=["__row", "__bytes"])
+                columns = {"__row": some.column(0), "__bytes": pa.array(values, pa.binary())} | ({"__ids": lists} if keep else {})
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     row = F.struct(*others) if others else F.struct(F.lit(0).alias("__none"))
-    done = encoded.select(row.alias("__row"), F.col(ids_col).alias("__ids")).mapInArrow(join, f"__row {kind}, __bytes binary")
-    return done.select(*[F.col("__row").getField(c).alias(c) for c in others], F.col("__bytes").alias(out_col))
+    done = encoded.select(row.alias("__row"), F.col(ids_col).alias("__ids")).mapInArrow(join, f"__row {kind}, __bytes binary" + ", __ids array<int>" * keep)
+    kept = [F.col("__ids").alias(ids_col)] if keep else []
+    return done.select(*[F.col("__row").getField(c).alias(c) for c in others], *kept, F.col("__bytes").alias(out_col))

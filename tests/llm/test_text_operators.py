@@ -48,7 +48,7 @@ def test_whole_tokens_are_proven():
     assert all(len(library.encode(t, add_special_tokens=False).ids) == 1 for t in sorted(found)[::500])
 
 
-def test_bpe_round_trip(spark, ranks, monkeypatch):
+def test_bpe_round_trip(spark, ranks):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoded = bpe.encode(frame(spark), ranks, P.PATTERN)
     want = Counter((i, tuple(library.encode_ordinary(t or ""))) for i, t in frame(spark).select("doc_id", "text").collect())
@@ -56,6 +56,16 @@ def test_bpe_round_trip(spark, ranks, monkeypatch):
     decoded = bpe.decode(encoded, ranks).collect()
     assert Counter((r.doc_id, bytes(r.decoded)) for r in decoded) == Counter((i, (t or "").encode()) for i, t in frame(spark).select("doc_id", "text").collect())
     assert bpe.encode(frame(spark).limit(0), ranks, P.PATTERN).count() == 0
+    assert [list(r.ids) for r in bpe.encode(frame(spark, ["", None]), ranks, P.PATTERN).collect()] == [[], [], []]
+
+
+def test_bpe_in_many_blocks(spark, ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(bpe, "PART_BYTES", 700)
+    texts = [f"text {k} " + " ".join(f"word{k * j % 37}" for j in range(k % 60)) for k in range(300)]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
+    assert {r.doc_id: list(r.ids) for r in bpe.encode(df, ranks, P.PATTERN).collect()} == {k: library.encode_ordinary(t) for k, t in enumerate(texts)}
 
 
 def test_decode_of_null_and_unknown_ids(spark, ranks):
