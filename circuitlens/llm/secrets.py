@@ -21,9 +21,10 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: One name-literal pair of source or configuration syntax: name, sign, and a quoted string, bare value or other name.
+#: Values have no greatest length and quoted ones may hold escapes; possessive runs fail without backtracking. Of a name over 81 characters the end counts.
 PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80})["']?\]?[ \t]{0,8}(?::[ \t]{0,4}[A-Za-z]{1,12}[ \t]{0,4}=|:=|=>|=|:)(?!=)[ \t]{0,8}"""
-    r"""(?:"(?P<double>[^"\n\\]{1,500})"|'(?P<single>[^'\n\\]{1,500})'|(?P<bare>[A-Za-z0-9_+/.=@$!%^&*~-]{1,500}))""",
+    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80}+)["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z]{1,12}[ \t]*+=|:=|=>|=|:)(?!=)[ \t]*+"""
+    r"""(?:"(?P<double>(?:[^"\n\\]++|\\.)++)"|'(?P<single>(?:[^'\n\\]++|\\.)++)'|(?P<bare>[A-Za-z0-9_+/.=@$!%^&*~-]++))""",
     re.ASCII,
 )
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")

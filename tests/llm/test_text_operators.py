@@ -215,6 +215,28 @@ def test_secrets_spare_clean_text():
         assert secrets.scan(clean)[1] == []
 
 
+def test_secrets_are_taken_whole():
+    import random
+    import time
+
+    rg = random.Random(5)
+    draw = lambda n: "".join(rg.choice("abcdefXYZ0123456789+/") for _ in range(n))
+    for n in (20, 500, 501, 1_200, 5_000):
+        value = draw(n)
+        assert secrets.hide(f'private_key = "{value}" end') == 'private_key = "[SECRET]" end'
+        assert secrets.hide(f"credentials: '{value}'") == "credentials: '[SECRET]'"
+        assert secrets.hide(f"client_pwd={value};") == "client_pwd=[SECRET];"
+    body = r"-----BEGIN PRIVATE KEY-----\n" + draw(1_600) + r"\n-----END PRIVATE KEY-----\n"
+    assert secrets.hide(f'{{"type": "x", "private_key": "{body}", "n": 1}}') == '{"type": "x", "private_key": "[SECRET]", "n": 1}'
+    assert secrets.hide(r'db_pwd = "Ab1\"xY9+q\\" + 1') == 'db_pwd = "[SECRET]" + 1'
+    value = draw(24)
+    assert secrets.hide("db_pwd" + " " * 9 + "=" + "\t" * 12 + f'"{value}"') == "db_pwd" + " " * 9 + "=" + "\t" * 12 + '"[SECRET]"'
+    start = time.process_time()
+    for text in ('pwd = "' + "x" * 300_000, 'pwd = "' + r"a=\"" * 100_000, "pwd" + " " * 300_000, "pwd:" + " " * 300_000 + "x" * 13 + "\\", 'a="' + "\\" * 299_999, "a=" * 150_000):
+        secrets.scan(text)
+    assert time.process_time() - start < 20
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\n# and associated documentation files (the \"Software\"), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
     texts = ["a | b\nLicensed under the Apache License, Version 2.0.", "No licence, no permission.", mit, "Text. All rights reserved. More", None, "", "Released under the MIT License. Licensed under CC BY-NC 4.0."]
