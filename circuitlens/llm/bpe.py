@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from circuitlens.llm.common import text_blocks
@@ -84,8 +85,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     Should a lost executor make Spark form other blocks on the retry (it can
     where ``docs`` comes out of a shuffle in another order), the block's name,
-    a digest of its content, differs too and the job stops with an error
-    instead of mixing the two.
+    a digest of its partition, its place there, its keys and its content,
+    differs too and the job stops with an error instead of mixing the two.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -95,7 +96,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(pattern)
-        words, parts, held, key_type = _Numbers(), [], 0, None
+        words, parts, held, key_type, flushed = _Numbers(), [], 0, None, 0
 
         def flush() -> pa.RecordBatch:
             # frequent words get small numbers, which pack best
@@ -103,8 +104,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             packed = [(keys, _pack(lengths, rank[flat])) for keys, lengths, flat in parts]
-            digest = xxhash.xxh3_128()
-            for _, payload in packed:
+            # blocks of equal texts stay apart by their place, which a retry keeps
+            digest = xxhash.xxh3_128(f"{TaskContext.get().partitionId()} {flushed}".encode())
+            for keys, payload in packed:
+                digest.update(repr(keys).encode())
                 digest.update(payload)
             seen = list(words)
             encoded = [seen[i].encode() for i in order.tolist()]
@@ -135,7 +138,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             held += texts.nbytes
             if held >= BLOCK_BYTES:
                 yield flush()
-                words, parts, held = _Numbers(), [], 0
+                words, parts, held, flushed = _Numbers(), [], 0, flushed + 1
         if parts:
             yield flush()
 

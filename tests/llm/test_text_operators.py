@@ -68,6 +68,18 @@ def test_bpe_in_many_blocks(spark, ranks, monkeypatch):
     assert {r.doc_id: list(r.ids) for r in bpe.encode(df, ranks, P.PATTERN).collect()} == {k: library.encode_ordinary(t) for k, t in enumerate(texts)}
 
 
+def test_bpe_of_equal_blocks(spark, ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(bpe, "PART_BYTES", 1)
+    text = "one text, the same again and again"
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    for partitions in (2, 1):  # one row in each of two partitions; two blocks in one partition
+        df = spark.range(0, 2, 1, partitions).selectExpr("id AS doc_id", f"'{text}' AS text")
+        assert {r.doc_id: list(r.ids) for r in bpe.encode(df, ranks, P.PATTERN).collect()} == {0: want, 1: want}
+        same_key = bpe.encode(df.selectExpr("7 AS doc_id", "text"), ranks, P.PATTERN).collect()
+        assert [(r.doc_id, list(r.ids)) for r in same_key] == [(7, want)] * 2
+
+
 def test_decode_of_null_and_unknown_ids(spark, ranks):
     df = spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")
     assert {r.k: r.decoded for r in bpe.decode(df, ranks).collect()} == {1: None, 2: b""}
