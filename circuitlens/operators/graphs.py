@@ -6,20 +6,12 @@ circuit has a few; each layer is handed on as a checkpoint.
 
 from __future__ import annotations
 
-import tempfile
 from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from circuitlens.functions import genotype as G
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, a temporary one where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from circuitlens.sources.shared import cut
 
 
 def enumerate_circuits(spark: SparkSession, names: str, max_ixn: int, interchangeable: bool = True) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from circuitlens.functions import genotype as G
 from circuitlens.operators import motifs as M
-from circuitlens.operators.graphs import cut
 from circuitlens.plans import views as V
+from circuitlens.sources.shared import cut
 
 QUERIES, ORACLES = {}, {}
 r6 = lambda c: F.round(c, 6)

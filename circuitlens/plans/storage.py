@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from circuitlens.plans import views as V
 from circuitlens.sources import tables as T
+from circuitlens.sources.shared import scratch
 from circuitlens.streaming import online as N
 
 QUERIES, ORACLES = {}, {}
@@ -26,11 +24,6 @@ def query(name, oracle=None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share; a temporary one where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/tables-{uuid.uuid4().hex}"
-
-
 @query("scan_csv", V.ctes("circuits", "q_table") + " SELECT state, visits, round(q, 6) AS q FROM q_table")
 def scan_csv(spark, d):
     path = scratch(spark)
