@@ -51,7 +51,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents"), mixing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op5_embeddings": embeddings.ORACLE, "op9_mixing": mixing.oracle(), "op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle()}
+    return {"op3_url_filter": url_filter.oracle(), "op5_embeddings": embeddings.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle()}

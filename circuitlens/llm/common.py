@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from circuitlens.sources import shared
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the corpus, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, a temporary one only where that is unset."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return named or context.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return shared.cut(df)
 
 
 class Rounds:
@@ -40,26 +30,22 @@ class Rounds:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.written = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.written = spark, shared.scratch(spark, "rounds"), 0
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path, schema = f"{self.folder}/{self.written}", df.schema
         df.write.parquet(path)
         if self.written > 1:
-            self._delete(f"{self.folder}/{self.written - 2}")
+            shared.delete(self.spark, f"{self.folder}/{self.written - 2}")
         self.written += 1
         return self.spark.read.schema(schema).parquet(path)
 
     def close(self, df: DataFrame) -> DataFrame:
         """``df`` as a checkpoint, without the tables of the rounds."""
         kept = checkpointed(df)
-        self._delete(self.folder)
+        shared.delete(self.spark, self.folder)
         return kept
 
-    def _delete(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
 
 def text_blocks(batches: Iterable[pa.RecordBatch], limit: int = 4_000_000, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of about ``limit`` bytes of text, one row at least.

@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from circuitlens.llm.common import Rounds, checkpointed
+from circuitlens.llm.token_counts import count_tokens
 
-ROUNDS, SETTLE_ROUNDS = 12, 40
+#: Raking ends when every marginal is this close to its target, in proportion, or after so many rounds with a warning.
+TOLERANCE, MAX_ROUNDS = 1e-9, 2000
 #: Share of all tokens to keep, and the targets: a power of the observed shares, or weights by value.
 KEEP = 0.5
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.7}
 SEED = "mix-1"
 BROADCAST_ROWS = 100_000
+#: Cells (counted first) that are raked by numpy on the driver; more are raked by Spark, with the same result.
+DRIVER_CELLS = 50_000
 DIMS = ("source", "lang", "topic")
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """A byte-level BPE tokenizer in JSON and the pattern by which it splits."""
+
+    path: str
+    pattern: str
+
+
 def topic_of(text: Column) -> Column:
     """A topic by the form of the text: table, symbols, capitals or prose; a topic column of the corpus can stand in."""
     return F.when(text.contains(" | "), "table").when(text.rlike("[#*$%&]{3}"), "symbols").when(text == F.upper(text), "capitals").otherwise("prose")
 
 
-def tokens_of(text: Column) -> Column:
-    """About the tokens of a text: a quarter of its bytes, one at least."""
-    return F.greatest(F.lit(1), F.ceil(F.octet_length(text) / 4)).cast("bigint")
-
-
 def _target(dim: str, targets: Mapping) -> Column:
     """The unscaled target of a value with the observed share ``share``."""
     want = targets[dim]
@@ -38,116 +48,149 @@ def _target(dim: str, targets: Mapping) -> Column:
     return target
 
 
-def rake(cells: DataFrame, targets: Mapping = TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with raked token weights ``w`` that sum to all tokens.
+def calibrate(cells: DataFrame, targets: Mapping = TARGETS, keep: float = KEEP, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with the probability that a document of the cell is drawn.
+
+    Raking: each step scales the weights of one dimension to its target
+    marginal, round by round, until every marginal is within ``tolerance`` of
+    its target. Calibration: probability min(1, scale * w / tokens) with the
+    scale for which the expected tokens are ``keep`` of all; cells that are
+    used up count whole and the others share the rest by their weights.
 
-    Each step scales the weights of one dimension to its target marginal; the
-    sums are combined before the shuffle and the factors, one a value, are
-    joined back. A round ends in a written table. Everything works on cells, of
-    which there are as many as combinations of values, not as documents.
+    Adds w (the weights sum to all tokens), probability (six decimals),
+    marginal_error (the greatest distance of a raked marginal from its target,
+    in proportion to it) and draw_error (the greatest distance between a
+    marginal's share of the expected draw and its target share, which cells
+    that are used up leave). Targets that can't be met together leave a
+    marginal_error above the tolerance and give a warning. Named values that
+    no cell has are left out of the targets.
+
+    All work is on cells, of which there are as many as combinations of
+    values: at most ``driver_cells`` are collected, more stay in Spark.
     """
+    cells = checkpointed(cells.select(*DIMS, "tokens"))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    cells = cells.withColumn("w", F.col("tokens").cast("double"))
     for dim in DIMS:
         shares = cells.groupBy(dim).agg(F.sum("tokens").alias("n")).withColumn("share", F.col("n") / F.lit(float(total or 1)))
         raw = checkpointed(shares.select(dim, _target(dim, targets).alias("raw")))
         scale = raw.agg(F.sum("raw")).first()[0] or 1.0
         cells = cells.join(raw, dim).withColumn(f"want_{dim}", F.col("raw") / F.lit(scale) * F.lit(float(total))).drop("raw")
-    keep = Rounds(cells.sparkSession)
-    cells = keep(cells)
-    for _ in range(rounds):
+    cells = checkpointed(cells)
+    out = _here(cells, keep, tolerance, max_rounds) if cells.count() <= driver_cells else _spread(cells, keep, tolerance, max_rounds)
+    return out.select(*DIMS, "tokens", "w", F.round("probability", 6).alias("probability"), F.round("marginal_error", 9).alias("marginal_error"), F.round("draw_error", 6).alias("draw_error"))
+
+
+def _warn(error: float, rounds: int) -> None:
+    warnings.warn(f"the targets can't be met together: after {rounds} rounds a marginal is off by {error:.3g} of its target", stacklevel=3)
+
+
+def _here(cells: DataFrame, keep: float, tolerance: float, max_rounds: int) -> DataFrame:
+    rows = cells.select(*DIMS, "tokens", *[f"want_{d}" for d in DIMS]).collect()
+    tokens = np.array([r["tokens"] for r in rows], float)
+    codes = [np.unique([r[d] for r in rows] or [""], return_inverse=True)[1][: len(rows)] for d in DIMS]
+    wants = [np.array([r[f"want_{d}"] for r in rows], float) for d in DIMS]
+    w, error = tokens.copy(), 0.0
+    for _ in range(max_rounds if rows else 0):
+        for code, want in zip(codes, wants):
+            w *= want / np.bincount(code, w)[code]
+        error = max(float(np.abs(np.bincount(c, w)[c] / want - 1).max()) for c, want in zip(codes, wants))
+        if error <= tolerance:
+            break
+    if error > tolerance:
+        _warn(error, max_rounds)
+    drawn = tokens
+    if keep < 1 and rows:  # cells are used up in the order of tokens over weight
+        order = np.argsort(tokens / w, kind="stable")
+        full = np.concatenate(([0.0], np.cumsum(tokens[order])[:-1]))
+        rest = w[order][::-1].cumsum()[::-1]
+        scale = (keep * tokens.sum() - full) / rest
+        first = int(np.argmax(scale <= (tokens / w)[order]))  # the cells before it are used up, it and those after it are not
+        drawn = np.minimum(tokens, scale[first] * w)
+    off = max((float(np.abs(np.bincount(c, drawn)[c] / drawn.sum() - want / tokens.sum()).max()) for c, want in zip(codes, wants)), default=0.0) if rows else 0.0
+    found = [(*(r[d] for d in DIMS), r["tokens"], float(a), float(b / t), error, off) for r, a, b, t in zip(rows, w, drawn, tokens)]
+    return cells.sparkSession.createDataFrame(found, ", ".join(f"{d} string" for d in DIMS) + ", tokens bigint, w double, probability double, marginal_error double, draw_error double")
+
+
+def _greatest(cells: DataFrame, column: Column, want: dict[str, Column], gap) -> float:
+    """The greatest ``gap`` between a marginal of ``column`` and its target, over all dimensions."""
+    parts = [cells.groupBy(d).agg(F.sum(column).alias("have"), F.first(want[d]).alias("want")).agg(F.max(gap(F.col("have"), F.col("want")))).first()[0] for d in DIMS]
+    return float(max((p for p in parts if p is not None), default=0.0))
+
+
+def _spread(cells: DataFrame, keep: float, tolerance: float, max_rounds: int) -> DataFrame:
+    """The same in Spark; a round's sums are combined before the shuffle, and the round ends in a written table."""
+    want = {d: F.col(f"want_{d}") for d in DIMS}
+    hand_on = Rounds(cells.sparkSession)
+    cells, error = hand_on(cells.withColumn("w", F.col("tokens").cast("double"))), 0.0
+    for _ in range(max_rounds):
         for dim in DIMS:
             sums = cells.groupBy(dim).agg(F.sum("w").alias("have"))
-            cells = cells.join(sums, dim).withColumn("w", F.col("w") * (F.col(f"want_{dim}") / F.col("have"))).drop("have")
-        cells = keep(cells)
-    return keep.close(cells.select(*DIMS, "tokens", "w"))
-
-
-def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Raked cells with the probability that a document of the cell is drawn, min(1, scale * w / tokens).
-
-    The scale is the one for which the tokens that are expected sum to ``keep``
-    of all: cells that are used up count whole, the others share the rest in
-    proportion to their weights, until no more cells are used up.
-    """
-    budget, scale = None, None
-    for _ in range(SETTLE_ROUNDS):
+            cells = cells.join(sums, dim).withColumn("w", F.col("w") * (want[dim] / F.col("have"))).drop("have")
+        cells = hand_on(cells)
+        error = _greatest(cells, F.col("w"), want, lambda have, wanted: F.abs(have / wanted - 1))
+        if error <= tolerance:
+            break
+    if error > tolerance:
+        _warn(error, max_rounds)
+    cells, scale = hand_on.close(cells), None
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    while True:  # each round uses up another cell, or is the last
         full = F.lit(False) if scale is None else F.col("tokens") <= F.lit(scale) * F.col("w")
-        sums = cells.agg(F.sum("tokens").alias("all"), F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("rest")).first()
-        budget = keep * float(sums["all"] or 0)
+        sums = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("rest")).first()
         if not sums["rest"]:
             break
-        before, scale = scale, (budget - float(sums["full"] or 0)) / sums["rest"]
-        if before is not None and abs(scale - before) <= 1e-12 * scale:
+        before, scale = scale, (keep * total - float(sums["full"] or 0)) / sums["rest"]
+        if before is not None and scale <= before * (1 + 1e-15):
             break
-    return cells.withColumn("probability", F.round(F.least(F.lit(1.0), F.lit(scale if scale is not None else 1.0) * F.col("w") / F.col("tokens")), 6))
+    drawn = F.col("tokens").cast("double") if keep >= 1 or scale is None else F.least(F.col("tokens").cast("double"), F.lit(scale) * F.col("w"))
+    expected = float(cells.agg(F.sum(drawn)).first()[0] or 1)
+    off = _greatest(cells, drawn, want, lambda have, wanted: F.abs(have / F.lit(expected) - wanted / F.lit(total or 1.0)))
+    return cells.withColumns({"probability": drawn / F.col("tokens"), "marginal_error": F.lit(error), "draw_error": F.lit(off)})
 
 
-def mix(docs: DataFrame, topic: Column | None = None, targets: Mapping = TARGETS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """Every document with its place in the mixture: (id, source, lang, topic, tokens, probability, kept).
+def mix(docs: DataFrame, tokenizer: Tokenizer, topic: Column | None = None, targets: Mapping = TARGETS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **limits: float) -> DataFrame:
+    """Every document with its place in the mixture: (id, source, lang, topic, tokens, probability, marginal_error, draw_error, kept).
 
     Token weights of the cells (source, language, topic) are raked to the
-    target marginals, cells get calibrated probabilities, and a document is
-    kept if a hash of its id, even on 0 to 1, lies below its cell's. So
-    repeated rows are kept or left out together, and the expected tokens hold
-    for every cell. Null sources, languages and topics are values of their
-    own, "(null)"; null texts count one token; a null id is hashed as "(null)".
-    An empty table gives no rows.
+    target marginals, cells get calibrated probabilities (see ``calibrate``),
+    and a document is kept if a hash of its id, even on 0 to 1, lies below its
+    cell's. So repeated rows are kept or left out together, and the expected
+    tokens hold for every cell. Tokens are those of ``tokenizer``, whole texts.
+    Null sources, languages and topics are values of their own, "(null)"; null
+    and empty texts count one token; a null id is hashed as "(null)". An empty
+    table gives no rows. Other columns are not read.
     """
-    marked = _marked(docs, topic, id_col, text_col, source_col, lang_col)
-    joined = _placed(marked, marked, targets, keep)
-    return joined.select(F.col("__id").alias(id_col), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__probability").alias("probability"), _drawn().alias("kept"))
+    marked = checkpointed(_counted(docs, tokenizer, topic, id_col, text_col, source_col, lang_col))
+    drawn = _probabilities(marked, targets, keep, limits)
+    joined = marked.join(drawn, list(DIMS))
+    return joined.select(F.col("id").alias(id_col), *DIMS, "tokens", "probability", "marginal_error", "draw_error", _drawn(F.col("id"), F.col("probability")).alias("kept"))
 
 
-def sample(docs: DataFrame, topic: Column | None = None, targets: Mapping = TARGETS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``mix`` keeps, with all their columns."""
-    marked = _marked(docs, topic, id_col, text_col, source_col, lang_col)
-    return _placed(marked.withColumn("__row", F.struct(*docs.columns)), marked, targets, keep).where(_drawn()).select("__row.*")
+def sample(docs: DataFrame, tokenizer: Tokenizer, topic: Column | None = None, targets: Mapping = TARGETS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, with all their columns, whatever their names."""
+    drawn = _probabilities(_counted(docs, tokenizer, topic, id_col, text_col, source_col, lang_col), targets, keep, limits)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), *_dims(topic, text_col, source_col, lang_col))
+    return rows.join(drawn, list(DIMS)).where(_drawn(F.col("id"), F.col("probability"))).select("row.*")
 
 
-def _marked(docs: DataFrame, topic: Column | None, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    named = {"__source": F.col(source_col), "__lang": F.col(lang_col), "__topic": topic_of(F.col(text_col)) if topic is None else topic}
-    named = {k: F.coalesce(v.cast("string"), F.lit("(null)")) for k, v in named.items()}
-    return docs.withColumns(named | {"__id": F.col(id_col), "__tokens": F.coalesce(tokens_of(F.col(text_col)), F.lit(1).cast("bigint"))})
+def _dims(topic: Column | None, text_col: str, source_col: str, lang_col: str) -> list[Column]:
+    named = (F.col(source_col), F.col(lang_col), topic_of(F.col(text_col)) if topic is None else topic)
+    return [F.coalesce(c.cast("string"), F.lit("(null)")).alias(d) for c, d in zip(named, DIMS)]
 
 
-def _placed(rows: DataFrame, marked: DataFrame, targets: Mapping, keep: float) -> DataFrame:
-    cells = marked.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens"))
-    drawn = checkpointed(probabilities(rake(checkpointed(cells), targets), keep).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("probability").alias("__probability")))
-    return rows.join(F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn, [f"__{d}" for d in DIMS])
+def _counted(docs: DataFrame, tokenizer: Tokenizer, topic: Column | None, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """(id, source, lang, topic, tokens) of every row."""
+    key = F.struct(F.col(id_col).alias("id"), *_dims(topic, text_col, source_col, lang_col))
+    counts = count_tokens(docs.select(key.alias("key"), F.col(text_col).alias("text")), tokenizer.path, tokenizer.pattern, "key", "text")
+    return counts.select("key.*", F.greatest(F.lit(1), F.col("n_tokens")).cast("bigint").alias("tokens"))
 
 
-def _drawn() -> Column:
-    key = F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("__id").cast("string"), F.lit("(null)")))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0) < F.col("__probability")
+def _probabilities(marked: DataFrame, targets: Mapping, keep: float, limits: Mapping) -> DataFrame:
+    cells = marked.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
+    drawn = checkpointed(calibrate(cells, targets, keep, **limits).select(*DIMS, "probability", "marginal_error", "draw_error"))
+    return F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
 
 
-def oracle(targets: Mapping = TARGETS, keep: float = KEEP, rounds: int = ROUNDS) -> str:
-    """The same mixture in DuckDB SQL, over the table ``documents``."""
-    steps = []
-    for dim in DIMS:
-        want = targets[dim]
-        raw = f"pow(share, {want})" if not isinstance(want, Mapping) else "CASE " + " ".join(f"WHEN {dim} = '{k}' THEN {w}" for k, w in want.items()) + " ELSE share END"
-        steps.append(f"s_{dim} AS MATERIALIZED (SELECT {dim}, raw / sum(raw) OVER () * (SELECT sum(tokens) FROM cells)::DOUBLE AS want FROM (SELECT {dim}, ({raw})::DOUBLE AS raw FROM (SELECT {dim}, sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM cells)::DOUBLE AS share FROM cells GROUP BY {dim})))")
-    last = "(SELECT *, tokens::DOUBLE AS w FROM cells)"
-    for k in range(rounds):
-        for dim in DIMS:
-            steps.append(f"w{k}_{dim} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * (want / sum(w) OVER (PARTITION BY {dim})) AS w FROM {last} JOIN s_{dim} USING ({dim}))")
-            last = f"w{k}_{dim}"
-    steps.append(f"l0 AS MATERIALIZED (SELECT {keep} * sum(tokens)::DOUBLE / sum(w) AS scale FROM {last})")
-    for k in range(1, 9):
-        steps.append(f"l{k} AS MATERIALIZED (SELECT ({keep} * sum(tokens)::DOUBLE - coalesce(sum(tokens) FILTER (tokens <= scale * w), 0)::DOUBLE) / sum(w) FILTER (tokens > scale * w) AS scale FROM {last}, l{k - 1})")
-    joined = ",\n".join(steps)
-    return rf"""
-WITH d AS MATERIALIZED (
-    SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
-        CASE WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[#*$%&]{{3}}') THEN 'symbols' WHEN text = upper(text) THEN 'capitals' ELSE 'prose' END AS topic,
-        coalesce(greatest(1, ceil(strlen(text) / 4)), 1)::BIGINT AS tokens
-    FROM documents
-), cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
-{joined},
-p AS (SELECT source, lang, topic, round(least(1.0, scale * w / tokens), 6) AS probability FROM {last}, l8)
-SELECT doc_id, source, lang, topic, tokens, probability,
-    ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '(null)')), 1, 8))::BIGINT / 4294967296.0 < probability AS kept
-FROM d JOIN p USING (source, lang, topic)
-"""
+def _drawn(key: Column, probability: Column) -> Column:
+    text = F.concat(F.lit(f"{SEED}|"), F.coalesce(key.cast("string"), F.lit("(null)")))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0) < probability

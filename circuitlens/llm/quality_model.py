@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from circuitlens.llm.common import text_blocks
 
-#: Bounds of the labelled sample that the model is fitted on: documents, and lines of each.
-TRAIN_DOCS, TRAIN_LINES = 4000, 128
+#: Bounds of the labelled sample that the model is fitted on: whole documents, and the lines of all of them together.
+TRAIN_DOCS, TRAIN_LINES = 4000, 150_000
+#: Lines of a chain while the field is fitted; scoring takes whole texts.
+CHAIN = 128
 CUTOFF = 0.3
 FOLDS = 5
 
@@ -139,12 +141,22 @@ def _adam(gradient, parameters: np.ndarray, rounds: int, rate: float) -> np.ndar
     return parameters
 
 
+def chains(lines_of: np.ndarray, longest: int = CHAIN) -> np.ndarray:
+    """Lengths of the chains that texts of so many lines are learnt in: whole, or in runs of ``longest`` lines."""
+    runs = -(-lines_of // longest)
+    sizes = np.full(int(runs.sum()), longest, np.int64)
+    sizes[np.cumsum(runs) - 1] = lines_of - (runs - 1) * longest
+    return sizes
+
+
 def fit(features: np.ndarray, size: np.ndarray, lines_of: np.ndarray, quality: np.ndarray) -> Model:
     """Fit the field on documents' labels.
 
     Lines have no labels of their own. All lines of good documents are good; a
     first model tells which lines of bad documents are bad (those it finds
-    worse than even, and the worst one), and the field is fitted on these.
+    worse than even, and the worst one), and the field is fitted on these. All
+    lines count; a text of more than ``CHAIN`` lines is learnt in runs of so
+    many, which lose the moves between runs and nothing else.
     """
     if not len(quality) or quality.min() == quality.max():
         width = features.shape[1]
@@ -163,12 +175,14 @@ def fit(features: np.ndarray, size: np.ndarray, lines_of: np.ndarray, quality: n
     worst = np.minimum.reduceat(p, begin)[doc]
     label = np.where(y > 0, 1, np.where((p < 0.5) | (p <= worst), 0, 1)).astype(np.int64)
 
-    inside = np.flatnonzero(doc[1:] == doc[:-1])
+    parts = chains(lines_of)
+    part = np.repeat(np.arange(len(parts)), parts)
+    inside = np.flatnonzero(part[1:] == part[:-1])
     seen = np.zeros((2, 2))
     np.add.at(seen, (label[inside], label[inside + 1]), 1)
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        q, expected = marginals(x @ w[:-4], lines_of, w[-4:].reshape(2, 2))
+        q, expected = marginals(x @ w[:-4], parts, w[-4:].reshape(2, 2))
         return np.concatenate([x.T @ (label - q), (seen - expected).ravel()]) / n - 0.001 * w
 
     w = _adam(gradient, np.concatenate([first, np.zeros(4)]), 150, 0.05)
@@ -187,26 +201,37 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = TRAIN_DOCS, max_lines: int = TRAIN_LINES) -> Model:
     """A model fitted on at most ``max_docs`` labelled documents that are not held out.
 
-    The documents are those whose ids hash lowest, and of each the first
-    ``max_lines`` lines are used: the stated bounds of what reaches the driver.
-    Rows with a null id or label don't count; a document with several labels
-    takes the lowest.
+    The documents are those whose ids hash lowest. Each is used whole: they
+    are taken in that order while their lines fit into ``max_lines``, and one
+    that doesn't fit any more is passed over. These bounds hold for what
+    reaches the driver, as repeated rows are merged before. Rows with a null
+    id or label don't count; a document with several labels takes the lowest,
+    and several texts of one id are documents of their own.
     """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     one = usable.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__quality"))
-    chosen = one.orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
+    ids = one.orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    picked = texts.join(F.broadcast(chosen), "__id").select("__quality", "__text", "__id")  # max_docs rows at most
+    texts = texts.join(F.broadcast(ids), "__id").withColumn("__digest", F.md5("__text"))  # max_docs ids at most
+    lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1
+    listed = texts.select("__id", "__digest", lines.alias("__lines")).distinct().orderBy(F.xxhash64("__id"), "__id", "__digest").limit(max_docs)
+    chosen, used = [], 0
+    for row in listed.collect():  # max_docs rows of three values
+        if used + row["__lines"] <= max_lines:
+            chosen.append(row)
+            used += row["__lines"]
+    wanted = docs.sparkSession.createDataFrame(chosen, listed.schema).drop("__lines")
+    picked = texts.join(F.broadcast(wanted), ["__id", "__digest"]).dropDuplicates(["__id", "__digest"]).select("__quality", "__text", F.concat_ws("|", F.col("__id").cast("string"), "__digest").alias("__key"))
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             rows = []
-            for quality, text, doc in zip(*(c.to_pylist() for c in block.columns)):
-                features, size, _ = line_features(["\n".join(text.split("\n", max_lines)[:max_lines])])
-                rows.append((str(doc), quality, features.astype("<f4").tobytes(), size.astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_pydict(dict(zip(("id", "quality", "features", "size"), map(list, zip(*rows)))), schema=pa.schema([("id", pa.string()), ("quality", pa.int32()), ("features", pa.binary()), ("size", pa.binary())]))
+            for quality, text, key in zip(*(c.to_pylist() for c in block.columns)):
+                features, size, _ = line_features([text])
+                rows.append((key, quality, features.astype("<f4").tobytes(), size.astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_pydict(dict(zip(("key", "quality", "features", "size"), map(list, zip(*rows)))), schema=pa.schema([("key", pa.string()), ("quality", pa.int32()), ("features", pa.binary()), ("size", pa.binary())]))
 
-    rows = sorted({(r["id"], r["quality"], bytes(r["features"]), bytes(r["size"])) for r in picked.mapInArrow(featured, "id string, quality int, features binary, size binary").collect()})
+    rows = sorted(picked.mapInArrow(featured, "key string, quality int, features binary, size binary").collect())
     sizes = [np.frombuffer(r[3], "<f4").astype(np.float64) for r in rows]
     width = line_features([""])[0].shape[1]
     features = np.concatenate([np.frombuffer(r[2], "<f4").reshape(-1, width) for r in rows]).astype(np.float64) if rows else np.zeros((0, width))
