@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from circuitlens.llm import bpe, mixing, quality_rules, secrets, simhash
-from circuitlens.llm.common import read, shared_folder
+from circuitlens.llm.common import read
+from circuitlens.sources import shared
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: the documents that are drawn stay."""
-    return mixing.sample(docs)
+    return mixing.sample(docs, mixing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; each result but the last is a Parquet table in the shared folder."""
-    docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the whole table; each result but the last is a Parquet table in the shared folder.
+
+    A table is deleted when the next one is written; the last stage has read
+    its documents when it returns, so nothing of the pipeline's stays behind.
+    """
+    docs, folder = read(spark, sf_dir, "documents"), shared.scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            shared.delete(spark, f"{folder}/{k - 1}")
+    shared.delete(spark, folder)
     return docs
