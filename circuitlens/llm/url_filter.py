@@ -39,10 +39,15 @@ def _rules(rules: tuple, host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _model_text(host: Column, path: Column) -> Column:
+    """What the models read of a URL: host and path, A-Z lower-cased, with one sign for all characters beyond U+FFFF."""
+    return F.translate(F.regexp_replace(F.concat(host, path), r"[\x{10000}-\x{10FFFF}]", "\ufffd"), UPPER, LOWER)
+
+
 def _grams(text: Column, order: int) -> Column:
-    """Each character of a text and its end, with the ``order`` characters before it."""
-    padded = F.concat(F.lit("\x02" * order), F.lower(text), F.lit("\x03"))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))
+    """Each character of a text and its end, with the ``order`` characters before it; in time linear in the text."""
+    padded = F.concat(F.lit("\x02" * order), text, F.lit("\x03"))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order + 1}}}))"), 1)
 
 
 def _counts(labelled: DataFrame, order: int) -> DataFrame:
@@ -102,28 +107,29 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id",
     one without ``://`` has empty host and path; its score counts only the end
     of the text. Null ids and repeated rows stay; other columns are not read.
 
-    Grams, not URLs, meet in the joins: counts are summed before each shuffle,
-    and the join of URL grams with their ratios has a shuffle on both sides, so
-    grams that every URL holds can be split.
+    Grams, not URLs, meet in the joins: counts are summed before each shuffle.
+    The tables that grams are joined with are checkpoints, so both sides of
+    these joins are plain shuffles and a gram that every URL holds is split.
+    The models tell no characters beyond U+FFFF apart.
     """
     host, path = _parts(F.col("__url"))
     parsed = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url")).select("__id", host.alias("host"), path.alias("path"))
     rule, ruled = _rules(rules, F.col("host"), F.col("path"))
-    parsed = parsed.select("__id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
+    parsed = parsed.select("__id", "host", "path", rule.alias("rule"), ruled.alias("ruled"), _model_text(F.col("host"), F.col("path")).alias("text"))
 
-    texts = parsed.groupBy(F.concat("host", "path").alias("text")).agg(F.max("ruled").alias("ruled"), F.count("*").alias("rows"))
-    texts = checkpointed(texts.withColumn("fold", (F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("int") % FOLDS)))
+    texts = parsed.groupBy("text").agg(F.max("ruled").alias("ruled"), F.count("*").alias("rows"))
+    texts = checkpointed(texts.withColumn("fold", (F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("int") % FOLDS)).withColumn("row", F.monotonically_increasing_id()))
     training = texts.where("ruled is not null and fold <> 0").select("text", (F.col("ruled") == "allow").alias("accepted"))
     counts = _counts(training, order)
-    scored = texts.where("ruled is null or fold = 0").select("text", "ruled", F.explode(_grams(F.col("text"), order)).alias("gram"))
-    ratios = _ratios(scored.select("gram").distinct(), counts, order)
-    means = scored.join(ratios, "gram").groupBy("text", "ruled").agg((F.sum(F.round("ratio", 6).cast("decimal(18,6)")).cast("double") / F.count("*")).alias("score"))
+    scored = texts.where("ruled is null or fold = 0").select("row", "ruled", F.explode(_grams(F.col("text"), order)).alias("gram"))
+    ratios = checkpointed(_ratios(scored.select("gram").distinct(), counts, order))  # so that the next join shuffles both sides
+    means = scored.join(ratios, "gram").groupBy("row", "ruled").agg((F.sum(F.round("ratio", 6).cast("decimal(18,6)")).cast("double") / F.count("*")).alias("score"))
     means = checkpointed(means.withColumn("score", F.round("score", 6)))
 
     grid = means.where("ruled is not null").groupBy(F.ceil(F.col("score") * 100).cast("long").alias("bin")).agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
     threshold = F.lit(_threshold(grid))
-    models = means.where("ruled is null").select("text", "score")
-    out = parsed.withColumn("text", F.concat("host", "path")).join(models, "text", "left")
+    models = means.where("ruled is null").join(texts, "row").select("text", "score")
+    out = parsed.join(models, "text", "left")
     verdict = F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return out.select(F.col("__id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"))
 
@@ -158,14 +164,14 @@ def oracle(rules: tuple = RULES, order: int = ORDER) -> str:
         for i in (0, 1):
             odds[i] = f"(CASE WHEN c{i}_{k} > 0 THEN (n{i}_{k} + t{i}_{k} * {odds[i]}) / (c{i}_{k} + t{i}_{k})::DOUBLE ELSE {odds[i]} END)"
     levels = ", ".join(f"max(CASE WHEN k = {k} THEN coalesce({c}, 0) END) AS {c}_{k}" for k in range(order + 1) for c in ("n0", "n1", "c0", "c1", "t0", "t1"))
-    grams = f"unnest(list_transform(range(1, length(text) + 2), lambda i: substr(repeat(chr(2), {order}) || lower(text) || chr(3), i, {order + 1}))) AS gram"
+    grams = f"unnest(list_transform(range(1, length(text) + 2), lambda i: substr(repeat(chr(2), {order}) || text || chr(3), i, {order + 1}))) AS gram"
     return rf"""
 WITH u AS (
     SELECT page_id, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages
 ), h AS (
     SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u
 ), p AS (
-    SELECT page_id, host, path, host || path AS text, {rule} AS rule, {verdict} AS ruled FROM h
+    SELECT page_id, host, path, translate(regexp_replace(host || path, '[\x{{10000}}-\x{{10FFFF}}]', chr(65533), 'g'), '{UPPER}', '{LOWER}') AS text, {rule} AS rule, {verdict} AS ruled FROM h
 ), x AS (
     SELECT text, max(ruled) AS ruled, ('0x' || substr(md5(text), 1, 4))::INT % {FOLDS} AS fold FROM p GROUP BY text
 ), top AS (
