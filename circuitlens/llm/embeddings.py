@@ -3,11 +3,15 @@
 Vectors are scaled to length one and rotated by a fixed random Hadamard
 rotation, which spreads every difference evenly, then split into blocks of a
 few dimensions. A cosine of t leaves a squared distance of 2 - 2t; of m equal
-blocks at least one has no more than its m-th part of it. Each block is
-range-joined under that budget: cells along the block's first coordinate, every
-vector at home in one cell and replicated to the cells that its range reaches.
-The candidates of all blocks are verified exactly, in double precision; a pair
-is taken up in the first block in which it is a candidate.
+blocks at least one has no more than its m-th part of it. The vectors of a group
+are dealt into tiles, and each pair of tiles is range-joined block by block under
+that budget: windows along the block's first coordinate, then the distance in
+the block. The candidates of all blocks are verified exactly, in double precision;
+a pair is taken up in the first block in which it is a candidate.
+
+Tiles are not cut along coordinates: the range of a block (0.13 for a cosine of
+0.93 and 8 of 64 dimensions) is as wide as its coordinates spread (0.125), so a
+vector would be replicated to about all cells of every block.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from circuitlens.llm.common import checkpointed, sorted_groups
 from circuitlens.llm.components import components
 
-#: Dimensions of a block; vectors in a cell that are compared in one tile; pairs that are verified at once.
-BLOCK_DIMS, TILE, PAIRS = 8, 8192, 65_536
+#: Dimensions of a block; vectors of a tile; pairs that are verified at once.
+BLOCK_DIMS, TILE, PAIRS = 8, 4096, 65_536
 SEED = 20_240_501
 #: Room for the rounding of rotated coordinates to 32 bits.
 SLACK = 1e-5
@@ -61,31 +65,6 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _spread(threshold: float, width: str):
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                raw = [batch.column("packed")[int(i)].as_buffer() for i in rows]
-                x = rotate(np.stack([np.frombuffer(r, width) for r in raw]).astype(np.float64))
-                some = batch.take(pa.array(rows))
-                for k, block in enumerate(_blocks(x.shape[1])):
-                    reach = np.sqrt(_budget(block, x.shape[1], threshold))
-                    at = x[:, block.start]
-                    home, low, high = (np.floor(v / (2 * reach)).astype(np.int32) for v in (at, at - reach, at + reach))
-                    for cell in (home - 1, home, home + 1):
-                        touched = np.flatnonzero((low <= cell) & (cell <= high))
-                        if len(touched):
-                            part = some.take(pa.array(touched))
-                            yield pa.RecordBatch.from_arrays(
-                                [*(part.column(c) for c in ("group", "dim", "vec", "copies", "packed")), pa.array(np.full(len(touched), k, np.int32)), pa.array(cell[touched]), pa.array(cell[touched] == home[touched])],
-                                names=["group", "dim", "vec", "copies", "packed", "block", "cell", "home"],
-                            )
-
-    return spread
-
-
 def _union(roots: dict[int, int], x: int) -> int:
     while (up := roots.get(x, x)) != x:
         roots[x] = roots.get(up, up)
@@ -94,46 +73,51 @@ def _union(roots: dict[int, int], x: int) -> int:
 
 
 def _compare(threshold: float, width: str):
-    keys = ["group", "dim", "block", "cell", "i", "j"]
+    keys = ["group", "dim", "i", "j"]
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, keys):
-            side = np.array(table.column("side").to_pylist())
-            left, right = np.flatnonzero(side != "R"), np.flatnonzero(side != "L")
-            if not len(left) or len(right) < 2 and len(side) < 2:
-                continue
             vec, copies = table.column("vec").to_numpy(), table.column("copies").to_numpy()
-            packed = table.column("packed").combine_chunks()
-            raw = np.stack([np.frombuffer(v.as_buffer(), width) for v in packed]).astype(np.float64)
+            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            mine = table.column("mine").to_numpy()
+            left, right = (np.flatnonzero(mine == t) for t in (i, j))
+            if not len(left) or not len(right) or len(vec) < 2:
+                continue
+            raw = np.stack([np.frombuffer(v.as_buffer(), width) for v in table.column("packed").combine_chunks()]).astype(np.float64)
             norms = np.sqrt((raw * raw).sum(axis=1))
             x = rotate(raw)
             blocks = _blocks(x.shape[1])
-            k = table.column("block")[0].as_py()
             counts, roots, links = np.zeros(len(vec), np.int64), {}, []
-            part, budget = np.ascontiguousarray(x[:, blocks[k]]), _budget(blocks[k], x.shape[1], threshold)
-            first, squares, reach = part[:, 0], (part * part).sum(axis=1), np.sqrt(budget) + 1e-9
-            left, right = left[np.argsort(first[left], kind="stable")], right[np.argsort(first[right], kind="stable")]
-            for start in range(0, len(left), 256):
-                some = left[start : start + 256]
-                low, high = np.searchsorted(first[right], [first[some[0]] - reach, first[some[-1]] + reach])
-                window = right[low:high]
-                roughly = squares[some][:, None] + squares[window][None, :] - 2 * (part[some] @ part[window].T)
-                pairs = np.argwhere(roughly <= budget + 1e-9)
-                for at in range(0, len(pairs), PAIRS):
-                    a, b = some[pairs[at : at + PAIRS, 0]], window[pairs[at : at + PAIRS, 1]]
-                    near = (vec[a] != vec[b]) & (_far(part[a], part[b]) <= budget)
-                    a, b = a[near], b[near]
-                    for earlier in blocks[:k]:
-                        fresh = _far(x[a][:, earlier], x[b][:, earlier]) > _budget(earlier, x.shape[1], threshold)
-                        a, b = a[fresh], b[fresh]
-                    linked = (raw[a] * raw[b]).sum(axis=1) / (norms[a] * norms[b]) >= threshold
-                    a, b = a[linked], b[linked]
-                    np.add.at(counts, a, copies[b])
-                    for p, q in zip(a.tolist(), b.tolist()):
-                        m, n = _union(roots, p), _union(roots, q)
-                        if m != n:
-                            roots[max(m, n)] = min(m, n)
-                            links.append((p, q))
+            for k, block in enumerate(blocks):
+                part, budget = np.ascontiguousarray(x[:, block]), _budget(block, x.shape[1], threshold)
+                first, squares, reach = part[:, 0], (part * part).sum(axis=1), np.sqrt(budget) + 1e-9
+                some_left, some_right = left[np.argsort(first[left], kind="stable")], right[np.argsort(first[right], kind="stable")]
+                for start in range(0, len(left), 256):
+                    some = some_left[start : start + 256]
+                    low, high = np.searchsorted(first[some_right], [first[some[0]] - reach, first[some[-1]] + reach])
+                    if i == j:
+                        low = start  # a pair within a tile is met once, from its first vector in this order
+                    window = some_right[low:high]
+                    roughly = squares[some][:, None] + squares[window][None, :] - 2 * (part[some] @ part[window].T)
+                    pairs = np.argwhere(roughly <= budget + 1e-9)
+                    if i == j:
+                        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+                    for at in range(0, len(pairs), PAIRS):
+                        a, b = some[pairs[at : at + PAIRS, 0]], window[pairs[at : at + PAIRS, 1]]
+                        near = _far(part[a], part[b]) <= budget
+                        a, b = a[near], b[near]
+                        for earlier in blocks[:k]:
+                            fresh = _far(x[a][:, earlier], x[b][:, earlier]) > _budget(earlier, x.shape[1], threshold)
+                            a, b = a[fresh], b[fresh]
+                        linked = (raw[a] * raw[b]).sum(axis=1) / (norms[a] * norms[b]) >= threshold
+                        a, b = a[linked], b[linked]
+                        np.add.at(counts, a, copies[b])
+                        np.add.at(counts, b, copies[a])
+                        for p, q in zip(a.tolist(), b.tolist()):
+                            m, n = _union(roots, p), _union(roots, q)
+                            if m != n:
+                                roots[max(m, n)] = min(m, n)
+                                links.append((p, q))
             some = np.flatnonzero(counts)
             if len(some):
                 pairs = np.array(links, np.int64).reshape(-1, 2)
@@ -160,8 +144,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     with a null id take part as copies of others, else they link with nothing.
     Other columns are not read.
 
-    A cell with more than ``tile`` vectors is dealt into tiles, each pair of
-    which is compared in a group of its own, so the memory of a task is bounded.
+    The vectors of a group and length are dealt into tiles of about ``tile``, and
+    each pair of tiles is compared in a group of its own, to which a vector goes
+    once for all blocks; so the memory of a task is bounded. A group within one
+    tile is sent once. The pairs to look at grow with the square of a group's
+    distinct vectors: no exact method prunes what is spread evenly.
     """
     width = "<f4" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "<f8"  # as exact as the column
     v = F.col("vec")
@@ -178,16 +165,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(dims, pa.int32()), batch.column("first"), batch.column("copies"), pa.array(packed, pa.binary())], names=["group", "dim", "vec", "copies", "packed"])
 
     packed = distinct.where("first is not null").mapInArrow(pack, "group string, dim int, vec bigint, copies bigint, packed binary")
-    cells = packed.mapInArrow(_spread(threshold, width), "group string, dim int, vec bigint, copies bigint, packed binary, block int, cell int, home boolean")
-    keys = ["group", "dim", "block", "cell"]
-    large = cells.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    packed = checkpointed(packed)
+    keys = ["group", "dim"]
+    large = packed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > tile)
     large = checkpointed(large.select(*keys, F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
-    dealt = cells.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, keys, "left")
+    dealt = packed.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, keys, "left")
     tiles = F.coalesce("tiles", F.lit(1))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("vec"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    as_left = F.when(F.col("home"), F.struct(F.col("mine").alias("i"), F.col("other").alias("j"), F.when(F.col("mine") == F.col("other"), "B").otherwise("L").alias("side")))
-    as_right = F.when(~F.col("home") | (F.col("mine") != F.col("other")), F.struct(F.col("other").alias("i"), F.col("mine").alias("j"), F.lit("R").alias("side")))
-    tiled = dealt.select(*keys, "vec", "copies", "packed", F.explode(F.array_compact(F.array(as_left, as_right))).alias("place")).select(*keys, "place.*", "vec", "copies", "packed")
+    tiled = dealt.select(*keys, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "vec", "copies", "packed")
     grouped = tiled.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
     found = checkpointed(grouped.mapInArrow(_compare(threshold, width), "a bigint, b bigint, n bigint"))
 

@@ -69,6 +69,7 @@ def quality_rules(
     host_col: str = "source",
     min_docs: int = 20,
     max_share: float = 0.01,
+    max_docs: int = 200,
     min_left: float = 0.3,
 ) -> DataFrame:
     """Base rules and the verdict of cross-document line frequency, one row per input row.
@@ -77,7 +78,8 @@ def quality_rules(
     words in repeated windows of three. Line frequency: normalised lines are
     hashed and the distinct documents of each host that hold them counted,
     exact copies as one. A line is above the limits if more than ``min_docs``
-    documents and more than ``max_share`` of the host's documents hold it; it
+    documents hold it, and these are more than ``max_share`` of the host's or
+    more than ``max_docs`` (so that the limit stays fixed on a large host); it
     is removed from all of them but the one with the smallest id. A document
     left with less than ``min_left`` of its words is depleted.
 
@@ -105,7 +107,7 @@ def quality_rules(
     hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
     held = texts.select("host", "first", F.explode("hashes").alias("hash"))
     counts = held.groupBy("host", "hash").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > min_docs)
-    frequent = checkpointed(counts.join(hosts, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "hash", "first"))
+    frequent = checkpointed(counts.join(hosts, "host").where((F.col("n") > max_share * F.col("docs")) | (F.col("n") > max_docs)).select("host", "hash", "first"))
     lines = rows.select("row", "id", "host", F.explode(F.arrays_zip("hashes", "words")).alias("line"))
     lines = lines.select("row", "id", "host", F.col("line.hashes").alias("hash"), F.col("line.words").alias("words"))
     hit = lines.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent, ["host", "hash"])
@@ -147,7 +149,7 @@ WITH d AS (
 ), lost AS (
     SELECT l.row_id, sum(len(string_split(l.line, ' '))) AS gone
     FROM l JOIN counts c ON l.host = c.host AND l.line = c.line JOIN hosts h ON h.host = l.host
-    WHERE c.c > 20 AND c.c > 0.01 * h.docs AND (l.doc_id IS NULL OR l.doc_id <> c.first) GROUP BY l.row_id
+    WHERE c.c > 20 AND (c.c > 0.01 * h.docs OR c.c > 200) AND (l.doc_id IS NULL OR l.doc_id <> c.first) GROUP BY l.row_id
 ), j AS (
     SELECT n.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0)::BIGINT AS n_removed_words
@@ -160,16 +162,17 @@ FROM j
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
-    """The documents that the rules keep, all columns, without the lines above the limits.
+    """The documents that the rules keep, all columns whatever their names, without the lines above the limits.
 
     A verdict belongs to an id, host and text, so repeated rows share it; null
-    ids and hosts meet their own verdicts.
+    ids and hosts meet their own verdicts; null texts fail the base rules.
     """
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
-    own = docs.withColumns({"__id": F.col(id_col), "__host": host, "__digest": F.md5(F.coalesce(F.col(text_col), F.lit("")))})
-    judged = quality_rules(own, id_col, text_col, "__host", **limits).where("kept")
-    judged = judged.select(F.col(id_col).alias("__v_id"), F.col("digest").alias("__v_digest"), F.col("host").alias("__v_host"), F.col("removed").alias("__removed")).dropDuplicates(["__v_id", "__v_digest", "__v_host"])
-    same = own["__id"].eqNullSafe(judged["__v_id"]) & (own["__digest"] == judged["__v_digest"]) & (own["__host"] == judged["__v_host"])
-    lines = F.filter(F.split(text_col, "\n"), lambda line: ~F.array_contains(F.col("__removed"), line_key(line)))
-    cleaned = F.when(F.size("__removed") > 0, F.array_join(lines, "\n")).otherwise(F.col(text_col))
-    return own.join(judged, same).select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.alias("host"))
+    judged = quality_rules(own.select("id", "text", "host"), "id", "text", "host", **limits).where("kept")
+    key = lambda text: F.md5(F.to_json(F.struct("id", "host", text.alias("digest")))).alias("key")
+    judged = judged.select(key(F.col("digest")), "removed").dropDuplicates(["key"])
+    joined = own.withColumn("key", key(F.md5(F.coalesce(F.col("text"), F.lit(""))))).join(judged, "key")
+    lines = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains(F.col("removed"), line_key(line)))
+    cleaned = F.when(F.size("removed") > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))
+    return joined.select(*[cleaned.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
