@@ -155,8 +155,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     numbered = checkpointed(picked.mapInArrow(number, f"block bigint, part int, keys array<{id_type}>, payload binary, n int, words array<string>"))
     words = numbered.where("part < 0").select("block", "n", F.posexplode("words").alias("k", "word")).select("block", (F.col("n") + F.col("k")).alias("n"), "word")
     encoded = checkpointed(words.select("word").distinct().mapInArrow(merge, "word string, ids array<int>"))  # so that the join shuffles both sides
-    back = words.join(encoded, "word").select("block", F.lit(-1).alias("part"), F.lit(None).cast(f"array<{id_type}>").alias("keys"), F.lit(None).cast("binary").alias("payload"), "n", "ids")
-    texts = numbered.where("part >= 0").select("block", "part", "keys", "payload", "n", F.lit(None).cast("array<int>").alias("ids"))
+    # no nulls: a writer of Arrow batches goes over all nulls of a column of lists or bytes again at every row
+    back = words.join(encoded, "word").select("block", F.lit(-1).alias("part"), F.array().cast(f"array<{id_type}>").alias("keys"), F.lit(bytearray()).alias("payload"), "n", "ids")
+    texts = numbered.where("part >= 0").select("block", "part", "keys", "payload", F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.where("part = 0").count())
     together = texts.unionByName(back).repartition(blocks, "block").sortWithinPartitions("block", "part")
     return together.mapInArrow(assemble, f"__id {id_type}, ids array<int>").withColumnRenamed("__id", id_col)
