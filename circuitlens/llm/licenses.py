@@ -2,75 +2,54 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Known licence sentences, normalised (lower case, words of a-z and 0-9), by identifier.
-SENTENCES = {
-    "apache_under": "licensed under the apache license version 2 0",
-    "apache_the": "licensed under the apache license version 2 0 the license",
-    "apache_use": "you may not use this file except in compliance with the license",
-    "apache_copy": "you may obtain a copy of the license at",
-    "apache_asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "apache_see": "see the license for the specific language governing permissions and limitations under the license",
-    "mit_released": "released under the mit license",
-    "mit_licensed": "licensed under the mit license",
-    "mit_title": "mit license",
-    "mit_title_the": "the mit license",
-    "mit_title_x": "the mit license mit",
-    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "gpl3_work": "this work is licensed under the gnu general public license version 3",
-    "gpl2_work": "this work is licensed under the gnu general public license version 2",
-    "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl_see": "see the gnu general public license for more details",
-    "bsd_terms": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd_name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "bsd3_under": "licensed under the bsd 3 clause license",
-    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl_subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "ccby_work": "this work is licensed under a creative commons attribution 4 0 international license",
-    "ccby_under": "licensed under cc by 4 0",
-    "ccbysa_under": "licensed under cc by sa 4 0",
-    "ccbync_under": "licensed under cc by nc 4 0",
-    "cc0_under": "licensed under cc0 1 0",
-    "rights": "all rights reserved",
-}
-
-#: Licence rules in order of precedence; a rule asks for its sentences in this order, others may stand between.
-RULES = (
-    ("Apache-2.0", ("apache_the", "apache_use", "apache_copy", "apache_asis", "apache_see")),
-    ("Apache-2.0", ("apache_under", "apache_use", "apache_copy", "apache_asis", "apache_see")),
-    ("Apache-2.0", ("apache_under",)),
-    ("MIT", ("mit_grant", "mit_notice")),
-    ("MIT", ("mit_released",)),
-    ("MIT", ("mit_licensed",)),
-    ("GPL-3.0-or-later", ("gpl_free", "gpl_hope")),
-    ("GPL-2.0-or-later", ("gpl2_free", "gpl_hope")),
-    ("GPL-3.0", ("gpl3_work",)),
-    ("GPL-2.0", ("gpl2_work",)),
-    ("BSD-3-Clause", ("bsd_terms", "bsd_source", "bsd_binary", "bsd_name")),
-    ("BSD-3-Clause", ("bsd3_under",)),
-    ("BSD-2-Clause", ("bsd_terms", "bsd_source", "bsd_binary")),
-    ("ISC", ("isc_grant",)),
-    ("MPL-2.0", ("mpl_subject",)),
-    ("CC-BY-NC-4.0", ("ccbync_under",)),
-    ("CC-BY-SA-4.0", ("ccbysa_under",)),
-    ("CC-BY-4.0", ("ccby_work",)),
-    ("CC-BY-4.0", ("ccby_under",)),
-    ("CC0-1.0", ("cc0_under",)),
-    ("proprietary", ("rights",)),
-)
+from circuitlens.llm.license_data import OTHERS, all_notices
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Ends of sentences: where every line ends one, and where lines are wrapped and paragraphs end one.
+SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n"
+WRAPPED_END = r"[.!?]+[ \t\r\n]+|:[ \t\r]*\n|\n[ \t\r]*\n"
+#: The marks of comments and lists at the start of a line.
+MARGIN = r"\n[ \t]*[#*/;%>-]+[ \t]*"
+#: Clauses that name an organisation, as they are known.
+ORGANISATION = (r"^neither the name of [a-z0-9 ]{1,120}? nor the names of", "neither the name of the copyright holder nor the names of")
 #: A word of which each known sentence holds one, so texts without any need no lexing.
-ANCHORS = ("license", "licensed", "permission", "copyright", "redistribut", "warrant", "reserved")
+ANCHORS = ("licen", "permission", "permitted", "copyright", "redistribut", "warrant", "reserved", "unencumbered", "anyone", "misrepresented", "liable", "perl", "creative commons")
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SENTENCE_END = r"[.!?;:][.!?;:]*[ \t\r\n]+|\n"
-WRAPPED_END = r"[.!?;:][.!?;:]*[ \t\r\n]+|\n[ \t\r]*\n"
+
+def _plain(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def _tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Known sentences as the splitter yields them, by identifier, and the rules: a licence and its sentences in order."""
+    known: dict[str, str] = {}
+    rules = []
+    for licence, name, notice in all_notices():
+        name = re.sub("[^a-z0-9]+", "_", name.lower())
+        pieces = [p for p in map(_plain, re.split(WRAPPED_END, notice)) if len(p) >= 8]
+        ids = tuple(known.setdefault(p, name if len(pieces) == 1 else f"{name}_{k + 1}") for k, p in enumerate(pieces))
+        if (licence, ids) not in rules:
+            rules.append((licence, ids))
+    for name, sentence in OTHERS.items():
+        known.setdefault(_plain(sentence), name)
+    return {name: sentence for sentence, name in known.items()}, rules
+
+
+SENTENCES, RULES = _tables()
+
+
+def _wider() -> list[list[int]]:
+    """For each rule the rules of other licences that ask for its sentences and more, in the same order."""
+
+    def within(few: tuple[str, ...], many: tuple[str, ...]) -> bool:
+        rest = iter(many)
+        return all(x in rest for x in few)
+
+    return [[j for j, (other, many) in enumerate(RULES) if other != licence and len(many) > len(ids) and within(ids, many)] for licence, ids in RULES]
 
 
 def _identified(text: Column, end: str) -> Column:
@@ -79,7 +58,7 @@ def _identified(text: Column, end: str) -> Column:
     lengths = {len(s) for s in SENTENCES.values()}
     short, long = min(lengths), max(lengths)
     pieces = F.filter(F.split(text, end), lambda s: F.length(s) >= short)
-    plain = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    plain = F.transform(pieces, lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), *ORGANISATION))
     names = F.transform(F.filter(plain, lambda s: F.length(s).between(short, long)), lambda s: known[s])
     return F.concat(F.lit(","), F.array_join(F.filter(names, lambda n: n.isNotNull()), ","), F.lit(","))
 
@@ -94,7 +73,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The text is cut into sentences twice: at sentence ends and line ends, and
     with wrapped lines joined. Sentences are normalised and mapped to the
     identifiers of known licence sentences; the sequence of identifiers is
-    matched against the ordered rules, whose sentences must come in order.
+    matched against the ordered rules, whose sentences must come in order. A
+    rule that a wider one of another licence covers doesn't count beside it,
+    and rights reserved count where no licence is named.
 
     Returns ``id_col``, n_sentences (known ones, lines as they stand),
     sentence_ids (in order, comma-joined), licenses (in order of the rules,
@@ -106,11 +87,21 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     likely = F.col("__text").rlike("(?i)" + "|".join(ANCHORS))
     picked = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     lines = F.when(likely, _identified(low, SENTENCE_END)).otherwise(",,")
-    joined = F.regexp_replace(low, r"\n[ \t]*[#*/;-]+[ \t]*", "\n")
+    joined = F.regexp_replace(F.concat(F.lit("\n"), low), MARGIN, "\n")
     wrapped = F.when(likely, _identified(joined, WRAPPED_END)).otherwise(",,")
     found = picked.select("__id", lines.alias("lines"), wrapped.alias("wrapped"))
-    matched = F.array(*[F.when(F.col("lines").rlike(_rule(names)) | F.col("wrapped").rlike(_rule(names)), F.lit(licence)) for licence, names in RULES])
-    licenses = F.array_distinct(F.filter(matched, lambda m: m.isNotNull()))
+    any_known = (F.length("lines") > 2) | (F.length("wrapped") > 2)
+    met = F.when(any_known, F.array(*[F.col("lines").rlike(_rule(ids)) | F.col("wrapped").rlike(_rule(ids)) for _, ids in RULES]))
+    found = found.select("__id", "lines", met.alias("met"))
+    named = []
+    for k, ((licence, _), wider) in enumerate(zip(RULES, _wider())):
+        ok = F.col("met")[k]
+        for j in wider:
+            ok = ok & ~F.col("met")[j]
+        named.append(F.when(ok, F.lit(licence)))
+    listed = F.array_distinct(F.array_compact(F.array(*named)))
+    found = found.select("__id", "lines", F.when(F.col("met").isNull(), F.array().cast("array<string>")).otherwise(listed).alias("listed"))
+    licenses = F.when(F.size("listed") > 1, F.array_remove("listed", "proprietary")).otherwise(F.col("listed"))
     ids = F.expr("substring(lines, 2, greatest(length(lines) - 2, 0))")
     return found.select(
         F.col("__id").alias(id_col),
@@ -127,17 +118,20 @@ def oracle() -> str:
     known = "MAP {" + ", ".join(f"{_sql(s)}: {_sql(n)}" for n, s in SENTENCES.items()) + "}"
 
     def names(text: str, end: str) -> str:
-        plain = f"list_transform(string_split_regex({text}, {_sql(end)}), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
+        plain = f"list_transform(string_split_regex({text}, {_sql(end)}), lambda s: regexp_replace(trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')), {_sql(ORGANISATION[0])}, {_sql(ORGANISATION[1])}))"
         return f"',' || coalesce(array_to_string(list_filter(list_transform({plain}, lambda s: {known}[s]), lambda n: n IS NOT NULL), ','), '') || ','"
 
-    rules = ", ".join(f"CASE WHEN regexp_matches(l, {_sql(_rule(n))}) OR regexp_matches(w, {_sql(_rule(n))}) THEN {_sql(licence)} END" for licence, n in RULES)
-    unique = "list_filter(m, lambda x, i: x IS NOT NULL AND list_position(m, x) = i)"
+    met = ", ".join(f"regexp_matches(l, {_sql(_rule(n))}) OR regexp_matches(w, {_sql(_rule(n))})" for _, n in RULES)
+    named = ", ".join("CASE WHEN " + " AND ".join([f"m[{k + 1}]", *[f"NOT m[{j + 1}]" for j in wider]]) + f" THEN {_sql(licence)} END" for k, ((licence, _), wider) in enumerate(zip(RULES, _wider())))
     return rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-i AS (SELECT doc_id, {names("t", SENTENCE_END)} AS l, {names(r"regexp_replace(t, '\n[ \t]*[#*/;-]+[ \t]*', chr(10), 'g')", WRAPPED_END)} AS w FROM d),
-r AS (SELECT doc_id, l, [{rules}] AS m FROM i)
+i AS (SELECT doc_id, {names("t", SENTENCE_END)} AS l, {names(f"regexp_replace(chr(10) || t, {_sql(MARGIN)}, chr(10), 'g')", WRAPPED_END)} AS w FROM d),
+r AS (SELECT doc_id, l, [{met}] AS m FROM i),
+n AS (SELECT doc_id, l, [{named}] AS m FROM r),
+u AS (SELECT doc_id, l, list_filter(m, lambda x, i: x IS NOT NULL AND list_position(m, x) = i) AS m FROM n),
+f AS (SELECT doc_id, l, CASE WHEN len(m) > 1 THEN list_filter(m, lambda x: x <> 'proprietary') ELSE m END AS m FROM u)
 SELECT doc_id, CASE WHEN length(l) > 2 THEN len(string_split(l, ',')) - 2 ELSE 0 END::BIGINT AS n_sentences,
     CASE WHEN length(l) > 2 THEN substr(l, 2, length(l) - 2) ELSE '' END AS sentence_ids,
-    coalesce(array_to_string({unique}, ','), '') AS licenses, ({unique})[1] AS primary_license
-FROM r
+    coalesce(array_to_string(m, ','), '') AS licenses, m[1] AS primary_license
+FROM f
 """
