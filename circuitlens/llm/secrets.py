@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from circuitlens.llm.common import text_blocks
+from circuitlens.llm.lexing import Value, pairs
 
 #: The base patterns and their least lengths. Runs are written so that a run that is too short fails whole.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -20,13 +21,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: One name-literal pair of source or configuration syntax: name, sign, and a quoted string, bare value or other name.
-#: Values have no greatest length and quoted ones may hold escapes; possessive runs fail without backtracking. Of a name over 81 characters the end counts.
-PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80}+)["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z]{1,12}[ \t]*+=|:=|=>|=|:)(?!=)[ \t]*+"""
-    r"""(?:"(?P<double>(?:[^"\n\\]++|\\.)++)"|'(?P<single>(?:[^'\n\\]++|\\.)++)'|(?P<bare>[A-Za-z0-9_+/.=@$!%^&*~-]++))""",
-    re.ASCII,
-)
+#: Parts of sensitive names; a text without any needs no lexing.
+_STEMS = ("pass", "pwd", "secret", "token", "cred", "auth", "bearer", "key", "connection")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 #: How sensitive the parts of a target name are; a name takes its best part or pair of parts.
@@ -41,6 +37,7 @@ THRESHOLD = 0.5
 
 def name_score(name: str) -> float:
     parts = [p.lower() for p in _PART.findall(name)]
+    parts = [p if p in NAME_SCORES else p.removesuffix("s") for p in parts]
     best = max((NAME_SCORES.get(p, 0.0) for p in [*parts, "".join(parts)]), default=0.0)
     return max([best, *(PAIR_SCORES.get(p, 0.0) for p in zip(parts, parts[1:]))])
 
@@ -57,31 +54,42 @@ def literal_score(value: str, quoted: bool) -> float:
 
 
 def literals(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, at once or through constants."""
-    pairs = []
-    for m in PAIR.finditer(text):
-        kind = m.lastgroup
-        pairs.append((m["name"], kind, m[kind], m.start(kind), m.end(kind)))
-    if not pairs:
-        return []
-    constants: dict[str, list[tuple[str, str, int, int]]] = {}
-    for name, *value in pairs:
-        constants.setdefault(name, []).append(tuple(value))
-    found = set()
-    for name, kind, value, start, end in pairs:
-        score = name_score(name)
-        if not score:
-            continue
-        todo, seen = [(kind, value, start, end)], set()
+    """Spans of literals that reach a sensitive name, at once or through constants.
+
+    Constants are followed by their whole name or its last part, in any order
+    and in cycles; what comments define isn't. Each name is followed once for
+    each score that it is reached with, of which there are a few, so the work
+    stays linear. Parts of an added literal are scored together.
+    """
+    found = pairs(text)
+    constants: dict[str, list[Value]] = {}
+    for pair in found:
+        if not pair.commented and not pair.value.passed:
+            constants.setdefault(pair.name, []).append(pair.value)
+            if (last := pair.name.rpartition(".")[2]) != pair.name:
+                constants.setdefault(last, []).append(pair.value)
+    spans, reached = set(), {}
+    scored = [(name_score(pair.name), pair.value) for pair in found]
+    for score, value in sorted((x for x in scored if x[0] > 0), key=lambda x: -x[0]):
+        todo = [value]
         while todo:
-            kind, value, start, end = todo.pop()
-            if kind == "bare" and value in constants:
-                if value not in seen:
-                    seen.add(value)
-                    todo += constants[value]
-            elif score * literal_score(value, kind != "bare") >= THRESHOLD:
-                found.add((start, end))
-    return sorted(found)
+            value = todo.pop()
+            known = False
+            for name in value.references:
+                name = name if name in constants else name.rpartition(".")[2]
+                if name in constants:
+                    known = True
+                    if reached.get(name, 0.0) < score:
+                        reached[name] = score
+                        todo += constants[name]
+            if not value.literals or known and not value.quoted:
+                continue
+            whole = "".join(text[a:b] for a, b in value.literals)
+            if value.passed and (re.fullmatch(r"[A-Za-z_.\-/ :]+", whole) or " " in whole):
+                continue  # the name of something, or words to show
+            if score * literal_score(whole, value.quoted) >= THRESHOLD:
+                spans.update((a, b) for a, b in value.literals if b > a)
+    return sorted(spans)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, str, int, int]], list[tuple[int, str, int, int]]]:
@@ -97,7 +105,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int, int]], list[tuple[
         base += [(m.start(), "access", m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     base += [(m.start(), "hex", m.end(), m.start()) for m in HEX.finditer(text)]
     base.sort(key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
-    if not signed:
+    if not (signed or "</" in text) or not any(k in text.lower() for k in _STEMS):
         return base, []
     added = [(a, "literal", b, a) for a, b in literals(text) if not any(s[0] <= a and b <= s[2] for s in base)]
     return base, added
@@ -111,8 +119,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets in every whole text, one row per input row.
 
     Base kinds: assign, access and hex patterns. Method: source and
-    configuration syntax is read as name-literal pairs, constants are followed
-    through names (in either order, cycles included), and a literal counts
+    configuration syntax is read as name-literal pairs (see ``lexing``),
+    constants are followed through names, and a literal of whatever length counts
     (kind ``literal``) if the sensitivity of its target name times the score of
     the literal is high enough and no base span covers it.
 
