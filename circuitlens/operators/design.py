@@ -15,13 +15,18 @@ RANGES: dict[str, tuple[float, float]] = {
     "log10_kd_1": (-2.0, 4.0), "kd_2_1_ratio": (0.0, 0.25), "km_unbound": (0.0, 1.0), "km_act": (1.0, 10.0),
     "nlog10_km_rep_unbound_ratio": (0.0, 5.0), "kp": (0.015, 0.25), "gamma_m": (0.001, 0.1), "gamma_p": (0.001, 0.1),
 }
-K_ON = 1.0
+#: Fixed value: the sum of the association rate and the first dissociation rate.
+RATE_SUM = 100.0
 
 
 def to_params(df: DataFrame) -> DataFrame:
-    """Rate parameters of sampled quantities; the activated-and-repressed rate lies at the unbound one."""
-    out = df.withColumn("k_on", F.lit(K_ON)).withColumn("k_off_1", F.pow(F.lit(10.0), F.col("log10_kd_1")) * F.col("k_on"))
-    out = out.withColumn("k_off_2", F.col("k_off_1") * F.col("kd_2_1_ratio"))
+    """Rate parameters of sampled quantities: k_on and k_off_1 have a fixed sum and the dissociation constant for their ratio.
+
+    The activated-and-repressed rate lies at the unbound one.
+    """
+    kd = F.pow(F.lit(10.0), F.col("log10_kd_1"))
+    out = df.withColumn("k_off_1", RATE_SUM * kd / (1 + kd))
+    out = out.withColumn("k_on", RATE_SUM - F.col("k_off_1")).withColumn("k_off_2", F.col("k_off_1") * F.col("kd_2_1_ratio"))
     return out.withColumns({"km_rep": F.col("km_unbound") * F.pow(F.lit(10.0), -F.col("nlog10_km_rep_unbound_ratio")), "km_act_rep": F.col("km_unbound")})
 
 

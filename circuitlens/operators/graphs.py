@@ -65,16 +65,21 @@ def deepest(depths: DataFrame) -> int:
 def q_tilde(nodes: DataFrame, edges: DataFrame, depths: DataFrame) -> DataFrame:
     """Leaves have their mean reward, inner nodes the mean of their children: (node, q_tilde, loss).
 
-    From the deepest layer up; every edge leads one layer down (``depths``).
+    From the deepest layer up; every edge leads one layer down (``depths``),
+    so a layer needs the one below it and no other, and only that is handed on.
     """
-    own = nodes.select("node", (F.col("reward") / F.greatest(F.lit(1), F.col("visits"))).alias("own"))
     links = edges.select("src", "dst").distinct()
     inner = links.select(F.col("src").alias("node")).distinct()
-    done = cut(own.join(inner, "node", "left_anti").select("node", F.col("own").alias("q_tilde")))
-    for depth in range(deepest(depths) - 1, -1, -1):
-        at = depths.where(F.col("depth") == depth).select(F.col("node").alias("src")).join(links, "src")
-        layer = at.join(done, at.dst == done.node).groupBy("src").agg(F.avg("q_tilde").alias("q_tilde"))
-        done = cut(done.unionByName(layer.withColumnRenamed("src", "node")))
+    own = nodes.select("node", (F.col("reward") / F.greatest(F.lit(1), F.col("visits"))).alias("q_tilde")).join(inner, "node", "left_anti")
+    own, links = cut(own.join(depths, "node")), cut(links.join(depths.withColumnRenamed("node", "src"), "src"))
+    layer = done = None
+    for depth in range(deepest(depths), -1, -1):
+        leaves = own.where(F.col("depth") == depth).select("node", "q_tilde")
+        if layer is not None:
+            at = links.where(F.col("depth") == depth).join(layer, F.col("dst") == layer["node"])
+            leaves = leaves.unionByName(at.groupBy(F.col("src").alias("node")).agg(F.avg("q_tilde").alias("q_tilde")))
+        layer = cut(leaves)
+        done = layer if done is None else done.unionByName(layer)
     return done.withColumn("loss", 1 - F.col("q_tilde"))
 
 
@@ -173,19 +178,25 @@ def feedback_loops(states: DataFrame, names: str) -> DataFrame:
 
 
 def cheeger(states: DataFrame, names: str) -> DataFrame:
-    """Least conductance of a circuit: over subsets of at most half of its components, crossing edges per size of the subset.
+    """Least conductance of a circuit: crossing edges over the lesser volume, over subsets of at most half of its components.
 
-    Edges are undirected and counted once, self-loops left out; a circuit
-    that isn't connected over all components has 0.
+    Edges are undirected and counted once, self-loops and components without
+    an edge are left out; the volume of a subset is the sum of its degrees.
+    Null for a circuit without edges, 0 for one in several pieces.
     """
     ixns = G.interactions(F.col("state"))
+    rows = states.select("state", *[F.exists(ixns, _is_link(a, b)).cast("int").alias(f"__{a}{b}") for a, b in combinations(names, 2)])
+    degree = {c: sum((F.col(f"__{a}{b}") for a, b in combinations(names, 2) if c in (a, b)), F.lit(0)) for c in names}
+    rows = rows.withColumns({f"__{c}": d for c, d in degree.items()})
+    rows = rows.withColumns({"__n": sum((F.when(F.col(f"__{c}") > 0, 1).otherwise(0) for c in names), F.lit(0)), "__all": sum((F.col(f"__{c}") for c in names), F.lit(0))})
     values = []
-    joined = {a + b: F.exists(ixns, _is_link(a, b)) for a, b in combinations(names, 2)}
     for size in range(1, len(names) // 2 + 1):
         for chosen in combinations(names, size):
-            crossing = sum((joined[a + b].cast("int") for a, b in combinations(names, 2) if (a in chosen) != (b in chosen)), F.lit(0))
-            values.append(crossing / F.lit(size))
-    return states.select("state", F.array_min(F.array(*values)).alias("cheeger"))
+            crossing = sum((F.col(f"__{a}{b}") for a, b in combinations(names, 2) if (a in chosen) != (b in chosen)), F.lit(0))
+            volume = sum((F.col(f"__{c}") for c in chosen), F.lit(0))
+            there = F.least(F.lit(9), *[F.col(f"__{c}") for c in chosen]) > 0
+            values.append(F.when(there & (F.lit(2 * size) <= F.col("__n")), crossing / F.least(volume, F.col("__all") - volume)))
+    return rows.select("state", F.array_min(F.array(*values)).alias("cheeger"))
 
 
 def _is_link(a: str, b: str):
@@ -195,11 +206,11 @@ def _is_link(a: str, b: str):
 def circuit_distances(left: DataFrame, right: DataFrame, names: str) -> DataFrame:
     """Signed edit distance of all pairs of the two tables with different states: the least over relabellings.
 
-    Distance of fixed components is the sum over ordered pairs of |a - b| of
-    their signs (1, -1, 0). One side meets the other in blocks: pass distinct
+    Distance of fixed components is the sum over ordered pairs of different
+    components of |a - b| of their signs (1, -1, 0); self-loops don't count. One side meets the other in blocks: pass distinct
     states, of which there are few next to samples.
     """
-    cells = [a + b for a in names for b in names]
+    cells = [a + b for a in names for b in names if a != b]
     sign = lambda ixns, cell: F.when(F.array_contains(ixns, cell + "a"), 1).when(F.array_contains(ixns, cell + "i"), -1).otherwise(0)
     vector = lambda df: df.select("state", F.array(*[sign(G.interactions(F.col("state")), c) for c in cells]).alias("v"))
     orders = []
@@ -223,6 +234,15 @@ def entropy(p: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), 0.0).otherwise(-p * F.log2(p) - (1 - p) * F.log2(1 - p))
 
 
+def edge_gain(edges: DataFrame, rates: DataFrame, root: str) -> DataFrame:
+    """Per edge the change of q_tilde from parent to child, and the child's information gain relative to the root; edges without change go."""
+    q = rates.select("node", "q_tilde")
+    base = q.where(F.col("node") == root).select(F.col("q_tilde").alias("q_root"))
+    ends = edge_endpoints(edges.select("src", "dst"), q).crossJoin(F.broadcast(base))  # the root's row
+    delta = F.col("dst_q_tilde") - F.col("src_q_tilde")
+    return ends.where(F.abs(delta) > 1e-12).select("src", "dst", delta.alias("delta_q"), information_gain(F.col("dst_q_tilde"), F.col("q_root")).alias("gain"))
+
+
 def layer_q(nodes: DataFrame, depths: DataFrame) -> DataFrame:
     """Per layer: nodes that were visited, mean rate, its standard error, and log2 of the mean over the first layer's."""
     rates = nodes.where("visits > 0").select("node", (F.col("reward") / F.col("visits")).alias("q")).join(depths, "node")
@@ -238,19 +258,26 @@ def edge_traffic(edges: DataFrame) -> DataFrame:
     return edges.withColumn("traffic", F.when(F.sum("visits").over(w) > 0, F.col("visits") * F.count("*").over(w) / F.sum("visits").over(w)).otherwise(0.0))
 
 
+def information_gain(p: Column, root: Column) -> Column:
+    """What is learnt about a success of rate ``root`` by a rate ``p``, in proportion; null where nothing is left to learn."""
+    return F.when(entropy(root) > 0, (entropy(root) - entropy(p)) / entropy(root))
+
+
 def tree_modularity(leaves: DataFrame, depth: int) -> DataFrame:
     """Mean information gain over layers of a binary tree whose leaves have 0/1 rewards: (outcome, modularity).
 
-    ``leaves`` has an ``outcome`` string of 2 ** depth digits; a layer's nodes
-    are its equal blocks, weighted alike.
+    ``leaves`` has an ``outcome`` string of 2 ** depth digits. A node's rate is
+    that of its leaves; a layer's gain is the mean over its nodes of their gain
+    relative to the root, and the layers from the root (gain 0) to the leaves
+    (gain 1) count alike. 0 where all leaves are equal. This is the definition
+    of the layer loop with rates of leaves, not of all nodes below.
     """
-    root = entropy(_share("outcome", 0, 2**depth))
-    gains = []
-    for layer in range(1, depth):
+    root = _share("outcome", 0, 2**depth)
+    total = F.lit(0.0)
+    for layer in range(1, depth + 1):
         size = 2 ** (depth - layer)
-        inner = sum((entropy(_share("outcome", k * size, size)) for k in range(2**layer)), F.lit(0.0)) / 2**layer
-        gains.append(root - inner)
-    return leaves.select("outcome", (sum(gains, F.lit(0.0)) / max(1, len(gains))).alias("modularity"))
+        total = total + sum((information_gain(_share("outcome", k * size, size), root) for k in range(2**layer)), F.lit(0.0)) / 2**layer
+    return leaves.select("outcome", F.coalesce(total / (depth + 1), F.lit(0.0)).alias("modularity"))
 
 
 def _share(column: str, start: int, size: int) -> Column:

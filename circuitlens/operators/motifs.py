@@ -13,32 +13,58 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from circuitlens.functions import genotype as G
 
 
-def pattern_containment(circuits: DataFrame, patterns: DataFrame, names: str = "ABC") -> DataFrame:
+#: Patterns (a few numbers each) that may be broadcast; more meet circuits in an inverted index.
+BROADCAST_ROWS = 50_000
+
+
+def mask(ixns: Column, names: str) -> Column:
+    """Interactions as bits of a number: source, target and sign; up to five components."""
+    codes = [a + b + s for a in names for b in names for s in "ai"]
+    return sum((F.when(F.array_contains(ixns, code), F.lit(1 << k)).otherwise(0) for k, code in enumerate(codes)), F.lit(0)).cast("bigint")
+
+
+def pattern_containment(circuits: DataFrame, patterns: DataFrame, names: str = "ABC", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs (state, pattern) of distinct circuits and the patterns that they contain under some relabelling.
 
-    An inverted index: patterns become rows of (pattern, relabelling,
-    interaction), circuits rows of (state, interaction), they meet in an
-    equi-join on the interaction, and a relabelling is contained if all of its
-    interactions were met. The empty pattern is contained in every circuit.
+    Circuits and relabelled patterns are bit masks, tested by ``mask & p = p``
+    against the counted list of patterns. A list that is too long to be
+    broadcast becomes an inverted index: patterns are rows of (pattern,
+    relabelling, interaction), circuits rows of (state, interaction), and a
+    relabelling is contained if all of its interactions are met. The empty
+    pattern is contained in every circuit.
     """
     own = G.interactions(F.col("pattern"))
-    sets = [G.relabel(own, names, "".join(p)) for p in permutations(names)]
-    labelled = patterns.select("pattern").distinct().select("pattern", F.explode(F.array_distinct(F.array(*sets))).alias("ixns"))
-    index = labelled.select("pattern", "ixns", F.size("ixns").alias("need"), F.explode("ixns").alias("ixn"))
+    orders = ["".join(p) for p in permutations(names)]
+    known = patterns.select("pattern").distinct()
     states = circuits.select("state").distinct()
+    if known.count() <= broadcast_rows:
+        masks = known.select("pattern", *[mask(G.relabel(own, names, p), names).alias(f"__p{k}") for k, p in enumerate(orders)])
+        met = F.lit(False)
+        for k in range(len(orders)):
+            met = met | (F.col("__mask").bitwiseAND(F.col(f"__p{k}")) == F.col(f"__p{k}"))
+        coded = states.select("state", mask(G.interactions(F.col("state")), names).alias("__mask"))
+        return coded.join(F.broadcast(masks), met).select("state", "pattern")
+    labelled = known.select("pattern", F.explode(F.array_distinct(F.array(*[G.relabel(own, names, p) for p in orders]))).alias("ixns"))
+    index = labelled.select("pattern", "ixns", F.size("ixns").alias("need"), F.explode("ixns").alias("ixn"))
     parts = states.select("state", F.explode(G.interactions(F.col("state"))).alias("ixn"))
     met = parts.join(index, "ixn").groupBy("state", "pattern", "ixns", "need").agg(F.count("*").alias("n")).where("n = need")
-    empty = patterns.select("pattern").distinct().where(F.size(own) == 0).crossJoin(states).select("state", "pattern")  # one pattern at most
+    empty = known.where(F.size(own) == 0).crossJoin(states).select("state", "pattern")  # one pattern at most
     return met.select("state", "pattern").distinct().unionByName(empty)
 
 
-def contingency(q_table: DataFrame, pairs: DataFrame, success: Column) -> DataFrame:
-    """Cells per pattern: with it and without it, among successful circuits and among all (the null set)."""
+def contingency(q_table: DataFrame, pairs: DataFrame, success: Column, exclude_self: bool = True) -> DataFrame:
+    """Cells per pattern: with it and without it, among successful circuits and among all (the null set).
+
+    With ``exclude_self`` the circuit that is the pattern itself counts in neither.
+    """
     marked = q_table.select("state", success.cast("int").alias("ok"))
     total = marked.agg(F.count("*").alias("n_all"), F.sum("ok").alias("n_ok"))
-    cells = pairs.join(marked, "state").groupBy("pattern").agg(F.sum("ok").alias("pattern_in_succ"), F.count("*").alias("pattern_in_null"))
+    counts = F.col("state") != F.col("pattern") if exclude_self else F.lit(True)
+    cells = pairs.join(marked, "state").groupBy("pattern").agg(
+        F.sum("ok").alias("all_in_succ"), F.count("*").alias("all_in_null"), F.sum(F.when(counts, F.col("ok")).otherwise(0)).alias("pattern_in_succ"), F.count_if(counts).alias("pattern_in_null")
+    )
     joined = cells.crossJoin(F.broadcast(total))  # a row of totals
-    return joined.select("pattern", "pattern_in_succ", (F.col("n_ok") - F.col("pattern_in_succ")).alias("others_in_succ"), "pattern_in_null", (F.col("n_all") - F.col("pattern_in_null")).alias("others_in_null"))
+    return joined.select("pattern", "pattern_in_succ", (F.col("n_ok") - F.col("all_in_succ")).alias("others_in_succ"), "pattern_in_null", (F.col("n_all") - F.col("all_in_null")).alias("others_in_null"))
 
 
 def odds_ratio(df: DataFrame, level: float = 0.95, cells: Sequence[str] = ("pattern_in_succ", "others_in_succ", "pattern_in_null", "others_in_null")) -> DataFrame:

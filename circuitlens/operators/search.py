@@ -83,9 +83,18 @@ def assign_param(log: DataFrame, n: int, seed: str) -> DataFrame:
     return visits.join(shuffled, ["state", "place"])
 
 
-def class_share(log: DataFrame, label: Column, bins: int, width: int) -> DataFrame:
-    """Share of every class within bins of steps; the shares of a bin sum to 1."""
-    cell = F.least(F.lit(bins - 1), F.floor((F.col("step") - 1) / width)).cast("int")
+def union_tagged(tables: dict[str, DataFrame], tag: str) -> DataFrame:
+    """All rows of the tables, each with its table's name; columns go by name."""
+    tagged = [table.withColumn(tag, F.lit(name)) for name, table in tables.items()]
+    out = tagged[0]
+    for one in tagged[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def class_share(log: DataFrame, label: Column, width: Column) -> DataFrame:
+    """Share of every class within bins of ``width`` steps; the shares of a bin sum to 1."""
+    cell = F.floor((F.col("step") - 1) / width).cast("int")
     counts = log.groupBy(cell.alias("bin"), label.alias("class")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("bin")))
 

@@ -33,12 +33,12 @@ def u(seed: str, *keys: str) -> str:
 SAMPLED = "SELECT s_suppkey, s_acctbal / 2500.0 AS log10_kd_1, (s_suppkey % 25) / 100.0 AS kd_2_1_ratio, 0.05 + (s_suppkey % 90) / 100.0 AS km_unbound, (s_suppkey % 50) / 10.0 AS nlog10_km_rep_unbound_ratio FROM {supplier}"
 
 
-@query("param_transform", f"WITH s AS ({SAMPLED.format(supplier='supplier')}), p AS (SELECT *, pow(10.0, log10_kd_1) AS k_off_1, pow(10.0, log10_kd_1) * kd_2_1_ratio AS k_off_2, km_unbound * pow(10.0, -nlog10_km_rep_unbound_ratio) AS km_rep FROM s) SELECT s_suppkey, round(k_off_1, 6) AS k_off_1, round(k_off_2, 6) AS k_off_2, round(km_rep, 6) AS km_rep, round(log10_kd_1, 6) AS back_kd, round(kd_2_1_ratio, 6) AS back_ratio, round((log10_kd_1 + 2) / 6, 6) AS unit_kd FROM p")
+@query("param_transform", f"WITH s AS ({SAMPLED.format(supplier='supplier')}), p AS (SELECT *, 100 * pow(10.0, log10_kd_1) / (1 + pow(10.0, log10_kd_1)) AS k_off_1, 100 / (1 + pow(10.0, log10_kd_1)) AS k_on, 100 * pow(10.0, log10_kd_1) / (1 + pow(10.0, log10_kd_1)) * kd_2_1_ratio AS k_off_2, km_unbound * pow(10.0, -nlog10_km_rep_unbound_ratio) AS km_rep FROM s) SELECT s_suppkey, round(k_on, 6) AS k_on, round(k_off_1, 6) AS k_off_1, round(k_off_2, 6) AS k_off_2, round(km_rep, 6) AS km_rep, round(log10_kd_1, 6) AS back_kd, round(kd_2_1_ratio, 6) AS back_ratio, round((log10_kd_1 + 2) / 6, 6) AS unit_kd FROM p")
 def param_transform(spark, d):
     s = spark.sql(SAMPLED, supplier=V.table(spark, d, "supplier"))
     p = D.to_params(s)
     back = D.to_sampled(p.drop("log10_kd_1", "kd_2_1_ratio", "nlog10_km_rep_unbound_ratio"))
-    return back.select("s_suppkey", *[r6(c).alias(c) for c in ("k_off_1", "k_off_2", "km_rep")], r6("log10_kd_1").alias("back_kd"), r6("kd_2_1_ratio").alias("back_ratio"), r6(D.normalize(F.col("log10_kd_1"), -2.0, 4.0)).alias("unit_kd"))
+    return back.select("s_suppkey", *[r6(c).alias(c) for c in ("k_on", "k_off_1", "k_off_2", "km_rep")], r6("log10_kd_1").alias("back_kd"), r6("kd_2_1_ratio").alias("back_ratio"), r6(D.normalize(F.col("log10_kd_1"), -2.0, 4.0)).alias("unit_kd"))
 
 
 @query("bin_codes", BIN + " SELECT p_partkey, outcome, ('0b' || outcome)::INT AS number, CAST(list_sum(list_transform(string_split(outcome, ''), lambda x: x::INT)) AS BIGINT) AS n_success, array_to_string(list_filter(range(8), lambda i: substr(outcome, i::INT + 1, 1) = '1'), ',') AS places FROM bincodes")
@@ -86,7 +86,7 @@ def _poisson_steps(mean: float = 10.0, most: int = 40) -> list[float]:
     return steps
 
 
-@query("param_design", "WITH n AS (SELECT s_suppkey AS id, count(*) OVER () AS n FROM supplier), l AS (SELECT id, " + ", ".join(f"(row_number() OVER (ORDER BY md5(concat_ws('|', 'd1.{x}', id)), id) - 1 + {u(f'd1.{x}.jitter', 'id')}) / n AS {x}" for x in DIMS) + f", {u('d1.A', 'id')} AS ua, {u('d1.mutation', 'id')} AS um FROM n) SELECT id, round(pow(10.0, log10_kd_1 * 6 - 2), 6) AS k_off_1, round(kd_2_1_ratio * 0.25, 6) AS kd_2_1_ratio, ({' + '.join(f'(ua >= {t!r})::INT' for t in _poisson_steps())})::INT AS \"A_0\", CASE WHEN um < 0.1 THEN 'A' WHEN um < 0.2 THEN 'B' WHEN um < 0.3 THEN 'C' ELSE '(none)' END AS component_mutation FROM l")
+@query("param_design", "WITH n AS (SELECT s_suppkey AS id, count(*) OVER () AS n FROM supplier), l AS (SELECT id, " + ", ".join(f"(row_number() OVER (ORDER BY md5(concat_ws('|', 'd1.{x}', id)), id) - 1 + {u(f'd1.{x}.jitter', 'id')}) / n AS {x}" for x in DIMS) + f", {u('d1.A', 'id')} AS ua, {u('d1.mutation', 'id')} AS um FROM n) SELECT id, round(100 * pow(10.0, log10_kd_1 * 6 - 2) / (1 + pow(10.0, log10_kd_1 * 6 - 2)), 6) AS k_off_1, round(kd_2_1_ratio * 0.25, 6) AS kd_2_1_ratio, ({' + '.join(f'(ua >= {t!r})::INT' for t in _poisson_steps())})::INT AS \"A_0\", CASE WHEN um < 0.1 THEN 'A' WHEN um < 0.2 THEN 'B' WHEN um < 0.3 THEN 'C' ELSE '(none)' END AS component_mutation FROM l")
 def param_design(spark, d):
     ids = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     return D.param_design(ids, "id", ids.count(), "ABC", 0.3, "d1").select("id", r6("k_off_1").alias("k_off_1"), r6("kd_2_1_ratio").alias("kd_2_1_ratio"), "A_0", "component_mutation")

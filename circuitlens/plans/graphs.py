@@ -139,12 +139,12 @@ def feedback_loops(spark, d):
     return N.feedback_loops(V.q_table(spark, d), "ABC")
 
 
-@query("cheeger", f"{Q}, {LINKS}, e AS (SELECT DISTINCT state, least(substr(i, 1, 1), substr(i, 2, 1)) AS a, greatest(substr(i, 1, 1), substr(i, 2, 1)) AS b FROM (SELECT state, unnest(x) AS i FROM x) WHERE substr(i, 1, 1) <> substr(i, 2, 1)), s AS (SELECT unnest(['A', 'B', 'C']) AS c), k AS (SELECT x.state, c, count(a) FILTER (a = c OR b = c) AS n FROM x CROSS JOIN s LEFT JOIN e ON e.state = x.state GROUP BY ALL) SELECT state, min(n)::DOUBLE AS cheeger FROM k GROUP BY state")
+@query("cheeger", f"{Q}, {LINKS}, e AS (SELECT DISTINCT state, least(substr(i, 1, 1), substr(i, 2, 1)) AS a, greatest(substr(i, 1, 1), substr(i, 2, 1)) AS b FROM (SELECT state, unnest(x) AS i FROM x) WHERE substr(i, 1, 1) <> substr(i, 2, 1)), s AS (SELECT unnest(['A', 'B', 'C']) AS c), k AS (SELECT x.state, c, count(a) FILTER (a = c OR b = c) AS n FROM x CROSS JOIN s LEFT JOIN e ON e.state = x.state GROUP BY ALL), v AS (SELECT *, sum(n) OVER (PARTITION BY state) AS total FROM k) SELECT state, min(CASE WHEN n > 0 THEN n / least(n, total - n) END)::DOUBLE AS cheeger FROM v GROUP BY state")
 def cheeger(spark, d):
     return N.cheeger(V.q_table(spark, d), "ABC").select("state", F.col("cheeger").cast("double").alias("cheeger"))
 
 
-CELLS = [a + b for a in "ABC" for b in "ABC"]
+CELLS = [a + b for a in "ABC" for b in "ABC" if a != b]
 ORDERS = [[CELLS.index(dict(zip("ABC", p))[c[0]] + dict(zip("ABC", p))[c[1]]) for c in CELLS] for p in permutations("ABC")]
 VECTOR = "[" + ", ".join(f"CASE WHEN list_contains(x, '{c}a') THEN 1 WHEN list_contains(x, '{c}i') THEN -1 ELSE 0 END" for c in CELLS) + "]"
 
@@ -183,10 +183,10 @@ def edge_endpoints(spark, d):
     return _ends(spark, d)[0].select("src", "dst", r6("q_src").alias("q_src"), r6("q_dst").alias("q_dst"))
 
 
-@query("edge_gain", f"{ENDS} SELECT src, dst, round(q_dst - q_src, 6) AS delta_q, round(({H.format('q_src')}) - ({H.format('q_dst')}), 6) AS gain FROM ends WHERE q_dst <> q_src")
+@query("edge_gain", f"{QT}, g AS (SELECT s.q AS qs, t.q AS qd, r.q AS qr, e.src, e.dst FROM edges e JOIN qt s ON s.node = e.src JOIN qt t ON t.node = e.dst, (SELECT q FROM qt WHERE node = '{ROOT}') r) SELECT src, dst, round(qd - qs, 6) AS delta_q, round(CASE WHEN ({H.format('qr')}) > 0 THEN (({H.format('qr')}) - ({H.format('qd')})) / ({H.format('qr')}) END, 6) AS gain FROM g WHERE abs(qd - qs) > 1e-12")
 def edge_gain(spark, d):
-    ends = _ends(spark, d)[0].where("q_dst <> q_src")
-    return ends.select("src", "dst", r6(F.col("q_dst") - F.col("q_src")).alias("delta_q"), r6(N.entropy(F.col("q_src")) - N.entropy(F.col("q_dst"))).alias("gain"))
+    nodes, edges, depths = _graph(spark, d)
+    return N.edge_gain(edges, N.cut(N.q_tilde(nodes, edges, depths)), ROOT).select("src", "dst", r6("delta_q").alias("delta_q"), r6("gain").alias("gain"))
 
 
 @query("layer_q", f"{E}, {DEPTH}, l AS (SELECT depth, count(*) AS n, avg(reward::DOUBLE / visits) AS m, stddev_samp(reward::DOUBLE / visits) / sqrt(count(*)) AS se FROM nodes JOIN depths USING (node) WHERE visits > 0 GROUP BY depth), f AS (SELECT m AS f FROM l ORDER BY depth LIMIT 1) SELECT depth, n, round(m, 6) AS mean_q, round(se, 6) AS se, round(CASE WHEN m > 0 AND f > 0 THEN log2(m / f) END, 6) AS log_ratio FROM l, f")
@@ -215,7 +215,7 @@ def _block(start: int, size: int) -> str:
     return "(" + H.format(p) + ")"
 
 
-@query("tree_modularity", V.ctes("bincodes") + ", o AS (SELECT DISTINCT outcome FROM bincodes) SELECT outcome, round((" + " + ".join(f"({_block(0, 8)} - (" + " + ".join(_block(k * 8 // 2**layer, 8 // 2**layer) for k in range(2**layer)) + f") / {2**layer})" for layer in (1, 2)) + ") / 2, 6) AS modularity FROM o")
+@query("tree_modularity", V.ctes("bincodes") + f", o AS (SELECT DISTINCT outcome, {_block(0, 8)} AS h FROM bincodes) SELECT outcome, round(CASE WHEN h > 0 THEN (" + " + ".join("(" + " + ".join(f"(h - {_block(k * 8 // 2**layer, 8 // 2**layer)}) / h" for k in range(2**layer)) + f") / {2**layer}" for layer in (1, 2, 3)) + ") / 4 ELSE 0 END, 6) AS modularity FROM o")
 def tree_modularity(spark, d):
     return N.tree_modularity(V.bincodes(spark, d).select("outcome").distinct(), 3).withColumn("modularity", r6("modularity"))
 

@@ -108,7 +108,7 @@ def adjacency(spark, d):
 # every circuit of up to two interactions serves as a pattern
 PATTERNS = "SELECT DISTINCT state AS pattern FROM q_table WHERE len(string_split(split_part(state, '::', 2), '_')) <= 2"
 PAIRS = f"{Q}, {X}, p AS ({PATTERNS}), px AS (SELECT pattern, list_filter(string_split(split_part(pattern, '::', 2), '_'), lambda i: i <> '') AS own FROM p), pl AS (" + " UNION ".join(f"SELECT pattern, list_transform(own, lambda i: translate(substr(i, 1, 2), 'ABC', '{''.join(q)}') || substr(i, 3, 1)) AS own FROM px" for q in permutations("ABC")) + "), pairs AS (SELECT DISTINCT state, pattern FROM x JOIN pl ON list_has_all(x, own))"
-CELLS = f"{PAIRS}, t AS (SELECT count(*) AS n_all, count_if(q >= 0.5) AS n_ok FROM q_table), cells AS (SELECT pattern, count_if(q >= 0.5)::BIGINT AS pattern_in_succ, (n_ok - count_if(q >= 0.5))::BIGINT AS others_in_succ, count(*) AS pattern_in_null, n_all - count(*) AS others_in_null FROM pairs JOIN q_table USING (state), t GROUP BY pattern, n_ok, n_all)"
+CELLS = f"{PAIRS}, t AS (SELECT count(*) AS n_all, count_if(q >= 0.5) AS n_ok FROM q_table), cells AS (SELECT pattern, count_if(q >= 0.5 AND state <> pattern)::BIGINT AS pattern_in_succ, (n_ok - count_if(q >= 0.5))::BIGINT AS others_in_succ, count_if(state <> pattern)::BIGINT AS pattern_in_null, n_all - count(*) AS others_in_null FROM pairs JOIN q_table USING (state), t GROUP BY pattern, n_ok, n_all)"
 ODDS = CELLS + ", o AS (SELECT *, CASE WHEN others_in_succ * pattern_in_null = 0 THEN 'inf'::DOUBLE ELSE pattern_in_succ::DOUBLE * others_in_null / (others_in_succ * pattern_in_null) END AS oratio, 1.959963984540054 * sqrt(1.0 / pattern_in_succ + 1.0 / others_in_succ + 1.0 / pattern_in_null + 1.0 / others_in_null) AS half, pattern_in_succ * others_in_succ * pattern_in_null * others_in_null = 0 AS zero FROM cells)"
 CHI = CELLS + ", h AS (SELECT *, pattern_in_succ::DOUBLE AS a, others_in_succ::DOUBLE AS b, pattern_in_null::DOUBLE AS c, others_in_null::DOUBLE AS e FROM cells), k AS (SELECT *, CASE WHEN (a + b) * (c + e) * (a + c) * (b + e) > 0 THEN (a + b + c + e) * pow(greatest(0, abs(a * e - b * c) - (a + b + c + e) / 2), 2) / ((a + b) * (c + e) * (a + c) * (b + e)) ELSE 0 END AS chi2 FROM h)"
 

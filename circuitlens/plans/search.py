@@ -93,9 +93,10 @@ def running_found(spark, d):
     return placed.withColumn("inside", inside).join(before, "range").select("state", (F.col("before") + F.col("inside")).alias("n_found"))
 
 
-@query("class_share", f"{L}, c AS (SELECT least(9, (step - 1) // 100)::INT AS bin, split_part(state, '_', 2) AS class, count(*) AS n FROM search_log GROUP BY ALL) SELECT bin, class, n, round(n / sum(n) OVER (PARTITION BY bin), 6) AS share FROM c")
+@query("class_share", V.ctes("search_log", "stride") + f", c AS (SELECT ((step - 1) // every)::INT AS bin, split_part(state, '_', 2) AS class, count(*) AS n FROM search_log, stride GROUP BY ALL) SELECT bin, class, n, round(n / sum(n) OVER (PARTITION BY bin), 6) AS share FROM c")
 def class_share(spark, d):
-    return W.class_share(V.search_log(spark, d), F.substring_index("state", "_", -1), 10, 100).withColumn("share", r6("share"))
+    log = V.search_log(spark, d)
+    return W.class_share(log.crossJoin(F.broadcast(V.stride(log))), F.substring_index("state", "_", -1), F.col("every")).withColumn("share", r6("share"))
 
 
 @query("top_n", f"{Q} SELECT state, visits, reward FROM q_table ORDER BY reward DESC, visits, state LIMIT 50")
@@ -145,9 +146,9 @@ def pick_group(spark, d):
     return W.pick_group(V.search_log(spark, d), "replicate", "pick").select("replicate", "step", "state")
 
 
-@query("pick_snapshots", f"{SN} SELECT replicate, step, state, visits FROM snapshots WHERE replicate = 3 AND step IN (100, 500, 1000)")
+@query("pick_snapshots", f"{SN} SELECT replicate, step, state, visits FROM snapshots WHERE replicate = 3 AND s IN (1, 5, 10)")
 def pick_snapshots(spark, d):
-    return V.snapshots(spark, d).where((F.col("replicate") == 3) & F.col("step").isin(100, 500, 1000)).select("replicate", "step", "state", "visits")
+    return V.snapshots(spark, d).where((F.col("replicate") == 3) & F.col("s").isin(1, 5, 10)).select("replicate", "step", "state", "visits")
 
 
 @query("downsample", f"{L}, g AS (SELECT DISTINCT CAST(round(pow(10, k / 10.0)) AS BIGINT) AS step FROM (SELECT unnest(range(31)) AS k)) SELECT replicate, step, state FROM search_log WHERE step % 50 = 0 OR step IN (SELECT step FROM g)")
@@ -180,9 +181,9 @@ def explore_exploit(spark, d):
     return W.explore_exploit(V.snapshots(spark, d), V.truth(spark, d).where("true_q >= 0.1"), 5, 1)
 
 
-@query("snapshot_table", ST + ", n AS (SELECT state, count(*) AS visits, sum(reward)::BIGINT AS reward FROM search_log WHERE step <= 500 GROUP BY state) SELECT state, visits, reward, round(reward / visits, 6) AS q, round(true_q, 6) AS true_q FROM n LEFT JOIN truth USING (state)")
+@query("snapshot_table", ST + ", n AS (SELECT state, count(*) AS visits, sum(reward)::BIGINT AS reward FROM search_log GROUP BY state) SELECT state, visits, reward, round(reward / visits, 6) AS q, round(true_q, 6) AS true_q FROM n LEFT JOIN truth USING (state)")
 def snapshot_table(spark, d):
-    n = V.search_log(spark, d).where("step <= 500").groupBy("state").agg(F.count("*").alias("visits"), F.sum("reward").alias("reward"))
+    n = V.search_log(spark, d).groupBy("state").agg(F.count("*").alias("visits"), F.sum("reward").alias("reward"))
     return W.snapshot_table(n, V.truth(spark, d)).select("state", "visits", "reward", r6("q").alias("q"), r6("true_q").alias("true_q"))
 
 
@@ -192,11 +193,11 @@ def pattern_consensus(spark, d):
     return W.pattern_consensus(n, 12).select("pattern", "n_true", *[r6(c).alias(c) for c in ("mean_q", "sd_q", "share")])
 
 
-@query("union_tagged", f"{L} SELECT replicate, state, count(*) AS n FROM search_log WHERE replicate IN (1, 2) GROUP BY ALL")
+@query("union_tagged", f"{L} SELECT CASE WHEN replicate % 2 = 0 THEN 'even' ELSE 'odd' END AS run, replicate, state, count(*) AS n FROM search_log GROUP BY ALL")
 def union_tagged(spark, d):
     log = V.search_log(spark, d)
-    parts = [log.where(F.col("replicate") == k).groupBy("state").agg(F.count("*").alias("n")).withColumn("replicate", F.lit(k).cast("bigint")) for k in (1, 2)]
-    return parts[0].unionByName(parts[1])
+    runs = {"even": log.where("replicate % 2 = 0"), "odd": log.where("replicate % 2 = 1")}
+    return W.union_tagged({run: one.groupBy("replicate", "state").agg(F.count("*").alias("n")) for run, one in runs.items()}, "run")
 
 
 @query("state_overlap", f"{L}, a AS (SELECT DISTINCT state FROM search_log WHERE reward = 1), b AS (SELECT DISTINCT state FROM search_log WHERE step <= 300) SELECT 'both' AS kind, state FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', state FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")

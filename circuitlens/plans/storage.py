@@ -31,10 +31,10 @@ def scan_csv(spark, d):
     return T.read_results(spark, path, "state string, visits bigint, q double")
 
 
-@query("scan_latest", f"{SN} SELECT replicate, state, visits FROM snapshots WHERE step = 1000")
+@query("scan_latest", f"{SN} SELECT replicate, state, visits FROM snapshots WHERE s = 10")
 def scan_latest(spark, d):
     path = scratch(spark)
-    V.snapshots(spark, d).select("replicate", "state", "visits", F.format_string("%06d", "step").alias("name")).write.partitionBy("name").parquet(path)
+    V.snapshots(spark, d).select("replicate", "state", "visits", F.format_string("%015d", "step").alias("name")).write.partitionBy("name").parquet(path)
     return T.read_latest(spark, f"{path}/*", r"name=(\d+)").select("replicate", "state", "visits")
 
 
@@ -46,10 +46,10 @@ def scan_glob(spark, d):
     return T.read_glob(spark, f"{path}/*", ["step"]).select("replicate", "step", F.col("batch_idx").cast("bigint").alias("batch_idx"))
 
 
-@query("scan_replicates", f"{SN} SELECT replicate::INT AS replicate, step::INT AS step, state, visits FROM snapshots WHERE step IN (500, 1000)")
+@query("scan_replicates", f"{SN} SELECT replicate::INT AS replicate, step::INT AS step, state, visits FROM snapshots")
 def scan_replicates(spark, d):
     path = scratch(spark)
-    V.snapshots(spark, d).where("step in (500, 1000)").select("state", "visits", F.col("replicate").alias("rep"), F.concat(F.lit("mcts_"), "step", F.lit("_oscillators")).alias("name")).write.partitionBy("rep", "name").csv(path, header=True)
+    V.snapshots(spark, d).select("state", "visits", F.col("replicate").alias("rep"), F.concat(F.lit("mcts_"), "step", F.lit("_oscillators")).alias("name")).write.partitionBy("rep", "name").csv(path, header=True)
     found = T.read_replicates(spark, f"{path}/*/*", r"rep=(\d+)/name=mcts_(\d+)_oscillators", ["replicate", "step"], "state string, visits bigint")
     return found.select("replicate", "step", "state", "visits")
 

@@ -24,8 +24,8 @@ DUCK = {
     "q_table": "SELECT state, count(*) AS visits, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS reward, avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) AS q FROM circuits GROUP BY state",
     "series": """
         SELECT event_type AS series_id, t, coalesce(n, 0)::DOUBLE AS value, coalesce(total, 0.0) AS total
-        FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (SELECT unnest(range(720)) AS t) g
-        LEFT JOIN (SELECT event_type AS e, date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS h, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) ON e = event_type AND h = t""",
+        FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (SELECT unnest(range((SELECT date_diff('hour', min(ts), max(ts)) FROM events) + 1)) AS t) g
+        LEFT JOIN (SELECT event_type AS e, date_diff('hour', (SELECT min(ts) FROM events), ts) AS h, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) ON e = event_type AND h = t""",
     "nodes": """
         SELECT node, coalesce(visits, 0) AS visits, coalesce(reward, 0) AS reward FROM (
             SELECT DISTINCT '*ABC::' || array_to_string(list_sort(list_filter(ixns, lambda x, i: (m >> (i - 1)) & 1 = 1)), '_') AS node
@@ -36,11 +36,12 @@ DUCK = {
         FROM (SELECT node, visits, reward, ixns, unnest(ixns) AS ixn FROM (SELECT *, list_filter(string_split(split_part(node, '::', 2), '_'), lambda x: x <> '') AS ixns FROM nodes))""",
     "bincodes": "SELECT p_partkey, lpad(bin(p_size), 8, '0') AS outcome, p_retailprice, CASE WHEN CAST(floor(p_retailprice) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS reward FROM part",
     "snapshots": """
-        SELECT replicate, s * 100 AS step, state, count(*) AS visits, CAST(sum(reward) AS BIGINT) AS reward, sum(reward)::DOUBLE / count(*) AS q
-        FROM search_log JOIN (SELECT unnest(range(1, 11)) AS s) g ON step <= s * 100 GROUP BY replicate, s, state""",
+        SELECT replicate, s::INT AS s, s * every AS step, state, count(*) AS visits, CAST(sum(reward) AS BIGINT) AS reward, sum(reward)::DOUBLE / count(*) AS q
+        FROM search_log CROSS JOIN stride JOIN (SELECT unnest(range(1, 11)) AS s) g ON step <= s * every GROUP BY replicate, s, every, state""",
+    "stride": "SELECT CAST(ceil(max(step) / 10) AS BIGINT) AS every FROM search_log",
     "truth": "SELECT state, avg(reward) AS true_q FROM search_log GROUP BY state",
 }
-NEEDS = {"q_table": ["circuits"], "nodes": ["circuits", "q_table"], "edges": ["circuits", "q_table", "nodes"], "snapshots": ["search_log"], "truth": ["search_log"]}
+NEEDS = {"q_table": ["circuits"], "nodes": ["circuits", "q_table"], "edges": ["circuits", "q_table", "nodes"], "stride": ["search_log"], "snapshots": ["search_log", "stride"], "truth": ["search_log"]}
 
 
 def ctes(*names: str, recursive: bool = False) -> str:
@@ -71,7 +72,17 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return common(spark, sf_dir, "search_log")
+    """The log with the step of every row in its replicate, numbered within hours after the counts of the hours before.
+
+    So no task orders all rows of a replicate.
+    """
+    events = table(spark, sf_dir, "events").withColumns({"replicate": F.col("user_id") % 12, "hour": F.date_trunc("hour", "ts")})
+    before = F.sum("n").over(Window.partitionBy("replicate").orderBy("hour")) - F.col("n")
+    hours = events.groupBy("replicate", "hour").agg(F.count("*").alias("n")).select("replicate", "hour", before.alias("before"))  # a row an hour
+    place = F.row_number().over(Window.partitionBy("replicate", "hour").orderBy("ts", "event_id"))
+    placed = events.withColumn("place", place).join(hours, ["replicate", "hour"])
+    reward = F.when(F.col("value") > 100, 1).otherwise(0)
+    return placed.select("replicate", (F.col("before") + F.col("place")).alias("step"), F.concat_ws("_", "user_id", "event_type").alias("state"), reward.alias("reward"), "value", "event_id")
 
 
 def runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +104,13 @@ def q_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per type and hour, from the first to the last hour of the table."""
     events = table(spark, sf_dir, "events")
-    hour = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))) / 3600).cast("int")
-    counts = events.groupBy(F.col("event_type").alias("series_id"), hour.alias("t")).agg(F.count("*").cast("double").alias("value"), F.round(F.sum("value"), 4).alias("total"))
-    grid = counts.select("series_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(719))))
+    ends = events.agg(*[F.floor(F.unix_timestamp(f("ts")) / 3600).alias(n) for n, f in (("first", F.min), ("last", F.max))])
+    hour = (F.floor(F.unix_timestamp("ts") / 3600) - F.col("first")).cast("int")
+    counts = events.crossJoin(F.broadcast(ends)).groupBy(F.col("event_type").alias("series_id"), hour.alias("t")).agg(F.count("*").cast("double").alias("value"), F.round(F.sum("value"), 4).alias("total"))  # a row of ends
+    hours = F.explode(F.sequence(F.lit(0), (F.col("last") - F.col("first")).cast("int")))
+    grid = counts.select("series_id").distinct().crossJoin(F.broadcast(ends)).select("series_id", hours.alias("t"))
     return grid.join(counts, ["series_id", "t"], "left").na.fill(0.0, ["value", "total"])
 
 
@@ -127,15 +141,20 @@ def bincodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", F.lpad(F.bin("p_size"), 8, "0").alias("outcome"), "p_retailprice", F.when(even, 1).otherwise(0).alias("reward"))
 
 
-def snapshots(spark: SparkSession, sf_dir: str, every: int = 100, count: int = 10) -> DataFrame:
-    """Totals per replicate and state after each of ``count`` checkpoints: one pass over the log, then running sums."""
-    log = search_log(spark, sf_dir).where(F.col("step") <= every * count)
-    parts = log.groupBy("replicate", "state", F.ceil(F.col("step") / every).cast("int").alias("s")).agg(F.count("*").alias("v"), F.sum("reward").alias("r"))
-    first = parts.groupBy("replicate", "state").agg(F.min("s").alias("from"))
-    grid = first.withColumn("s", F.explode(F.sequence("from", F.lit(count)))).select("replicate", "state", "s")
+def stride(log: DataFrame, count: int = 10) -> DataFrame:
+    """Steps between ``count`` checkpoints of which the last lies at or after the log's greatest step: one row."""
+    return log.agg(F.ceil(F.max("step") / count).alias("every"))
+
+
+def snapshots(spark: SparkSession, sf_dir: str, count: int = 10) -> DataFrame:
+    """Totals per replicate and state after each of ``count`` checkpoints (``s``) over the whole log: one pass, then running sums."""
+    log = search_log(spark, sf_dir)
+    parts = log.crossJoin(F.broadcast(stride(log, count))).groupBy("replicate", "state", "every", F.ceil(F.col("step") / F.col("every")).cast("int").alias("s")).agg(F.count("*").alias("v"), F.sum("reward").alias("r"))  # one number
+    first = parts.groupBy("replicate", "state", "every").agg(F.min("s").alias("from"))
+    grid = first.withColumn("s", F.explode(F.sequence("from", F.lit(count)))).select("replicate", "state", "every", "s")
     w = Window.partitionBy("replicate", "state").orderBy("s")
-    filled = grid.join(parts, ["replicate", "state", "s"], "left")
-    totals = filled.select("replicate", (F.col("s") * every).cast("bigint").alias("step"), "state", F.sum(F.coalesce("v", F.lit(0))).over(w).alias("visits"), F.sum(F.coalesce("r", F.lit(0))).over(w).alias("reward"))
+    filled = grid.join(parts.drop("every"), ["replicate", "state", "s"], "left")
+    totals = filled.select("replicate", "s", (F.col("s") * F.col("every")).cast("bigint").alias("step"), "state", F.sum(F.coalesce("v", F.lit(0))).over(w).alias("visits"), F.sum(F.coalesce("r", F.lit(0))).over(w).alias("reward"))
     return totals.withColumn("q", F.col("reward") / F.col("visits"))
 
 
