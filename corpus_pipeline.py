@@ -17,27 +17,35 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: rejected documents go, and so do lines above the limits."""
+    """Quality rules: rejected documents go, and so do lines above the limits; ``n_chars`` is counted anew.
+
+    Null texts are rejected; repeated rows share their verdict; other columns
+    stay, whatever their names; an empty table gives an empty one.
+    """
     return _sized(quality_rules.apply_rules(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
+    """SimHash near-dedup: one document of each group of near copies (five-word shingles, similarity 0.8) stays.
+
+    Rows that are equal in all columns are one; null ids come last, null and
+    empty texts are copies of each other; see ``simhash.deduplicate``.
+    """
     return simhash.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: all documents stay, with their secrets hidden."""
+    """Secret scans: all documents stay, with their secrets hidden; ``n_chars`` is counted anew. Null texts stay null."""
     return _sized(secrets.redact(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: the documents that are drawn stay."""
+    """Mixing to target weights: the documents that are drawn stay, with all columns; repeated rows stay or go together."""
     return mixing.sample(docs, mixing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token ids of every document, and a digest of the bytes that they decode to."""
+    """Byte-level BPE: token ids of every document, and a digest of the bytes that they decode to; null texts have none."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, ranks, keep=True)
