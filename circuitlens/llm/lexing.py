@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
     r"""(?P<space>[ \t\r\f\v]++)|(?P<newline>\n)
-    |(?P<string>(?<![A-Za-z0-9_])[rRbBuUfF]{0,2}(?:"(?!"")(?:[^"\\\n]++|\\[^\n])*+"|'(?!'')(?:[^'\\\n]++|\\[^\n])*+')|`[^`]*+`)
     |(?P<name>[A-Za-z_$][A-Za-z0-9_$]*+(?:(?:\.|-)[A-Za-z_$][A-Za-z0-9_$]*+)*+)
     |(?P<sign>==++|[!<>]=|:=|=>|=|:(?!:))|(?P<other>[^\w"'`\s=:!<>#/;-]++|.)""",
     re.X | re.S,
 )
+_STRING = {'"': re.compile(r'"(?:[^"\\\n]++|\\[^\n])*+"'), "'": re.compile(r"'(?:[^'\\\n]++|\\[^\n])*+'"), "`": re.compile("`[^`]*+`")}
+_PREFIX = re.compile(r"[rRbBuUfF]{1,2}\Z")
 _BARE = re.compile(r"[A-Za-z0-9_+/.=@$!%^&*~?:-]++")
 _REFERENCE = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*+(?:\.[A-Za-z_$][A-Za-z0-9_$]*+)*+\Z")
 _BLOCK = re.compile(r"[ \t]*+[|>][+-]?[0-9]?[ \t\r]*+\n")
@@ -48,6 +49,7 @@ def _tokens(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, in a comment) of every token but blanks."""
     found, at, until, size = [], 0, 0, len(text)
     missing: set[str] = set()
+    unclosed = dict.fromkeys(_STRING, 0)  # up to where no string of a kind is closed
 
     def close(mark: str, start: int) -> int:
         if mark in missing:
@@ -64,6 +66,17 @@ def _tokens(text: str) -> list[tuple[str, int, int, bool]]:
             found.append(("string", at, end + 3, at < until))
             at = end + 3
             continue
+        if mark in _STRING:
+            word = at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_")  # an apostrophe, unless the word is a prefix
+            opens = mark != "'" or not word or bool(_PREFIX.match(text, found[-1][1], found[-1][2]))
+            closed = _STRING[mark].match(text, at) if opens and at >= unclosed[mark] else None
+            if closed is None and opens and at >= unclosed[mark]:
+                end = text.find("\n", at) if mark != "`" else -1
+                unclosed[mark] = end if end >= 0 else size
+            end = closed.end() if closed else at + 1
+            found.append(("string" if closed else "other", at, end, at < until))
+            at = end
+            continue
         if at >= until and mark in "#/;-<":
             first = not text[:at].rpartition("\n")[2].strip() if mark in ";-" and (at == 0 or text[at - 1] in " \t\n") and at - text.rfind("\n", max(0, at - 40), at) < 40 else False
             if mark == "#" and (at == 0 or text[at - 1].isspace()) or mark == ";" and first or text.startswith("-- ", at) and first or text.startswith("//", at) and (at == 0 or text[at - 1] != ":"):
@@ -154,7 +167,7 @@ class _Parser:
         if kind not in ("string",) and text[a] not in "([{\"'`" and (m := _BARE.match(text, a)):
             after = text[m.end() : m.end() + 1]
             rest = text[m.end() : m.end() + 40].lstrip(" \t")
-            if _REFERENCE.match(m[0]) and after not in ("(", "[") and not rest.startswith("+"):
+            if _REFERENCE.match(m[0]) and after not in ("(", "[", '"', "'") and not rest.startswith("+"):
                 return [Value(literals=[m.span()], references=[m[0]], quoted=False)]
             if not _REFERENCE.match(m[0]):
                 return [Value(literals=[m.span()], quoted=False)]

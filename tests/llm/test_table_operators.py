@@ -36,6 +36,17 @@ def test_components_of_chains_stars_and_odd_links(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_url_of_great_length_and_one_ending(spark):
+    import time
+
+    urls = [f"http://h{k}.org/p{k}/index.html" for k in range(300)] + ["http://q.com/" + "a/b-İ" * 60_000, "http://x.net/es/" + "😀" * 500, "http://😀.org/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    start = time.time()
+    rows = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
+    assert len(rows) == len(urls) and time.time() - start < 120
+    assert len(rows[300].path) == 300_001 and rows[302].score is not None
+
+
 def vectors():
     rg, rows = np.random.default_rng(1), []
     for label in (1, 2, None):
@@ -113,28 +124,114 @@ def test_url_scores_against_a_plain_model(spark):
     assert all(abs(r.score - score(r.host + r.path)) < 2e-6 for r in found.values() if r.rule is None)
 
 
+TOKENIZER = mixing.Tokenizer(P.path("byte_bpe_50k.json"), P.PATTERN)
+
+
 def test_mixture_reaches_its_targets(spark):
-    rows = [(k, "word " * (1 + k % 50), ("en", "de", "fr", None)[k % 7 % 4], f"s{k % 3 % 2}", 1.0) for k in range(4000)] + [(None, None, None, None, 2.0)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, probability double")
-    out = mixing.mix(df).collect()
-    assert len(out) == len(rows)
+    from tokenizers import Tokenizer
+
+    texts = ["word " * (1 + k % 50) for k in range(600)] + [None, "", "a | b " * 3000]
+    rows = [(k, t, ("en", "de", "fr", None)[k % 7 % 4], f"s{k % 3 % 2}", 1.0, "x", 3, "y") for k, t in enumerate(texts)] + [(None, None, None, None, 2.0, "x", 3, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, probability double, topic string, tokens int, __id string")
+    out = mixing.mix(df, TOKENIZER).collect()
+    library = Tokenizer.from_file(TOKENIZER.path)
+    assert Counter((r.doc_id, r.tokens) for r in out) == Counter((r[0], max(1, len(library.encode(r[1] or "", add_special_tokens=False).ids))) for r in rows)
     total, expected = sum(r.tokens for r in out), sum(r.tokens * r.probability for r in out)
     assert abs(expected / total - mixing.KEEP) < 1e-3
     cells = defaultdict(set)
     for r in out:
         cells[r.source, r.lang, r.topic].add(r.probability)
     assert all(len(c) == 1 for c in cells.values())
-    kept = mixing.sample(df)
-    assert kept.columns == df.columns and kept.count() == sum(r.kept for r in out)
-    assert mixing.mix(df.limit(0)).count() == 0
+    kept = mixing.sample(df, TOKENIZER)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in out if r.kept)
+    assert all(r["__id"] == "y" and r.tokens == 3 for r in kept.collect())
+    assert mixing.mix(df.limit(0), TOKENIZER).count() == 0 and mixing.sample(df.limit(0), TOKENIZER).count() == 0
+
+
+CELLS = [(s, lang, t, 100 * (1 + i + 3 * j + k)) for i, s in enumerate("ab") for j, lang in enumerate(("en", "de")) for k, t in enumerate("xy")]
+CELL_TYPE = "source string, lang string, topic string, tokens bigint"
+
+
+def plain_raking(cells, targets):
+    """Weights by a loop over cells, 5,000 rounds."""
+    total, w = sum(c[3] for c in cells), [float(c[3]) for c in cells]
+    for _ in range(5000):
+        for d, dim in enumerate(("source", "lang", "topic")):
+            share = Counter()
+            for c in cells:
+                share[c[d]] += c[3] / total
+            raw = {v: x ** targets[dim] if isinstance(targets[dim], float) else targets[dim].get(v, x) for v, x in share.items()}
+            have = Counter()
+            for c, x in zip(cells, w):
+                have[c[d]] += x
+            w = [x * raw[c[d]] / sum(raw.values()) * total / have[c[d]] for c, x in zip(cells, w)]
+    return w
+
 
+@pytest.mark.parametrize("driver_cells", [1000, 0])
+def test_raking_to_a_tolerance(spark, driver_cells):
+    targets = {"source": 0.5, "lang": {"en": 0.9, "de": 0.1}, "topic": 1.0}
+    sparse = [c for c in CELLS if c[:3] not in (("a", "en", "x"), ("b", "de", "y"))]  # such tables take many rounds
+    for cells in (CELLS, sparse):
+        rows = {(r.source, r.lang, r.topic): r for r in mixing.calibrate(spark.createDataFrame(cells, CELL_TYPE), targets, driver_cells=driver_cells, tolerance=1e-6, keep=0.05).collect()}
+        for c, w in zip(cells, plain_raking(cells, targets)):
+            assert math.isclose(rows[c[:3]].w, w, rel_tol=1e-4) and rows[c[:3]].marginal_error <= 1e-6
+            assert abs(rows[c[:3]].probability - 0.05 * w / c[3]) < 1e-4
+        assert abs(sum(r.w for r in rows.values() if r.lang == "en") / sum(c[3] for c in cells) - 0.9) < 1e-5
 
-def test_raking_meets_the_marginals(spark):
-    cells = spark.createDataFrame([(s, lang, t, 100 * (1 + i + 3 * j + k)) for i, s in enumerate("ab") for j, lang in enumerate(("en", "de")) for k, t in enumerate("xy")], "source string, lang string, topic string, tokens bigint")
-    rows = mixing.rake(cells, {"source": 0.5, "lang": {"en": 0.7, "de": 0.3}, "topic": 1.0}, rounds=12).collect()
+
+@pytest.mark.parametrize("driver_cells", [1000, 0])
+def test_targets_that_cannot_be_met_are_reported(spark, driver_cells):
+    cells = [("a", "en", "x", 100), ("b", "de", "y", 100)]  # the language follows the source
+    with pytest.warns(UserWarning, match="can't be met"):
+        rows = mixing.calibrate(spark.createDataFrame(cells, CELL_TYPE), {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}, "topic": 1.0}, max_rounds=6, driver_cells=driver_cells).collect()
+    assert all(r.marginal_error > 0.1 for r in rows)
+
+
+@pytest.mark.parametrize("driver_cells", [1000, 0])
+def test_cells_that_are_used_up_count_whole(spark, driver_cells):
+    rows = mixing.calibrate(spark.createDataFrame(CELLS, CELL_TYPE), {"source": 1.0, "lang": {"en": 0.95, "de": 0.05}, "topic": 1.0}, keep=0.6, driver_cells=driver_cells).collect()
     total = sum(r.tokens for r in rows)
-    assert abs(sum(r.w for r in rows) - total) < 1e-6 * total
-    assert abs(sum(r.w for r in rows if r.lang == "en") / total - 0.7) < 1e-6
+    assert abs(sum(r.tokens * r.probability for r in rows) - 0.6 * total) < 1e-3 * total
+    assert max(r.probability for r in rows) == 1.0 and rows[0].draw_error > 0.05
+    scale = {round(r.probability * r.tokens / r.w, 4) for r in rows if r.probability < 1}
+    assert len(scale) == 1 and all(r.w * max(scale) >= r.tokens * 0.999 for r in rows if r.probability == 1)
+
+
+def plain_copies(texts):
+    """The smallest key that each text reaches over near copies, by comparing all pairs."""
+    share = math.acos(1.6 / 1.8) / math.pi
+    bits = 64 * simhash.CHECK_PRINTS
+    limit = bits * share + math.sqrt(bits * share * (1 - share))
+    prints = {i: np.frombuffer(simhash.many_prints(t), "<u8") for i, t in texts.items()}
+    halves = {i: p[: simhash.SEARCH_PRINTS].copy().view("<u4").astype(np.uint64) for i, p in prints.items()}
+    homes = {i: [set(simhash.anchors(h[k : k + 1], 0)[1].tolist()) for k in range(len(h))] for i, h in halves.items()}
+    links = [
+        (i, j) for i in texts for j in texts
+        if i < j and np.bitwise_count(prints[i][simhash.SEARCH_PRINTS :] ^ prints[j][simhash.SEARCH_PRINTS :]).sum() <= limit and any(a & b for a, b in zip(homes[i], homes[j]))
+    ]
+    group = {i: i for i in texts}
+    for _ in range(6):
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    return group
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, an empty table, repeated rows, a very long text and clashing columns go through all stages but the last."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, __removed string, __id string, row string, key string, name string"
+    good = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, good, "en", "s", 5, "a", "b", "c", "d", "e")] * 2 + [(None, good, None, None, None, "a", "b", "c", "d", "e"), (2, None, "en", "s", 1, None, "b", "c", "d", "e"), (3, "", None, "s", 0, "a", None, "c", "d", "e"), (4, " ".join(f"long{k * k}" for k in range(200_000)), "de", None, 1, "a", "b", None, "d", None)]
+    df = spark.createDataFrame(rows, schema)
+    kept = df
+    for stage in (corpus_pipeline.rules, corpus_pipeline.near_dedup, corpus_pipeline.secret_scan, corpus_pipeline.mixture):
+        kept = stage(spark, kept, "")
+        assert kept.columns == df.columns
+        if stage is corpus_pipeline.near_dedup:
+            assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+            assert {(r["__removed"], r["__id"]) for r in kept.collect()} == {("a", "b")}
+        assert stage(spark, df.limit(0), "").count() == 0
+    assert corpus_pipeline.tokenize(spark, df, "").count() == len(rows) and corpus_pipeline.tokenize(spark, df.limit(0), "").count() == 0
 
 
 def test_pipeline_against_a_plain_version(spark):
@@ -147,16 +244,10 @@ def test_pipeline_against_a_plain_version(spark):
             gone = set(judged[i].removed)
             key = lambda line: quality_rules.measure(line)[5]
             texts[i] = "\n".join(x for x in doc.text.split("\n") if not (set(key(x)) & gone)) if gone else doc.text
-    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    group = {i: i for i in texts}
-    for _ in range(4):
-        for i in texts:
-            for j in texts:
-                if (prints[i] ^ prints[j]).bit_count() <= 3:
-                    group[i] = group[j] = min(group[i], group[j])
+    group = plain_copies(texts)
     kept = {i: secrets.hide(t) for i, t in texts.items() if group[i] == i}
     rows = spark.createDataFrame([(i, t, docs[i].lang, docs[i].source) for i, t in kept.items()], "doc_id bigint, text string, lang string, source string")
-    drawn = {r.doc_id for r in mixing.mix(rows).collect() if r.kept}
+    drawn = {r.doc_id for r in mixing.mix(rows, TOKENIZER).collect() if r.kept}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     found = {r.doc_id: list(r.token_ids) for r in corpus_pipeline.run(spark, folder).collect()}
     assert found == {i: library.encode_ordinary(kept[i]) for i in drawn}

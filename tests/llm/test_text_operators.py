@@ -159,6 +159,39 @@ def test_near_links_in_tiles(spark):
     assert groups([tuple(r) for r in simhash.near_links(df, tile=4).collect()]) == want
 
 
+def test_anchors_without_a_home_are_not_compared(spark):
+    """Many fingerprints that share one half meet at 17 anchors, of which one is a home; the others are dropped or skipped."""
+    import random
+
+    rg = random.Random(4)
+    values = sorted({(rg.getrandbits(31) << 32) | 0x1234567 for _ in range(600)})
+    df = spark.createDataFrame([(v,) for v in values], "bits bigint")
+    want = {(a, b) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 3}
+    for tile in (64, 4096):
+        found = {(min(r), max(r)) for r in map(tuple, simhash.near_links(df, tile=tile).collect())}
+        assert found <= want and len({x for p in found for x in p}) == len({x for p in want for x in p})
+
+
+def test_near_copies(spark):
+    import random
+
+    rg = random.Random(8)
+    vocabulary = [f"w{rg.getrandbits(20)}" for _ in range(3000)]
+    base = [[rg.choice(vocabulary) for _ in range(400)] for _ in range(40)]
+    edited = []
+    for words_ in base:
+        copy = list(words_)
+        for at in rg.sample(range(400), 5):
+            copy[at] = "edited"
+        edited.append(copy)
+    rows = [(k, " ".join(t)) for k, t in enumerate(base + edited)]
+    found = {r.key: r.smallest for r in simhash.near_copies(spark.createDataFrame(rows, "key bigint, text string")).collect()}
+    caught = sum(found[40 + k] == k for k in range(40))
+    assert caught >= 36 and all(found[k] == k for k in range(40)) and all(found[40 + k] in (k, 40 + k) for k in range(40))
+    many = spark.createDataFrame([(k, " ".join(base[0] + [f"x{k}"])) for k in range(300)], "key bigint, text string")
+    assert {r.smallest for r in simhash.near_copies(many, tile=50).collect()} == {0}
+
+
 def brute_measure(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -222,6 +255,40 @@ def test_secret_scan_base_and_method(spark):
     assert 'token = "[SECRET]" x' in hidden and "plain prose: nothing here" in hidden and 'x = "[SECRET]"\nclient_pwd = x' in hidden
 
 
+def test_secrets_of_generated_programs():
+    """Programs are put together from statements whose secret places are known, so the spans are known without a lexer."""
+    import random
+
+    rg = random.Random(11)
+    draw = lambda: "".join(rg.sample("abcdefghjkmnpqrsXYZTUVW", 9)) + "".join(rg.sample("0123456789", 5))
+    # {s}: a secret, {c}: a clean literal, {v}: a name of its own
+    statements = [
+        'client_pwd = "{s}"', "cfg['db_credentials'] = '{s}'", '{{"signing_key": "{s}", "size": "{c}"}}', 'auth_key: str = "{s}"', "private_key: |\n  {s}\nnext_item: 3",
+        'pwd = decrypt("{s}", 5)', 'bearer = ("{s}"\n    "{s}")', '{v} = "{s}"\nmy_pwd = {v}', "<dbPwd>{s}</dbPwd>", '<add key="AuthPwd" value="{s}"/>', "export APP_PWD={s}", 'credentials = ["{s}", "{s}"]', "let pwd = `{s}`;", 'pwd = \'\'\'{s}\'\'\'',
+        'title = "{c}"', "# {v} = '{c}'\nlast_pwd = {v}", 'if pwd == "{c}": pass', 'size: {c}', 'pwd = os.environ["APP_PWD"]', "/* nothing = '{c}' */", "it's {c} that we don't know", '{v} = "{c}"\ncolour = {v}', "author: {c}",
+    ]
+    for _ in range(300):
+        text, want = "", []
+        for statement in rg.sample(statements, rg.randint(1, 6)):
+            name = "value" + "".join(rg.sample("abcdefghijklmnop", 6))
+            for part in re.split(r"(\{[sc]\})", statement):
+                if part == "{s}" or part == "{c}":
+                    value = draw()
+                    if part == "{s}":
+                        want.append((len(text), len(text) + len(value)))
+                    text += value
+                else:
+                    text += part.replace("{v}", name).replace("{{", "{").replace("}}", "}")
+            text += "\n"
+        assert secrets.literals(text) == sorted(want), text
+
+
+def test_secret_scan_of_no_rows_and_long_texts(spark):
+    assert secrets.secret_spans(frame(spark).limit(0)).count() == 0 and secrets.redact(frame(spark).limit(0)).count() == 0
+    value = "aB3" * 100_000
+    assert by_id(secrets.secret_spans(frame(spark, ["x " * 200_000 + f'\nclient_pwd = "{value}Zk9"'])).collect())[0].spans == f"literal:{400_000 + 15}:{400_000 + 15 + 300_003}"
+
+
 def test_secrets_spare_clean_text():
     for clean in ("The token of: peace", "author: Smith wrote this", "auth = get_auth()", "note: see chapter 12", "password: ${PASSWORD}"):
         assert secrets.scan(clean)[1] == []
@@ -255,10 +322,33 @@ def test_licenses(spark):
     rows = by_id(licenses.license_scan(frame(spark, texts)).collect())
     assert [rows[k].licenses for k in (0, 1, 2, 4, 5, 6)] == ["Apache-2.0", "", "MIT", "", "", "MIT,CC-BY-NC-4.0"]
     assert rows[6].sentence_ids == "mit_released,ccbync_under" and rows[6].n_sentences == 2 and rows[1].primary_license is None
+    assert rows[4].primary_license is None and rows[5].sentence_ids == ""
     assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
     assert licenses.license_scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_every_licence_rule_on_its_notice(spark):
+    """Each notice as it stands, on one line, and wrapped in a comment, names its licence."""
+    import textwrap
+
+    from circuitlens.llm.license_data import all_notices
+
+    rows, want = [], {}
+    for licence, name, notice in all_notices():
+        wrapped = "\n *\n".join("\n".join(" * " + x for x in textwrap.wrap(p, 60, break_on_hyphens=False, break_long_words=False)) for p in notice.split("\n\n"))
+        for kind, text in (("plain", notice), ("comment", f"/*\n{wrapped}\n */"), ("among", f"Some words.\n\n{notice}\n\nMore words.")):
+            want[len(rows)] = (licence, name, kind)
+            rows.append((len(rows), text))
+    found = by_id(licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert [want[k] for k in want if want[k][0] not in found[k].licenses.split(",")] == []
+
+
+def test_licence_of_a_named_organisation_and_long_text(spark):
+    bsd = dict((n, t) for _, n, t in __import__("circuitlens.llm.license_data", fromlist=["x"]).all_notices())["bsd3"].replace("the copyright holder", "the Example Project")
+    rows = by_id(licenses.license_scan(frame(spark, [bsd, "All rights reserved.\n" + bsd, "w x. " * 100_000 + "\nSPDX-License-Identifier: MIT\n"])).collect())
+    assert (rows[0].licenses, rows[1].licenses, rows[2].licenses) == ("BSD-3-Clause", "BSD-3-Clause", "MIT")
+
+
 def brute_marginals(odds, moves):
     from itertools import product
 
@@ -283,6 +373,37 @@ def test_marginals_against_all_paths():
     assert np.allclose(found, want)
 
 
+def test_score_against_all_paths():
+    """Scores of short texts from a sum over all labellings of their lines."""
+    import numpy as np
+
+    rg = np.random.default_rng(3)
+    width = quality_model.line_features([""])[0].shape[1]
+    model = quality_model.Model(rg.normal(size=width), 1 + rg.random(width), rg.normal(size=width + 1) / 4, rg.normal(size=(2, 2)), 0.7, -0.2)
+    texts = ["", "one line", "a b\n\nC D!! | x\n12 34", "\n".join(["yes no"] * 7), "ÄÖ\nß ß ß"]
+    for text, found in zip(texts, quality_model.score(model, texts)):
+        features, size, _ = quality_model.line_features([text])
+        p = brute_marginals(model.odds(features), model.moves)
+        weight = size if size.sum() else np.ones(len(size))
+        mean = min(max((p * weight).sum() / weight.sum(), 1e-6), 1 - 1e-6)
+        assert abs(found - 1 / (1 + np.exp(-(0.7 * np.log(mean / (1 - mean)) - 0.2)))) < 1e-9
+
+
+def test_quality_trains_on_whole_texts(spark):
+    """A document whose bad lines come late is learnt from them; repeated rows and too many lines don't count twice."""
+    import numpy as np
+
+    good = [(k, "\n".join(f"These are plain words in line {j} of {k}." for j in range(30)), 1) for k in range(1, 60, 2)]
+    bad = [(k, "\n".join([f"These are plain words in line {j} of {k}." for j in range(200)] + ["$$ ## BUY!! NOW!! ##"] * 40), 0) for k in range(2, 60, 2)]
+    docs = spark.createDataFrame([r[:2] for r in (good + bad) * 2], "doc_id bigint, text string")
+    model = quality_model.train(docs, spark.createDataFrame([(r[0], r[2]) for r in good + bad], "doc_id bigint, quality int"))
+    features, _, lines = quality_model.line_features(["These are plain words in line 3 of 9.\n$$ ## BUY!! NOW!! ##\n$$ ## BUY!! NOW!! ##"])
+    p, _ = quality_model.marginals(model.odds(features), lines, model.moves)
+    assert p[0] > p[2]
+    assert np.array_equal(quality_model.chains(np.array([1, 128, 129, 300])), [1, 128, 128, 1, 128, 128, 44])
+    assert quality_model.classify(docs.limit(0), model).count() == 0
+
+
 def test_line_features_do_not_depend_on_the_batch():
     import numpy as np
 
