@@ -85,7 +85,7 @@ def test_negative_feedback(spark):
 def test_components_and_conductance(spark):
     df = states(spark, "*ABCD::ABa_CDi", "*ABCD::", "*ABCD::ABa_BCi_CDa", "*ABCD::ADa")
     assert {r.state: r.n_components for r in N.circuit_components(df, "ABCD").collect()} == {"*ABCD::ABa_CDi": 2, "*ABCD::": 1, "*ABCD::ABa_BCi_CDa": 1, "*ABCD::ADa": 1}
-    assert {r.state: r.cheeger for r in N.cheeger(df, "ABCD").collect()}["*ABCD::ABa_BCi_CDa"] == 0.5
+    assert {r.state: r.cheeger for r in N.cheeger(df, "ABCD").collect()}["*ABCD::ABa_BCi_CDa"] == 1 / 3  # cut 1, volumes 3 and 3
 
 
 def test_distances_are_those_of_the_best_relabelling(spark):

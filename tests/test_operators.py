@@ -50,7 +50,7 @@ def test_running_success_count_equals_a_set_simulation(spark):
 
 def test_class_shares_sum_to_one(spark):
     log = spark.createDataFrame([(k, "abc"[k % 3]) for k in range(1, 100)], "step int, state string")
-    sums = W.class_share(log, F.col("state"), 5, 20).groupBy("bin").agg(F.sum("share").alias("s")).collect()
+    sums = W.class_share(log, F.col("state"), F.lit(20)).groupBy("bin").agg(F.sum("share").alias("s")).collect()
     assert len(sums) == 5 and all(abs(r.s - 1) < 1e-12 for r in sums)
 
 
@@ -136,7 +136,7 @@ def test_periodic_lattice_is_symmetric(spark):
 def test_entropy_and_modularity(spark):
     df = spark.createDataFrame([("00001111",), ("01010101",), ("11111111",)], "outcome string")
     rows = {r.outcome: r.modularity for r in N.tree_modularity(df, 3).collect()}
-    assert rows["00001111"] == 1.0 and rows["01010101"] == 0.0 and rows["11111111"] == 0.0
+    assert rows["00001111"] == 0.75 and rows["01010101"] == 0.25 and rows["11111111"] == 0.0  # layers from the root to the leaves
 
 
 def test_nearest_breaks_ties_and_crosses_ranges(spark):
@@ -187,3 +187,51 @@ def test_perturbation_stays_in_range(spark):
     rows = D.perturb(df, {"kp": D.RANGES["kp"]}, 0.5, "x", "id").collect()
     assert all(0.015 <= r.kp <= 0.25 for r in rows) and len({r.kp for r in rows}) > 150
     assert {r.kp for r in D.perturb(df, {"kp": D.RANGES["kp"]}, 0.0, "x", "id").collect()} == {0.24}
+
+
+def test_conductance_distance_and_modularity_by_hand(spark):
+    from circuitlens.operators import graphs as N
+
+    states = ["*ABC::ABa_BCa_CAi", "*ABC::ABa", "*ABC::ABa_BCi", "*ABC::AAa_BBi", "*ABC::", "*ABC::AAa_ABa"]
+    df = spark.createDataFrame([(s,) for s in states], "state string")
+    assert [r.cheeger for r in sorted(N.cheeger(df, "ABC").collect(), key=lambda r: states.index(r.state))] == [1.0, 1.0, 1.0, None, None, 1.0]
+    four = ["*ABCD::ABa_BCa_CDa", "*ABCD::ABa_CDa", "*ABCD::ABa_BCa_CAa_CDi"]  # a chain, two pieces, a triangle with a tail
+    values = {r.state: r.cheeger for r in N.cheeger(spark.createDataFrame([(s,) for s in four], "state string"), "ABCD").collect()}
+    assert [round(values[s], 6) for s in four] == [round(1 / 3, 6), 0.0, 0.5]  # the tail with its corner: two edges cross, volumes are 4 and 4
+    distance = {(r.a, r.b): r.distance for r in N.circuit_distances(df, df, "ABC").collect()}
+    assert distance["*ABC::AAa_ABa", "*ABC::ABa"] == 0 and distance["*ABC::", "*ABC::ABa"] == 1 and distance["*ABC::ABa", "*ABC::ABa_BCa_CAi"] == 2
+    codes = spark.createDataFrame([("0011",), ("0000",), ("0101",)], "outcome string")
+    assert {r.outcome: round(r.modularity, 6) for r in N.tree_modularity(codes, 2).collect()} == {"0011": round(2 / 3, 6), "0000": 0.0, "0101": round(1 / 3, 6)}
+
+
+def test_pattern_itself_is_left_out(spark):
+    from circuitlens.operators import motifs as M
+    from pyspark.sql import functions as F
+
+    q = spark.createDataFrame([("*ABC::ABa", 1.0), ("*ABC::ABa_BCi", 1.0), ("*ABC::BCi", 0.0), ("*ABC::AAa", 1.0)], "state string, q double")
+    patterns = spark.createDataFrame([("*ABC::ABa",)], "pattern string")
+    for limit in (100, 0):  # bit masks and inverted index
+        pairs = M.pattern_containment(q, patterns, broadcast_rows=limit)
+        assert sorted(r.state for r in pairs.collect()) == ["*ABC::ABa", "*ABC::ABa_BCi"]
+        row = M.contingency(q, pairs, F.col("q") >= 0.5).first()
+        assert tuple(row) == ("*ABC::ABa", 1, 1, 1, 2)
+        assert tuple(M.contingency(q, pairs, F.col("q") >= 0.5, exclude_self=False).first()) == ("*ABC::ABa", 2, 1, 2, 2)
+
+
+def test_rates_have_a_fixed_sum(spark):
+    from circuitlens.operators import design as D
+
+    df = spark.createDataFrame([(0.0, 0.1, 0.5, 1.0), (2.0, 0.25, 0.2, 0.0)], "log10_kd_1 double, kd_2_1_ratio double, km_unbound double, nlog10_km_rep_unbound_ratio double")
+    first, second = D.to_params(df).collect()
+    assert (first.k_on, first.k_off_1, first.k_off_2) == (50.0, 50.0, 5.0) and abs(second.k_off_1 - 100 * 100 / 101) < 1e-9 and abs(second.k_on - 100 / 101) < 1e-9
+
+
+def test_snapshots_reach_the_end_of_the_log(spark, tmp_path):
+    from circuitlens.plans import views as V
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).alias("ts"), (F.col("id") % 2).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    last = V.snapshots(spark, str(tmp_path)).where("s = 10")
+    assert last.agg(F.sum("visits")).first()[0] == 5_000
+    assert [r.step for r in V.search_log(spark, str(tmp_path)).where("replicate = 0").orderBy("event_id").collect()] == list(range(1, 2_501))
