@@ -82,15 +82,15 @@ def all_notices() -> list[tuple[str, str, str]]:
                 found.append((f"{full}-or-later", f"{key}_later", f"{start} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."))
                 found.append((f"{full}-only", f"{key}_only", f"{start} version {version} as published by the Free Software Foundation."))
                 found.append((f"{full}-only", f"{key}_this", f"{start} as published by the Free Software Foundation; version {version} of the License."))
+    for licence, names in CALLED.items():
+        for k, name in enumerate(names):
+            for said in SAID:
+                found.append((licence, f"{licence}_{said.split()[0] if said[0] != 'T' else said.split()[1]}" + str(k or ""), said.format(name)))
     for code, name in CC.items():
         for version, place in (("4.0", "International"), ("3.0", "Unported")):
             licence, key = f"CC-{code}-{version}", f"cc{code.replace('-', '').lower()}" + "3" * (version == "3.0")
             found.append((licence, f"{key}_work", f"This work is licensed under a Creative Commons {name} {version} {place} License"))
             found.append((licence, f"{key}_under", f"Licensed under CC {code} {version}"))
-    for licence, names in CALLED.items():
-        for k, name in enumerate(names):
-            for said in SAID:
-                found.append((licence, f"{licence}_{said.split()[0] if said[0] != 'T' else said.split()[1]}" + str(k or ""), said.format(name)))
     for tag in TAGS:
         found.append((tag, f"spdx_{tag}", f"SPDX-License-Identifier: {tag}"))
     for a, b in (("MIT", "Apache-2.0"), ("Apache-2.0", "MIT")):
