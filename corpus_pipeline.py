@@ -67,8 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table; each result but the last is a Parquet table in the shared folder.
 
-    A table is deleted when the next one is written; the last stage has read
-    its documents when it returns, so nothing of the pipeline's stays behind.
+    A table is deleted when the next one is written. The last one stays, as
+    the result reads it whenever it is computed.
     """
     docs, folder = read(spark, sf_dir, "documents"), shared.scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
@@ -77,5 +77,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
             shared.delete(spark, f"{folder}/{k - 1}")
-    shared.delete(spark, folder)
     return docs
