@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from circuitlens.llm import bpe, embeddings, licenses, mixing, quality_model, quality_rules, secrets, simhash, url_filter
+from circuitlens.llm import bpe, code_compression, divergence, embeddings, html_extraction, licenses, mixing, quality_model, quality_rules, secrets, simhash, url_filter
 from circuitlens.llm.common import read
 from circuitlens.llm.token_counts import count_tokens
 
@@ -58,10 +58,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_simhash, op3_url_filter, op4_bpe, op5_embeddings, op6_quality_rules, op7_secrets, op8_token_counts, op9_mixing, op10_license_scan)
+    found = (op1_quality, op2_simhash, op3_url_filter, op4_bpe, op5_embeddings, op6_quality_rules, op7_secrets, op8_token_counts, op9_mixing, op10_license_scan, op11_code_compression, op12_divergence, op13_html_extraction)
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op5_embeddings": embeddings.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle()}
+    return {"op3_url_filter": url_filter.oracle(), "op5_embeddings": embeddings.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op10_license_scan": licenses.oracle(), "op11_code_compression": code_compression.ORACLE, "op12_divergence": divergence.ORACLE}
