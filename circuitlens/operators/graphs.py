@@ -87,6 +87,61 @@ def reachable(edges: DataFrame, start: str) -> DataFrame:
     return bfs_layers(edges, start).select("node")
 
 
+def reachability(edges: DataFrame, targets: DataFrame, max_depth: int = 64) -> DataFrame:
+    """Every node with every target that it reaches, a target with itself: (node, target), each pair once.
+
+    All starts at once, from the targets up: a step leads the pairs found last
+    to their sources, without the pairs that are known. ``targets`` has a column ``node``.
+    Targets that no edge names reach themselves.
+    """
+    links = cut(edges.select("src", "dst").distinct())
+    seen = frontier = cut(targets.select("node", F.col("node").alias("target")).distinct())
+    for _ in range(max_depth):
+        up = links.join(frontier, links.dst == frontier.node).select(F.col("src").alias("node"), "target").distinct()
+        frontier = cut(up.join(seen, ["node", "target"], "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.union(frontier))
+    raise RuntimeError(f"deeper than {max_depth}")
+
+
+def exhausted(nodes: DataFrame, edges: DataFrame, depths: DataFrame, least: int) -> DataFrame:
+    """Whether nothing is left to try below a node: (node, exhausted).
+
+    A circuit that was visited is done after ``least`` visits. A node is
+    exhausted when its own circuit is done, if it was ever visited, and all
+    of its children are exhausted; a leaf that was never visited is not. From the deepest layer up, with
+    the children and those exhausted counted; every edge leads one layer down.
+    """
+    links = edges.select("src", "dst").distinct()
+    children = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("children"))
+    own = cut(nodes.select("node", "visits").join(depths, "node").join(children, "node", "left").na.fill(0, ["children"]))
+    links = cut(links.join(depths.withColumnRenamed("node", "src"), "src"))
+    layer = done = None
+    for depth in range(deepest(depths), -1, -1):
+        here = own.where(F.col("depth") == depth)
+        if layer is None:
+            here = here.withColumn("below", F.lit(0).cast("bigint"))
+        else:
+            spent = links.where(F.col("depth") == depth).join(layer.where("exhausted").select(F.col("node").alias("dst")), "dst", "left_semi")
+            here = here.join(spent.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("below")), "node", "left").na.fill(0, ["below"])
+        tried = (F.col("visits") >= least) | ((F.col("visits") == 0) & (F.col("children") > 0))
+        layer = cut(here.select("node", (tried & (F.col("below") == F.col("children"))).alias("exhausted")))
+        done = layer if done is None else done.unionByName(layer)
+    return done
+
+
+def exhausted_edges(edges: DataFrame, done: DataFrame, rates: DataFrame, good: float) -> DataFrame:
+    """Edges from exhausted nodes to nodes that are exhausted as well or whose ``q_tilde`` lies above ``good``: (src, dst, q_tilde, exhausted).
+
+    ``done`` has (node, exhausted): from ``exhausted``, or by the visits of a node's own circuit.
+    """
+    ends = done.join(rates.select("node", "q_tilde"), "node")
+    out = edges.select("src", "dst").distinct().join(done.where("exhausted").select(F.col("node").alias("src")), "src", "left_semi")
+    out = out.join(ends.withColumnRenamed("node", "dst"), "dst")
+    return out.where(F.col("exhausted") | (F.col("q_tilde") > good)).select("src", "dst", "q_tilde", "exhausted")
+
+
 def merge_graphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The union of replicate graphs, visits and rewards summed."""
     sums = [F.sum("visits").alias("visits"), F.sum("reward").alias("reward")]

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations, permutations
-from math import erfc, sqrt
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from circuitlens.functions import genotype as G
+from circuitlens.functions.tails import chi2_sf
 
 
 #: Patterns (a few numbers each) that may be broadcast; more meet circuits in an inverted index.
@@ -86,19 +85,10 @@ def chi2_yates(df: DataFrame, cells: Sequence[str] = ("pattern_in_succ", "others
     return df.withColumn("chi2", F.when(margins > 0, n * excess * excess / margins).otherwise(0.0))
 
 
-def _chi2_tail(statistic: pd.Series) -> pd.Series:
-    return statistic.map(lambda x: erfc(sqrt(x / 2)))
-
-
-def chi2_p_value(statistic: str) -> Column:
-    """Upper tail of the chi-squared distribution with one degree of freedom, by batches of rows."""
-    return F.pandas_udf(_chi2_tail, T.DoubleType())(statistic)
-
-
 def with_p_values(df: DataFrame) -> DataFrame:
     """p-value and its Bonferroni correction, which isn't capped at 1."""
     tests = df.agg(F.count("*").alias("__tests"))
-    out = df.crossJoin(F.broadcast(tests)).withColumn("pvalue", chi2_p_value("chi2"))  # a row of totals
+    out = df.crossJoin(F.broadcast(tests)).withColumn("pvalue", chi2_sf(F.col("chi2")))  # a row of totals
     return out.withColumn("p_corrected", F.col("pvalue") * F.col("__tests")).drop("__tests")
 
 

@@ -190,6 +190,28 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: int, log_x: bool = False, l
     return pts.crossJoin(F.broadcast(ends)).groupBy(cell("x").alias("bx"), cell("y").alias("by")).agg(F.count("*").alias("n"))  # one row of extremes
 
 
+def corner_histograms(df: DataFrame, columns: Sequence[str], bins: int, by: str | None = None, log: Sequence[str] = ()) -> DataFrame:
+    """Histograms of all columns and of all pairs of them, for all rows or by class: (class, x, y, bx, by, n).
+
+    A column's cells are ``bins`` equal ones between its extremes over all classes, on a log axis
+    for those in ``log`` (values of 0 and less are left out there); the top edge is in the last cell, and a
+    constant column has cell 0 only. Pairs come once, in the order of ``columns``; a row with x = y is
+    the histogram of one column. Null and NaN values are left out of the histograms of their column. Empty
+    cells have no row.
+
+    One pass finds the extremes; in another each row becomes a small array of
+    cells, which is counted by one aggregation.
+    """
+    axis = {c: F.when(F.col(c) > 0, F.log10(c)) if c in log else F.col(c).cast("double") for c in columns}
+    points = df.select(*[F.when(~F.isnan(a), a).alias(f"v{i}") for i, a in enumerate(axis.values())], (F.col(by).cast("string") if by else F.lit("all")).alias("class"))
+    ends = points.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))])
+    cell = [F.when(F.col(f"hi{i}") > F.col(f"lo{i}"), F.least(F.lit(bins - 1), F.floor((F.col(f"v{i}") - F.col(f"lo{i}")) / ((F.col(f"hi{i}") - F.col(f"lo{i}")) / bins)).cast("int"))).when(F.col(f"v{i}").isNotNull(), 0) for i in range(len(columns))]
+    placed = points.crossJoin(F.broadcast(ends)).select("class", *[c.alias(f"b{i}") for i, c in enumerate(cell)])  # one row of extremes
+    cells = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"b{i}").alias("bx"), F.col(f"b{j}").alias("by")) for i, x in enumerate(columns) for j, y in enumerate(columns) if i <= j])
+    out = placed.select("class", F.explode(cells).alias("c")).where("c.bx is not null and c.by is not null")
+    return out.groupBy("class", "c.x", "c.y", "c.bx", "c.by").agg(F.count("*").alias("n"))
+
+
 def ecdf(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Empirical distribution per group: for each distinct value the share of rows that are no greater.
 

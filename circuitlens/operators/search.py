@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from circuitlens.operators.scan import running_sums, step_bucket, top_rows
+
 
 def _so_far(by: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -13,9 +15,9 @@ def _so_far(by: Sequence[str], order: Sequence[str]) -> Window:
 
 def regret(log: DataFrame, best: float = 1.0, by: Sequence[str] = ("replicate",)) -> DataFrame:
     """Cumulative regret, the sum of best - reward up to a step, and the straight line of the replicate's mean."""
-    w = _so_far(by, ["step"])
-    mean = F.avg("reward").over(Window.partitionBy(*by))
-    return log.withColumns({"regret": F.sum(F.lit(best) - F.col("reward")).over(w), "naive": (F.lit(best) - mean) * F.col("step")})
+    means = log.groupBy(*by).agg(F.avg("reward").alias("__mean"))
+    out = running_sums(log, by, ["step"], {"regret": F.lit(best) - F.col("reward")}, step_bucket())
+    return out.join(means, list(by)).withColumn("naive", (F.lit(best) - F.col("__mean")) * F.col("step")).drop("__mean")
 
 
 def running_q(log: DataFrame) -> DataFrame:
@@ -31,16 +33,28 @@ def running_success_count(log: DataFrame, threshold: float) -> DataFrame:
     Only the step's own state changes, so the set's size is the running sum of
     its entries and exits: the state's flag now less its flag before.
     """
+    return running_sums(_moves(log, threshold), ["replicate"], ["step"], {"n_above": F.col("delta")}, step_bucket())
+
+
+def _moves(log: DataFrame, threshold: float) -> DataFrame:
+    """The log with 1 where the step's state gets above the threshold, -1 where it falls back to it, else 0 (``delta``)."""
+    visits, reward = F.col("cum_visits") - 1, F.col("cum_reward") - F.col("reward")
+    before = F.when(visits > 0, (reward / visits > threshold).cast("int")).otherwise(0)
     flagged = running_q(log).withColumn("above", (F.col("cum_q") > threshold).cast("int"))
-    before = F.lag("above", 1, 0).over(Window.partitionBy("replicate", "state").orderBy("step"))
-    moved = flagged.withColumn("delta", F.col("above") - before)
-    return moved.withColumn("n_above", F.sum("delta").over(_so_far(["replicate"], ["step"])))
+    return flagged.withColumn("delta", F.col("above") - before)
+
+
+def running_top_overlap(log: DataFrame, threshold: float, truth: DataFrame, n: int) -> DataFrame:
+    """How many of the ``n`` truly best states (``true_q``, first by name among equals) lie above the threshold after every step."""
+    best = top_rows(truth.select("state", "true_q"), "true_q", "state", n).select("state", F.lit(1).alias("__best"))
+    moved = _moves(log, threshold).join(best, "state", "left")
+    return running_sums(moved, ["replicate"], ["step"], {"n_overlap": F.col("delta") * F.coalesce("__best", F.lit(0))}, step_bucket()).drop("__best")
 
 
 def running_distinct(log: DataFrame) -> DataFrame:
     """Number of distinct states visited up to every step."""
     first = (F.row_number().over(Window.partitionBy("replicate", "state").orderBy("step")) == 1).cast("int")
-    return log.withColumn("first", first).withColumn("n_seen", F.sum("first").over(_so_far(["replicate"], ["step"]))).drop("first")
+    return running_sums(log.withColumn("first", first), ["replicate"], ["step"], {"n_seen": F.col("first")}, step_bucket()).drop("first")
 
 
 def round_robin(df: DataFrame, size: int, by: str = "state", order: Sequence[str] = ("step",)) -> DataFrame:
@@ -127,6 +141,42 @@ def discovery_quality(snapshots: DataFrame, truth: DataFrame, found_q: float, tr
     return counts.crossJoin(F.broadcast(total)).select("replicate", "step", rate(tp, tp + fp).alias("precision"), rate(tp, F.col("n_good")).alias("recall"), rate(fp, F.col("n_bad")).alias("fpr"))  # a row of totals
 
 
+def discovery_bands(snapshots: DataFrame, truth: DataFrame, found_q: float, true_q: float, share: float = 0.1) -> DataFrame:
+    """How precision and recall develop over the replicates: (step, metric, mean, q05, q50, q95, n).
+
+    Metrics are ``precision`` and ``recall`` of the truly good states (``true_q``
+    at least the bound), and ``top_precision`` and ``top_recall`` of the best ``share`` of them:
+    their number is rounded down, and of equal states at the cut the first by name are in. Found are
+    states with a rate of ``found_q`` or more. ``n`` counts the replicates: a
+    replicate that has found nothing has no precision and isn't counted there, as recall isn't where no state is
+    good.
+    """
+    good = truth.where(F.col("true_q") >= true_q).select("state", "true_q")
+    n_good = good.count()
+    n_top = int(n_good * share)
+    top = top_rows(good, "true_q", "state", n_top).select("state", F.lit(True).alias("top")) if n_top else good.select("state", F.lit(True).alias("top")).limit(0)
+    marked = snapshots.join(good.select("state", F.lit(True).alias("good")), "state", "left").join(top, "state", "left")
+    found = F.col("q") >= found_q
+    counts = marked.groupBy("replicate", "step").agg(F.count_if(found).alias("found"), *[F.count_if(found & F.coalesce(c, F.lit(False))).alias(f"n_{c}") for c in ("good", "top")])
+    rate = lambda a, b: F.when(b > 0, a / b)
+    metrics = {"precision": rate(F.col("n_good"), F.col("found")), "recall": rate(F.col("n_good"), F.lit(n_good)), "top_precision": rate(F.col("n_top"), F.col("found")), "top_recall": rate(F.col("n_top"), F.lit(n_top))}
+    long = counts.select("step", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), c.alias("value")) for k, c in metrics.items()])).alias("m")).select("step", "m.*")
+    return long.groupBy("step", "metric").agg(F.avg("value").alias("mean"), *[F.percentile("value", p / 100).alias(f"q{p:02d}") for p in (5, 50, 95)], F.count("value").alias("n"))
+
+
+def discovery_by_state(snapshots: DataFrame, truth: DataFrame, found: Column, n_replicates: int) -> DataFrame:
+    """Share of replicates that hold a state for found at their last snapshot, for every state of ``truth``: (state, true_q, rate)."""
+    last = snapshots.groupBy("replicate").agg(F.max("step").alias("step"))
+    held = snapshots.where(found).join(last, ["replicate", "step"], "left_semi").groupBy("state").agg((F.countDistinct("replicate") / F.lit(n_replicates)).alias("rate"))
+    return truth.select("state", "true_q").join(held, "state", "left").na.fill(0.0, ["rate"])
+
+
+def top_found(snapshots: DataFrame, truth: DataFrame, n: int, least_payout: int) -> DataFrame:
+    """How many of the ``n`` truly best states have paid at least ``least_payout``, by replicate and step."""
+    best = top_rows(truth.select("state", "true_q"), "true_q", "state", n).select("state", F.lit(1).alias("best"))
+    return snapshots.join(best, "state", "left").groupBy("replicate", "step").agg(F.count_if((F.col("best") == 1) & (F.col("reward") >= least_payout)).alias("n_top_found"))
+
+
 def discovery_rate(snapshots: DataFrame, found: Column, n_replicates: int) -> DataFrame:
     """Share of replicates that have found a state, by state and step."""
     return snapshots.where(found).groupBy("state", "step").agg((F.countDistinct("replicate") / F.lit(n_replicates)).alias("rate"))
@@ -165,7 +215,7 @@ def stable_shuffle(df: DataFrame, key: str, seed: str) -> DataFrame:
 def top_share(df: DataFrame, value: str, tie: str, p: float) -> DataFrame:
     """The floor(p * rows) rows with the greatest values."""
     n = int(df.count() * p)
-    return df.orderBy(F.desc(value), tie).limit(n)
+    return top_rows(df, value, tie, n) if n else df.limit(0)
 
 
 def pick_group(df: DataFrame, group: str, seed: str) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from circuitlens.plans import design, graphs, motifs, outcomes, search, series, storage
+from circuitlens.plans import design, graphs, inference, motifs, outcomes, search, series, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PLANS = (outcomes, motifs, search, series, graphs, design, storage)
+PLANS = (outcomes, motifs, search, series, graphs, design, storage, inference)
 
 
 def queries() -> dict[str, Query]:

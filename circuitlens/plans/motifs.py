@@ -143,9 +143,9 @@ def chi2_pattern(spark, d):
     return M.chi2_yates(_cells(spark, d)).select("pattern", r6("chi2").alias("chi2"))
 
 
-@query("chi2_pattern_p")
+@query("chi2_pattern_p", f"{CHI} SELECT pattern, round({V.erfc('sqrt(chi2 / 2)')}, 9) AS pvalue, round({V.erfc('sqrt(chi2 / 2)')} * (SELECT count(*) FROM k), 6) AS p_corrected FROM k")
 def chi2_pattern_p(spark, d):
-    return M.with_p_values(M.chi2_yates(_cells(spark, d))).select("pattern", "pvalue", "p_corrected")
+    return M.with_p_values(M.chi2_yates(_cells(spark, d))).select("pattern", F.round("pvalue", 9).alias("pvalue"), r6("p_corrected").alias("p_corrected"))
 
 
 @query("testable_patterns", f"{PAIRS}, g AS (SELECT pattern, count(*) AS n_matches FROM pairs JOIN q_table USING (state) WHERE q >= 0.5 GROUP BY pattern) SELECT pattern, n_matches, round(q * visits)::BIGINT AS n_success FROM g JOIN q_table ON q_table.state = pattern WHERE n_matches > 5 AND round(q * visits) > 5")

@@ -54,6 +54,12 @@ def ctes(*names: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)
 
 
+def erfc(x: str) -> str:
+    """DuckDB SQL of the complementary error function, by the series of the error function."""
+    term = f"exp(ln({x}) + n * ln(2 * ({x}) * ({x})) - (n + 1) * ln(2) - lgamma(n + 1.5) + ln(pi()) / 2 - ({x}) * ({x}))"
+    return f"(CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 12 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 400), lambda n: {term}))) END)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
