@@ -205,7 +205,7 @@ def corner_histograms(df: DataFrame, columns: Sequence[str], bins: int, by: str
     axis = {c: F.when(F.col(c) > 0, F.log10(c)) if c in log else F.col(c).cast("double") for c in columns}
     points = df.select(*[F.when(~F.isnan(a), a).alias(f"v{i}") for i, a in enumerate(axis.values())], (F.col(by).cast("string") if by else F.lit("all")).alias("class"))
     ends = points.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))])
-    cell = [F.when(F.col(f"hi{i}") > F.col(f"lo{i}"), F.least(F.lit(bins - 1), F.floor((F.col(f"v{i}") - F.col(f"lo{i}")) / ((F.col(f"hi{i}") - F.col(f"lo{i}")) / bins)).cast("int"))).when(F.col(f"v{i}").isNotNull(), 0) for i in range(len(columns))]
+    cell = [F.when(F.col(f"v{i}").isNotNull() & (F.col(f"hi{i}") > F.col(f"lo{i}")), F.least(F.lit(bins - 1), F.floor((F.col(f"v{i}") - F.col(f"lo{i}")) / ((F.col(f"hi{i}") - F.col(f"lo{i}")) / bins)).cast("int"))).when(F.col(f"v{i}").isNotNull(), 0) for i in range(len(columns))]
     placed = points.crossJoin(F.broadcast(ends)).select("class", *[c.alias(f"b{i}") for i, c in enumerate(cell)])  # one row of extremes
     cells = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"b{i}").alias("bx"), F.col(f"b{j}").alias("by")) for i, x in enumerate(columns) for j, y in enumerate(columns) if i <= j])
     out = placed.select("class", F.explode(cells).alias("c")).where("c.bx is not null and c.by is not null")

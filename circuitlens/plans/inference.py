@@ -67,11 +67,11 @@ def _graph(spark, d):
     return nodes, V.edges_of(nodes), nodes.select("node", G.complexity(F.col("node")).alias("depth"))
 
 
-@query("reachable_mixture", f"{V.ctes('nodes', 'edges', recursive=True)}, {UP}, b AS (SELECT node AS target, (reward + 1.0) / (visits + 2) AS m, (reward + 1.0) * (visits - reward + 1) / (pow(visits + 2, 2) * (visits + 3)) AS v, {tail('(visits + 1)', '0.3', '(reward + 1)')} AS c FROM nodes WHERE visits > 0) SELECT node, count(*) AS n, round(avg(m), 6) AS mean, round(avg(v + m * m) - avg(m) * avg(m), 6) AS variance, round(avg(c), 6) AS cdf, round(1 - avg(c), 6) AS sf FROM r JOIN b USING (target) GROUP BY node")
+@query("reachable_mixture", f"{V.ctes('nodes', 'edges', recursive=True)}, {UP}, b AS (SELECT node AS target, (reward + 1.0) / (visits + 2) AS m, (reward + 1.0) * (visits - reward + 1) / (pow(visits + 2, 2) * (visits + 3)) AS v, {tail('(visits + 1)', '0.37', '(reward + 1)')} AS c FROM nodes WHERE visits > 0) SELECT node, count(*) AS n, round(avg(m), 6) AS mean, round(avg(v + m * m) - avg(m) * avg(m), 6) AS variance, round(avg(c), 6) AS cdf, round(1 - avg(c), 6) AS sf FROM r JOIN b USING (target) GROUP BY node")
 def reachable_mixture(spark, d):
     nodes, edges, _ = _graph(spark, d)
     circuits = nodes.where("visits > 0")
-    return rounded(P.reachable_mixture(circuits, N.reachability(edges, circuits), 0.3), "node", "n")
+    return rounded(P.reachable_mixture(circuits, N.reachability(edges, circuits), 0.37), "node", "n")
 
 
 @query("exhausted_nodes", f"{V.ctes('nodes', 'edges', recursive=True)}, left_over AS (SELECT node FROM nodes WHERE visits < 5 AND (visits > 0 OR node NOT IN (SELECT src FROM edges)) UNION SELECT src FROM left_over JOIN edges ON dst = node) SELECT node, node NOT IN (SELECT node FROM left_over) AS exhausted FROM nodes")
