@@ -207,3 +207,18 @@ def design_grid(df: DataFrame, **dims: Sequence) -> DataFrame:
     for name, values in dims.items():
         df = df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     return df
+
+
+def perturb_params(params: DataFrame, sigma: float, seed: str, id_col: str, m: int = 1) -> DataFrame:
+    """``m`` perturbed versions (``replicate`` from 0) of every set of rate parameters.
+
+    The eight sampled quantities are jittered in unit space by normal deviates
+    truncated to their ranges, and the rates computed anew. Without
+    jitter (below 1e-12) the parameters stay as they are.
+    """
+    copies = params.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    if sigma < 1e-12:
+        return copies
+    sampled = to_sampled(copies).withColumn("__key", F.concat_ws("|", F.col(id_col).cast("string"), F.col("replicate").cast("string")))
+    moved = to_params(perturb(sampled, RANGES, sigma, seed, "__key"))
+    return moved.select(*params.columns, "replicate")

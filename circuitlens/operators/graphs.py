@@ -148,6 +148,29 @@ def merge_graphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return nodes.groupBy("node").agg(*sums), edges.groupBy("src", "dst").agg(*sums)
 
 
+def merge_attributes(rows: DataFrame, keys: list[str], order: str, attributes: list[str] | None = None) -> DataFrame:
+    """Nodes or edges of several graphs as one table, each key once.
+
+    Numeric attributes are summed, or those of them that ``attributes`` names;
+    others have the value of the first graph by ``order`` that has the key. Missing numbers count
+    as 0.
+    """
+    columns = [f for f in rows.schema.fields if f.name not in (*keys, order)]
+    summed = [f.name for f in columns if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double") and (attributes is None or f.name in attributes)]
+    return rows.groupBy(*keys).agg(*[F.coalesce(F.sum(f.name), F.lit(0)).alias(f.name) if f.name in summed else F.min_by(f.name, order).alias(f.name) for f in columns])
+
+
+def pattern_candidates(nodes: DataFrame, edges: DataFrame, root: str, to_depth: int, cutoff: float) -> DataFrame:
+    """Nodes of the first layers whose own circuit succeeded: (pattern, depth), without the root.
+
+    A circuit succeeded if it was visited and its mean reward reaches the
+    cut-off; the pattern is the part of the name behind the components.
+    """
+    good = successful_nodes(nodes.where("visits > 0"), cutoff).select("node")
+    near = bfs_layers(edges, root).where((F.col("depth") > 0) & (F.col("depth") <= to_depth))
+    return near.join(good, "node", "left_semi").select(G.edge_code(F.col("node")).alias("pattern"), "depth")
+
+
 def complexity_graph(edges: DataFrame, successes: DataFrame) -> DataFrame:
     """Edges between successful circuits."""
     good = successes.select("node").distinct()
@@ -309,8 +332,9 @@ def layer_q(nodes: DataFrame, depths: DataFrame) -> DataFrame:
 
 def edge_traffic(edges: DataFrame) -> DataFrame:
     """Visits of an edge over the mean visits of the edges at its depth."""
-    w = Window.partitionBy("depth")
-    return edges.withColumn("traffic", F.when(F.sum("visits").over(w) > 0, F.col("visits") * F.count("*").over(w) / F.sum("visits").over(w)).otherwise(0.0))
+    layers = edges.groupBy("depth").agg(F.sum("visits").alias("__sum"), F.count("*").alias("__n"))
+    joined = edges.join(F.broadcast(layers), "depth")  # a row for each layer
+    return joined.withColumn("traffic", F.when(F.col("__sum") > 0, F.col("visits") * F.col("__n") / F.col("__sum")).otherwise(0.0)).drop("__sum", "__n")
 
 
 def information_gain(p: Column, root: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from circuitlens.functions import genotype as G
 from circuitlens.functions.tails import chi2_sf
+from circuitlens.operators.scan import running_sums, value_bucket
 
 
 #: Patterns (a few numbers each) that may be broadcast; more meet circuits in an inverted index.
@@ -153,6 +154,6 @@ def prob_less_than(df: DataFrame, group: str, value: str, less: str, than: str)
 
 def mann_whitney_counts(df: DataFrame, group: str, value: str, less: str, than: str) -> DataFrame:
     x, y = (F.sum(F.when(F.col(group) == g, 1).otherwise(0)) for g in (less, than))
-    counts = df.where(F.col(group).isin(less, than) & F.col(value).isNotNull()).groupBy(F.lit(1).alias("one"), F.col(value).alias("v")).agg(x.alias("x"), y.alias("y"))
-    before = F.sum("x").over(Window.partitionBy("one").orderBy("v")) - F.col("x")
-    return counts.withColumn("wins", before * F.col("y")).groupBy("one").agg(F.sum("wins").alias("wins"), F.sum("x").alias("nx"), F.sum("y").alias("ny"))
+    counts = df.where(F.col(group).isin(less, than) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(x.alias("x"), y.alias("y"))
+    upto = running_sums(counts, [], ["v"], {"upto": F.col("x")}, value_bucket(counts, "v"))
+    return upto.agg(F.sum((F.col("upto") - F.col("x")) * F.col("y")).alias("wins"), F.sum("x").alias("nx"), F.sum("y").alias("ny"))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from circuitlens.operators.scan import running_sums, value_bucket
+
 #: A sample oscillated if its autocorrelation minimum lies below this.
 OSCILLATION = -0.4
 TIMED_OUT = (1.0, -1.0)
@@ -175,6 +177,12 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float])
     return df.groupBy(*by).agg(*[F.percentile(value, q).alias(f"q{round(100 * q)}") for q in qs])
 
 
+def top_flag(df: DataFrame, value: str, share: float = 0.01) -> DataFrame:
+    """Whether a row's value lies above the interpolated quantile that leaves ``share`` above it (``is_top``); null where the value is."""
+    cut_off = df.agg(F.percentile(value, 1 - share).alias("__cut"))
+    return df.crossJoin(F.broadcast(cut_off)).withColumn("is_top", F.col(value) > F.col("__cut")).drop("__cut")  # one number
+
+
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     v = F.col(value)
     return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.5).alias("q50"), F.percentile(v, 0.75).alias("q75"), F.max(v).alias("high"))
@@ -215,11 +223,16 @@ def corner_histograms(df: DataFrame, columns: Sequence[str], bins: int, by: str
 def ecdf(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Empirical distribution per group: for each distinct value the share of rows that are no greater.
 
-    Counts of distinct values are summed up, so equal values travel once.
+    Counts of distinct values are summed up range by range, so equal values travel once
+    and no task orders all values of a group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    return counts.select(*by, value, (F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w)).alias("ecdf"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    sizes = counts.groupBy(*[F.col(c).alias(f"__own_{c}") for c in by]).agg(F.sum("__n").alias("__all"))
+    upto = running_sums(counts, by, [value], {"__upto": F.col("__n")}, value_bucket(counts, value))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__own_{c}"))
+    return upto.join(sizes, same).select(*by, value, (F.col("__upto") / F.col("__all")).alias("ecdf"))
 
 
 def safe_log10(c: Column, floor: float) -> Column:

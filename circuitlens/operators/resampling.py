@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from circuitlens.functions.draws import uniform
+from circuitlens.functions.draws import index, uniform
+from circuitlens.operators.scan import running_sums, value_bucket
 from circuitlens.operators.search import stable_shuffle
 
 #: Visits of one binomial draw; more are drawn in several.
@@ -102,3 +103,24 @@ def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, level: float =
     ends = means.groupBy("key").agg(F.percentile("m", (1 - level) / 2).alias("ci_low"), F.percentile("m", (1 + level) / 2).alias("ci_high"), F.stddev_samp("m").alias("se"))
     groups = counts.groupBy(*by).agg(F.sum("__copies").alias("n"), (F.sum(F.col("__value") * F.col("__copies")) / F.sum("__copies")).alias("mean")).withColumn("key", key)
     return groups.join(ends, "key", "left").select(*by, "n", "mean", "ci_low", "ci_high", "se")
+
+
+def batch_metrics(df: DataFrame, by: str, runtime: str, rate: str, size: int, n: int, thresholds: Sequence[float], seed: str, order: Sequence[str]) -> DataFrame:
+    """Runtime and sampling rate of batches of ``size`` runs drawn with replacement, for each cut-off of the reaction rate.
+
+    Returns (by, threshold, batches, runtime_*, sampling_*), each with mean, sd (of a whole population), median, low,
+    high, q5 and q95. A batch takes as long as its slowest run; runs with a rate above the
+    cut-off are stopped at once and take no time. Batches of such runs alone don't count. The sampling rate is in runs
+    a minute. The same ``n`` batches serve all cut-offs. Runs are numbered in order of runtime and ``order``.
+    """
+    runs = df.select(by, F.col(runtime).cast("double").alias("__time"), F.col(rate).cast("double").alias("__rate"), *order).where(F.col("__time").isNotNull())
+    numbered = running_sums(runs, [by], ["__time", *order], {"i": F.lit(1)}, value_bucket(runs, "__time")).select(by, "__time", "__rate", (F.col("i") - 1).alias("i"))
+    draws = runs.groupBy(by).agg(F.count("*").alias("n")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(size))))
+    drawn = draws.select(by, "b", index(seed, F.col("n"), by, "b", "k").alias("i")).join(numbered, [by, "i"])
+    slowest = drawn.groupBy(by, "b").agg(*[F.max(F.when(F.col("__rate") <= t, F.col("__time"))).alias(f"t{i}") for i, t in enumerate(thresholds)])
+    each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("runtime"), (size * 60.0 / F.col(f"t{i}")).alias("sampling")) for i, t in enumerate(thresholds)])
+    long = slowest.select(by, F.explode(each).alias("e")).select(by, "e.*").where("runtime is not null")
+    stats = []
+    for c in ("runtime", "sampling"):
+        stats += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_sd"), F.percentile(c, 0.5).alias(f"{c}_median"), F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"), F.percentile(c, 0.05).alias(f"{c}_q5"), F.percentile(c, 0.95).alias(f"{c}_q95")]
+    return long.groupBy(by, "threshold").agg(F.count("*").alias("batches"), *stats)

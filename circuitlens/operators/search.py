@@ -199,6 +199,20 @@ def pattern_consensus(df: DataFrame, n: int) -> DataFrame:
     return df.groupBy("pattern").agg(F.count_if("is_motif").alias("n_true"), F.avg("q").alias("mean_q"), F.stddev_samp("q").alias("sd_q"), (F.countDistinct("replicate") / F.lit(n)).alias("share"))
 
 
+def pattern_summary(df: DataFrame, n: int) -> DataFrame:
+    """``pattern_consensus`` with the first replicate that has the pattern and its rate there."""
+    first = df.groupBy("pattern").agg(F.min("replicate").alias("first_replicate"), F.min_by("q", "replicate").alias("first_q"))
+    return pattern_consensus(df, n).join(first, "pattern")
+
+
+def linear_grid(df: DataFrame, step: str, points: int) -> DataFrame:
+    """Rows on a linear grid of ``points`` steps from the first to the last, rounded to whole steps and each once."""
+    ends = df.agg(F.min(step).alias("low"), F.max(step).alias("high"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    grid = ends.where("low is not null").select("low", "high", at.alias("k")).select(F.round(F.col("low") + F.col("k") * (F.col("high") - F.col("low")) / max(1, points - 1)).cast("bigint").alias(step)).distinct()
+    return df.join(F.broadcast(grid), step, "left_semi")  # ``points`` numbers
+
+
 def stable_shuffle(df: DataFrame, key: str, seed: str) -> DataFrame:
     """Position of every row in a reproducible shuffle, by ranges of the hash, so no task sorts all rows.
 

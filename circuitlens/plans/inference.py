@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from circuitlens.functions import genotype as G
-from circuitlens.operators import distributions as P, graphs as N, motifs as M, outcomes as O, resampling as B, search as W
+from circuitlens.operators import design as D, distributions as P, graphs as N, motifs as M, outcomes as O, resampling as B, search as W, statistics as S
 from circuitlens.plans import views as V
-from circuitlens.plans.design import u
-from circuitlens.plans.graphs import DEPTH, E, QT, ROOT
+from circuitlens.plans.design import SAMPLED, u
 from circuitlens.plans.design import _tail as tail
+from circuitlens.plans.graphs import DEPTH, E, QT, ROOT
 from circuitlens.sources.shared import cut
 
 QUERIES, ORACLES = {}, {}
@@ -26,9 +26,9 @@ def query(name, oracle=None):
     return add
 
 
-def rounded(df, *exact):
-    """All columns but ``exact`` to six digits."""
-    return df.select(*[F.col(c) if c in exact else r6(c).alias(c) for c in df.columns])
+def rounded(df, *exact, digits=6):
+    """All columns but ``exact`` to some digits."""
+    return df.select(*[F.col(c) if c in exact else F.round(c, digits).alias(c) for c in df.columns])
 
 
 # --- rank tests
@@ -67,11 +67,11 @@ def _graph(spark, d):
     return nodes, V.edges_of(nodes), nodes.select("node", G.complexity(F.col("node")).alias("depth"))
 
 
-@query("reachable_mixture", f"{V.ctes('nodes', 'edges', recursive=True)}, {UP}, b AS (SELECT node AS target, (reward + 1.0) / (visits + 2) AS m, (reward + 1.0) * (visits - reward + 1) / (pow(visits + 2, 2) * (visits + 3)) AS v, {tail('(visits + 1)', '0.37', '(reward + 1)')} AS c FROM nodes WHERE visits > 0) SELECT node, count(*) AS n, round(avg(m), 6) AS mean, round(avg(v + m * m) - avg(m) * avg(m), 6) AS variance, round(avg(c), 6) AS cdf, round(1 - avg(c), 6) AS sf FROM r JOIN b USING (target) GROUP BY node")
+@query("reachable_mixture", f"{V.ctes('nodes', 'edges', recursive=True)}, {UP}, b AS (SELECT node AS target, (reward + 1.0) / (visits + 2) AS m, (reward + 1.0) * (visits - reward + 1) / (pow(visits + 2, 2) * (visits + 3)) AS v, {tail('(visits + 1)', '0.371828', '(reward + 1)')} AS c FROM nodes WHERE visits > 0) SELECT node, count(*) AS n, round(avg(m), 6) AS mean, round(avg(v + m * m) - avg(m) * avg(m), 6) AS variance, round(avg(c), 6) AS cdf, round(1 - avg(c), 6) AS sf FROM r JOIN b USING (target) GROUP BY node")
 def reachable_mixture(spark, d):
     nodes, edges, _ = _graph(spark, d)
     circuits = nodes.where("visits > 0")
-    return rounded(P.reachable_mixture(circuits, N.reachability(edges, circuits), 0.37), "node", "n")
+    return rounded(P.reachable_mixture(circuits, N.reachability(edges, circuits), 0.371828), "node", "n")
 
 
 @query("exhausted_nodes", f"{V.ctes('nodes', 'edges', recursive=True)}, left_over AS (SELECT node FROM nodes WHERE visits < 5 AND (visits > 0 OR node NOT IN (SELECT src FROM edges)) UNION SELECT src FROM left_over JOIN edges ON dst = node) SELECT node, node NOT IN (SELECT node FROM left_over) AS exhausted FROM nodes")
@@ -155,3 +155,67 @@ RQ = f"{V.ctes('search_log', 'truth')}, b AS (SELECT state FROM truth ORDER BY t
 @query("running_top_overlap", f"{RQ}, m AS (SELECT replicate, step, (state IN (FROM b))::INT * (above::INT - coalesce(lag(above::INT) OVER (PARTITION BY replicate, state ORDER BY step), 0)) AS delta FROM r) SELECT replicate, step, CAST(sum(delta) OVER (PARTITION BY replicate ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_overlap FROM m")
 def running_top_overlap(spark, d):
     return W.running_top_overlap(V.search_log(spark, d), 0.2, V.truth(spark, d), 100).select("replicate", "step", "n_overlap")
+
+
+# --- further columns of earlier queries
+
+R = V.ctes("runtime")
+
+
+@query("top_flag", f"{R} SELECT o_orderkey, runtime_secs > (SELECT quantile_cont(runtime_secs, 0.99) FROM runtime) AS is_top FROM runtime")
+def top_flag(spark, d):
+    return O.top_flag(V.runtime(spark, d), "runtime_secs").select("o_orderkey", "is_top")
+
+
+_stats = ", ".join(f"round(avg({c}), 9) AS {c}_mean, round(stddev_pop({c}), 9) AS {c}_sd, round(quantile_cont({c}, 0.5), 9) AS {c}_median, round(min({c}), 9) AS {c}_low, round(max({c}), 9) AS {c}_high, round(quantile_cont({c}, 0.05), 9) AS {c}_q5, round(quantile_cont({c}, 0.95), 9) AS {c}_q95" for c in ("runtime", "sampling"))
+METRICS = f"""{R}, g AS (SELECT complexity, runtime_secs, o_custkey % 100 AS rate, row_number() OVER (PARTITION BY complexity ORDER BY runtime_secs, o_orderkey) - 1 AS i FROM runtime), c AS (SELECT complexity, count(*) AS n FROM g GROUP BY 1),
+e AS (SELECT complexity, b, CAST(floor({u('bm', 'complexity', 'b', 'k')} * n) AS BIGINT) AS i FROM c, (SELECT unnest(range(1, 101)) AS b), (SELECT unnest(range(1, 11)) AS k)),
+t AS (SELECT complexity, threshold, b, max(runtime_secs) FILTER (rate <= threshold)::DOUBLE AS runtime FROM e JOIN g USING (complexity, i), (SELECT unnest([5.0, 30.0, 80.0])::DOUBLE AS threshold) GROUP BY ALL), s AS (SELECT *, 600.0::DOUBLE / runtime AS sampling FROM t WHERE runtime IS NOT NULL)
+SELECT complexity, threshold, count(*) AS batches, {_stats} FROM s GROUP BY complexity, threshold"""
+
+
+@query("batch_metrics", METRICS)
+def batch_metrics(spark, d):
+    runs = V.runtime(spark, d).withColumn("rate", F.col("o_custkey") % 100)
+    return rounded(B.batch_metrics(runs, "complexity", "runtime_secs", "rate", 10, 100, [5.0, 30.0, 80.0], "bm", ["o_orderkey"]), "complexity", "threshold", "batches", digits=9)
+
+
+PATTERN = f"{V.ctes('search_log')}, n AS (SELECT replicate, split_part(state, '_', 2) AS pattern, avg(reward) AS q FROM search_log GROUP BY ALL)"
+
+
+@query("pattern_summary", f"{PATTERN} SELECT pattern, count_if(q >= 0.05) AS n_true, round(avg(q), 6) AS mean_q, round(stddev_samp(q), 6) AS sd_q, round(count(DISTINCT replicate) / 12, 6) AS share, min(replicate) AS first_replicate, round(arg_min(q, replicate), 6) AS first_q FROM n GROUP BY pattern")
+def pattern_summary(spark, d):
+    n = V.search_log(spark, d).groupBy("replicate", F.substring_index("state", "_", -1).alias("pattern")).agg(F.avg("reward").alias("q")).withColumn("is_motif", F.col("q") >= 0.05)
+    return rounded(W.pattern_summary(n, 12), "pattern", "n_true", "first_replicate")
+
+
+@query("edge_significance_corrected", V.ctes("edges") + f", e AS (SELECT e.src, e.dst, e.visits, e.reward, p.reward::DOUBLE / p.visits AS q FROM edges e JOIN nodes p ON p.node = e.src WHERE p.visits > 0 AND e.visits > 0), t AS (SELECT src, dst, {tail('visits', 'q', 'reward')} AS p FROM e) SELECT src, dst, round(log10(greatest(p, 1e-300)), 6) AS log10_p, round(least(1.0, p * (SELECT count(*) FROM t)), 9) AS p_corrected, p * (SELECT count(*) FROM t) < 0.05 AS significant FROM t")
+def edge_significance_corrected(spark, d):
+    nodes = V.nodes(spark, d)
+    parents = nodes.where("visits > 0").select(F.col("node").alias("src"), (F.col("reward") / F.col("visits")).alias("q_parent"))
+    edges = cut(V.edges_of(nodes).where("visits > 0").join(parents, "src"))
+    return S.edge_significance(edges).select("src", "dst", r6(F.log10(F.greatest(F.col("pvalue"), F.lit(1e-300)))).alias("log10_p"), F.round(F.least(F.lit(1.0), F.col("p_corrected")), 9).alias("p_corrected"), "significant")
+
+
+@query("linear_grid", f"{V.ctes('search_log')}, m AS (SELECT min(step) AS low, max(step) AS high FROM search_log), g AS (SELECT DISTINCT CAST(round(low + k * (high - low) / 50) AS BIGINT) AS step FROM m, (SELECT unnest(range(51)) AS k)) SELECT replicate, step, state FROM search_log WHERE step IN (SELECT step FROM g)")
+def linear_grid(spark, d):
+    return W.linear_grid(V.search_log(spark, d), "step", 51).select("replicate", "step", "state")
+
+
+@query("pattern_candidates", f"{E}, {DEPTH} SELECT split_part(node, '::', 2) AS pattern, depth FROM nodes JOIN depths USING (node) WHERE depth BETWEEN 1 AND 4 AND visits > 0 AND reward >= 0.5 * visits")
+def pattern_candidates(spark, d):
+    nodes, edges, _ = _graph(spark, d)
+    return N.pattern_candidates(nodes, edges, ROOT, 4, 0.5)
+
+
+@query("merge_attributes", f"{V.ctes('search_log')}, n AS (SELECT replicate, state AS node, count(*) AS visits, sum(reward)::BIGINT AS reward, min(step)::BIGINT AS first_step FROM search_log GROUP BY ALL) SELECT node, sum(visits)::BIGINT AS visits, sum(reward)::BIGINT AS reward, arg_min(first_step, replicate) AS first_step FROM n GROUP BY node")
+def merge_attributes(spark, d):
+    n = V.search_log(spark, d).groupBy("replicate", F.col("state").alias("node")).agg(F.count("*").alias("visits"), F.sum("reward").alias("reward"), F.min("step").alias("first_step"))
+    return N.merge_attributes(n, ["node"], "replicate", ["visits", "reward"])
+
+
+@query("perturb_params")
+def perturb_params(spark, d):
+    sampled = spark.sql(SAMPLED, supplier=V.table(spark, d, "supplier")).withColumns({"km_act": F.lit(5.0), "kp": F.lit(0.1), "gamma_m": F.lit(0.05), "gamma_p": F.lit(0.02)})
+    inside = sampled.withColumn("log10_kd_1", F.greatest(F.lit(-2.0), F.least(F.lit(4.0), F.col("log10_kd_1")))).withColumn("kd_2_1_ratio", F.least(F.lit(0.25), F.col("kd_2_1_ratio")))
+    return rounded(D.perturb_params(D.to_params(inside), 0.1, "pp", "s_suppkey", 3), "s_suppkey", "replicate")

@@ -73,7 +73,8 @@ def explode_runs(spark, d):
     path = scratch(spark)
     log = V.search_log(spark, d).withColumn("run", F.concat(F.lit("run"), F.col("replicate").cast("string")))
     log.select("run", F.col("replicate").alias("seed")).distinct().write.json(f"{path}/config")
-    runs = log.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "reward"))), lambda x: x["reward"]).alias("rewards"))  # a run's own steps
+    T.chunk_runs(log, "run").write.json(f"{path}/runs")
+    runs = spark.read.schema("run string, start bigint, rewards array<int>").json(f"{path}/runs")
     config = spark.read.schema("run string, seed bigint").json(f"{path}/config")
     return T.explode_runs(runs, config, "run")
 
@@ -114,11 +115,13 @@ def compact_by_state(spark, d):
     return T.compact_by_state(s.select("state", "param_idx", "sim_time"), numbers, ["param_idx", "sim_time"]).groupBy("state", "sample_num").agg(F.count("*").alias("n"))
 
 
-def _log_stream(spark, d):
-    """The search log as a table of files, and as a stream over them."""
+def _log_stream(spark, d, batches=4, rows_per_file=200_000):
+    """The search log as a table of files, as many as its rows ask for, and as a stream that reads them in a few batches."""
     path = scratch(spark)
-    V.search_log(spark, d).select("replicate", "step", "state", "reward").repartition(4, "replicate").write.parquet(f"{path}/in")
-    return path, N.read_stream(spark, f"{path}/in", spark.read.parquet(f"{path}/in"), files=1)
+    log = V.search_log(spark, d).select("replicate", "step", "state", "reward")
+    files = max(batches, -(-V.table(spark, d, "events").count() // rows_per_file))
+    log.repartition(files, "replicate", F.floor(F.col("step") / 1000)).write.parquet(f"{path}/in")
+    return path, N.read_stream(spark, f"{path}/in", spark.read.parquet(f"{path}/in"), files=-(-files // batches))
 
 
 @query("stream_append", f"{L} SELECT replicate, step, state, reward FROM search_log")
@@ -150,3 +153,12 @@ def stream_snapshot(spark, d):
     N.snapshot(N.running_q(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     last = T.read_latest(spark, f"{path}/out/*", r"snapshot=(\d+)")
     return last.agg(F.count("*").alias("states"), F.sum("visits").alias("visits"), F.sum("reward").alias("reward"))
+
+
+@query("stream_timed_snapshot", f"{L} SELECT count(DISTINCT state) AS states, count(*) AS visits, sum(reward)::BIGINT AS reward FROM search_log")
+def stream_timed_snapshot(spark, d):
+    path, stream = _log_stream(spark, d)
+    N.timed_snapshots(N.running_q(stream), f"{path}/out", f"{path}/checkpoint", period=7200.0, drain=True).awaitTermination()
+    N.final_snapshot(spark, f"{path}/out")
+    last = T.read_latest(spark, f"{path}/out/*", r"snapshot=(\d+)")
+    return last.agg(F.count("*").alias("states"), F.sum("visits").alias("visits"), F.sum("reward").alias("reward"))

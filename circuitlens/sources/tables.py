@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -20,10 +21,18 @@ def read_samples(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
 
 
 def read_latest(spark: SparkSession, glob: str, pattern: str) -> DataFrame:
-    """Rows of the newest file or folder by name: the greatest value that ``pattern`` finds in the path."""
-    df = spark.read.parquet(glob).withColumn("snapshot", F.regexp_extract(FILE, pattern, 1))
-    newest = df.agg(F.max("snapshot").alias("newest"))
-    return df.join(F.broadcast(newest), df.snapshot == newest.newest).drop("newest")  # one name
+    """Rows of the newest file or folder by name: the greatest value that ``pattern`` finds in the path, as ``snapshot``.
+
+    Names are compared as text. They are listed through the file system, so
+    the other files aren't read; paths that share the newest name are read together.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [(m[1], p) for p in (status.getPath().toString() for status in listed) if (m := re.search(pattern, p))]
+    if not names:
+        raise FileNotFoundError(f"no path of {glob} matches {pattern}")
+    newest = max(name for name, _ in names)
+    return spark.read.parquet(*[p for name, p in names if name == newest]).withColumn("snapshot", F.lit(newest))
 
 
 def read_glob(spark: SparkSession, glob: str, order: Sequence[str]) -> DataFrame:
@@ -49,10 +58,21 @@ def read_search_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("state string, reward double").csv(path, header=False)
 
 
+def chunk_runs(log: DataFrame, key: str, step: str = "step", value: str = "reward", size: int = 1000) -> DataFrame:
+    """The steps of runs, numbered from 1 without gaps, as rows of at most ``size`` values: (key, start, rewards), ``start`` being the steps before."""
+    start = (F.floor((F.col(step) - 1) / size) * size).cast("bigint")
+    inside = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v"))))
+    return log.groupBy(key, start.alias("start")).agg(F.transform(inside, lambda x: x["v"]).alias("rewards"))
+
+
 def explode_runs(runs: DataFrame, config: DataFrame, key: str) -> DataFrame:
-    """One row per step of every run: its configuration joined with its rewards, in order from t = 1."""
-    steps = runs.select(key, F.posexplode("rewards").alias("pos", "reward"))
-    return config.join(steps.select(key, (F.col("pos") + 1).alias("t"), "reward"), key)
+    """One row per step of every run: its configuration joined with its rewards, in order from t = 1.
+
+    A run is one row, or some of ``chunk_runs`` with the steps before each in ``start``.
+    """
+    start = F.col("start") if "start" in runs.columns else F.lit(0)
+    steps = runs.select(key, start.alias("start"), F.posexplode("rewards").alias("pos", "reward"))
+    return config.join(steps.select(key, (F.col("start") + F.col("pos") + 1).cast("int").alias("t"), "reward"), key)
 
 
 def kv_to_samples(cache: DataFrame, prefix: str = "state_") -> DataFrame:
