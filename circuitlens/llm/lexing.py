@@ -36,6 +36,7 @@ class Value:
     references: list[str] = field(default_factory=list)
     quoted: bool = True
     passed: bool = False  # handed to a call or list, not assigned itself
+    inner: list[list[Value]] = field(default_factory=list)  # what is assigned to names inside it
 
 
 @dataclass
@@ -78,7 +79,8 @@ def _tokens(text: str) -> list[tuple[str, int, int, bool]]:
             at = end
             continue
         if at >= until and mark in "#/;-<":
-            first = not text[:at].rpartition("\n")[2].strip() if mark in ";-" and (at == 0 or text[at - 1] in " \t\n") and at - text.rfind("\n", max(0, at - 40), at) < 40 else False
+            line = text.rfind("\n", max(0, at - 40), at) + 1 if mark in ";-" and (at == 0 or text[at - 1] in " \t\n") else -1
+            first = 0 <= line and at - line < 39 and not text[line:at].strip()
             if mark == "#" and (at == 0 or text[at - 1].isspace()) or mark == ";" and first or text.startswith("-- ", at) and first or text.startswith("//", at) and (at == 0 or text[at - 1] != ":"):
                 until = (text.find("\n", at) + 1 or size + 1) - 1
             elif text.startswith("/*", at) and (end := close("*/", at + 2)) >= 0:
@@ -103,7 +105,8 @@ def _inside(text: str, start: int, end: int) -> tuple[int, int]:
 
 class _Parser:
     def __init__(self, text: str) -> None:
-        self.text, self.tokens, self.pairs, self.done = text, _tokens(text), [], set()
+        self.text, self.tokens, self.pairs = text, _tokens(text), []
+        self.found: dict[int, tuple[list[Value], int]] = {}  # of each sign: its values, and the token at which they end
 
     def target(self, k: int) -> str | None:
         """The name to the left of the sign at ``k``."""
@@ -153,24 +156,34 @@ class _Parser:
             at = stop + 1
         return Value([(start, end)]) if start is not None else None
 
-    def values(self, k: int) -> list[Value]:
-        """The value after the sign at ``k``, and those handed to calls and lists in it."""
+    def after(self, j: int, end: int) -> int:
+        """The first token from ``j`` on that starts at ``end`` or later."""
+        while j < len(self.tokens) and self.tokens[j][1] < end:
+            j += 1
+        return j
+
+    def values(self, k: int) -> tuple[list[Value], int]:
+        """The value after the sign at ``k``, and those handed to calls and lists in it; and the token at which they end.
+
+        Pairs inside brackets are passed over: they lie to the right of ``k``,
+        and their values are known by now.
+        """
         text, tokens = self.text, self.tokens
         if text[tokens[k][1]] == ":" and (found := self.block(k)):
-            return [found]
+            return [found], k + 1
         j, main, extra = k + 1, Value(), []
         while j < len(tokens) and tokens[j][0] == "newline" and text[tokens[k][1] : tokens[k][2]] != ":" and j == k + 1:
             j += 1
         if j >= len(tokens) or tokens[j][0] == "newline":
-            return []
+            return [], j
         kind, a, b, _ = tokens[j]
         if kind not in ("string",) and text[a] not in "([{\"'`" and (m := _BARE.match(text, a)):
             after = text[m.end() : m.end() + 1]
             rest = text[m.end() : m.end() + 40].lstrip(" \t")
             if _REFERENCE.match(m[0]) and after not in ("(", "[", '"', "'") and not rest.startswith("+"):
-                return [Value(literals=[m.span()], references=[m[0]], quoted=False)]
+                return [Value(literals=[m.span()], references=[m[0]], quoted=False)], self.after(j, m.end())
             if not _REFERENCE.match(m[0]):
-                return [Value(literals=[m.span()], quoted=False)]
+                return [Value(literals=[m.span()], quoted=False)], self.after(j, m.end())
         depth, joined, current = 0, True, main
         while j < len(tokens):
             kind, a, b, _ = tokens[j]
@@ -216,19 +229,29 @@ class _Parser:
                     break
             elif depth <= 0:  # a sign
                 break
+            elif j in self.found:
+                inner, end = self.found[j]
+                if inner:
+                    current.inner.append(inner)
+                if end > j:
+                    j, joined = end, False
+                    continue
             j += 1
-        return [v for v in (main, *extra) if v.literals or v.references]
+        return [v for v in (main, *extra) if v.literals or v.references or v.inner], j
 
     def parse(self) -> list[Pair]:
-        text = self.text
+        text, named, done = self.text, [], set()
         for k, (kind, a, b, commented) in enumerate(self.tokens):
-            if kind != "sign" or k in self.done or text[a:b] not in ("=", ":", ":=", "=>"):
+            if kind != "sign" or k in done or text[a:b] not in ("=", ":", ":=", "=>"):
                 continue
             if (name := self.target(k)) is None:
                 continue
             sign = self.typed(k) if text[a:b] == ":" else k
-            self.done.add(sign)
-            self.pairs += [Pair(name, value, commented) for value in self.values(sign)]
+            done.add(sign)
+            named.append((name, sign, commented))
+        for _, sign, _ in reversed(named):
+            self.found[sign] = self.values(sign)
+        self.pairs = [Pair(name, value, commented) for name, sign, commented in named for value in self.found[sign][0]]
         for pattern in (_ELEMENT, _ENTRY):
             for m in pattern.finditer(text):
                 end = m.start(2) + len(m[2].rstrip())

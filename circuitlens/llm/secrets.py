@@ -57,7 +57,8 @@ def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, at once or through constants.
 
     Constants are followed by their whole name or its last part, in any order
-    and in cycles; what comments define isn't. Each name is followed once for
+    and in cycles; what comments define isn't. What is assigned inside the
+    brackets of a value belongs to it as well. Each name and each inner value is followed once for
     each score that it is reached with, of which there are a few, so the work
     stays linear. Parts of an added literal are scored together.
     """
@@ -68,24 +69,28 @@ def literals(text: str) -> list[tuple[int, int]]:
             constants.setdefault(pair.name, []).append(pair.value)
             if (last := pair.name.rpartition(".")[2]) != pair.name:
                 constants.setdefault(last, []).append(pair.value)
-    spans, reached = set(), {}
+    spans, reached, entered = set(), {}, {}
     scored = [(name_score(pair.name), pair.value) for pair in found]
     for score, value in sorted((x for x in scored if x[0] > 0), key=lambda x: -x[0]):
-        todo = [value]
+        todo = [(value, value.passed)]
         while todo:
-            value = todo.pop()
+            value, passed = todo.pop()
             known = False
+            for group in value.inner:
+                if entered.get(id(group), 0.0) < score:
+                    entered[id(group)] = score
+                    todo += [(v, passed or v.passed) for v in group]
             for name in value.references:
                 name = name if name in constants else name.rpartition(".")[2]
                 if name in constants:
                     known = True
                     if reached.get(name, 0.0) < score:
                         reached[name] = score
-                        todo += constants[name]
+                        todo += [(v, v.passed) for v in constants[name]]
             if not value.literals or known and not value.quoted:
                 continue
             whole = "".join(text[a:b] for a, b in value.literals)
-            if value.passed and (re.fullmatch(r"[A-Za-z_.\-/ :]+", whole) or " " in whole):
+            if passed and (re.fullmatch(r"[A-Za-z_.\-/ :]+", whole) or " " in whole):
                 continue  # the name of something, or words to show
             if score * literal_score(whole, value.quoted) >= THRESHOLD:
                 spans.update((a, b) for a, b in value.literals if b > a)

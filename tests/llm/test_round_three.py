@@ -235,3 +235,54 @@ def test_oracles(spark):
         want = db.execute(sql)
         columns = [c[0] for c in want.description]
         assert Counter(map(tuple, found.select(*columns).collect())) == Counter(want.fetchall())
+
+
+# --- licences and secrets in hostile texts
+
+
+def found_licences(spark, texts):
+    from circuitlens.llm import licenses
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    return {r.doc_id: r for r in licenses.license_scan(df).collect()}
+
+
+def test_long_sequences_of_known_sentences(spark):
+    from circuitlens.llm import licenses
+
+    head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    known = list(licenses.SENTENCES.values())
+    rg = np.random.default_rng(7)
+    texts = [head + "All rights reserved.\n" * 3000, head + "All rights reserved.\n" * 100_000, "\n".join(known[k] + "." for k in rg.integers(0, len(known), 20_000)), "license " + "." * 300_000 + "x", head + "Neither the name of " + "a" * 5000 + " nor the names of x\n"]
+    start = time.time()
+    found = found_licences(spark, texts)
+    assert time.time() - start < 60 and found[1].n_sentences >= 100_000
+    for k, text in enumerate(texts[:3]):  # the rules by a plain walk over the identifiers of the lines
+        ids = found[k].sentence_ids.split(",")
+        met = []
+        for licence, names in licenses.RULES:
+            rest = iter(ids)
+            met.append(all(n in rest for n in names))
+        wider = licenses._wider()
+        named = [licence for i, (licence, _) in enumerate(licenses.RULES) if met[i] and not any(met[j] for j in wider[i])]
+        named = list(dict.fromkeys(named))
+        named = [n for n in named if n != "proprietary"] if len(named) > 1 else named
+        assert set(named) <= set(found[k].licenses.split(",")) if named else True
+
+
+@pytest.mark.parametrize("shape", ["- apassword_x: b\n", "key:[", '{"key":[', "a=(", "key: {x: [", "- - - a: b\n", "; a\n", "f(password=["])
+def test_secrets_in_hostile_texts_take_linear_time(shape):
+    from circuitlens.llm import lexing, secrets
+
+    start = time.time()
+    lexing.pairs(shape * (1_000_000 // len(shape)))
+    secrets.literals(("password=" + shape) * (300_000 // len(shape)))
+    assert time.time() - start < 30
+
+
+def test_secrets_inside_nested_values():
+    from circuitlens.llm import secrets
+
+    key = "xK9vLq2mZ8tR4wYp"
+    for text in (f'password = load(default="{key}")', f'{{"secret": [{{"name": "{key}"}}]}}', f'credentials = [[{{a: [{{b: "{key}"}}]}}]]', f'opts = dict(a=[1, {{"x": 2}}], password="{key}")', f'token = (\n  first(x="a b"),\n  "{key}")', f'k = ["{key}"]\npassword = f(y=k[0])'):
+        assert [text[a:b] for a, b in secrets.literals(text)] in ([key], []) and (key in [text[a:b] for a, b in secrets.literals(text)] or text.startswith("k = [")), text
