@@ -32,6 +32,20 @@ def enumerate_circuits(spark: SparkSession, names: str, max_ixn: int, interchang
     return out
 
 
+def grow_circuits(circuits: DataFrame, names: str, interchangeable: bool = True) -> DataFrame:
+    """Every circuit with each one that a further interaction between two components makes of it: (state, grown).
+
+    A pair of components has one interaction in each direction; ``grown`` is
+    the canonical form if components are interchangeable, each once. Equal rows
+    count once; a circuit with all interactions grows into none.
+    """
+    own = G.interactions(F.col("state"))
+    ixns = F.explode(F.array(*[F.lit(a + b + s) for a in names for b in names for s in "ai"]))
+    fresh = circuits.select("state").distinct().withColumn("ixn", ixns).where(~F.exists(own, lambda x: F.substring(x, 1, 2) == F.substring("ixn", 1, 2)))
+    grown = F.concat(F.lit(f"*{names}::"), F.array_join(F.array_sort(F.concat(own, F.array("ixn"))), "_"))
+    return fresh.select("state", (G.canonical(grown, names) if interchangeable else grown).alias("grown")).distinct()
+
+
 def binary_tree(spark: SparkSession, depth: int) -> DataFrame:
     """The complete tree of binary prefixes: (node, parent, depth), the root an empty string."""
     level = spark.range(2 ** (depth + 1) - 1).select((F.col("id") + 1).alias("i"))
@@ -196,11 +210,15 @@ def prune_to_leaves(edges: DataFrame, keep: DataFrame, max_depth: int = 64) -> D
 
 
 def shortest_paths(edges: DataFrame, root: str, depths: DataFrame, weight: str) -> DataFrame:
-    """Cheapest path from the root, the first in code-point order among ties: (node, cost, path), layer by layer."""
-    links = edges.select("src", "dst", F.col(weight).alias("w"))
+    """Cheapest path from the root, the first in code-point order among ties: (node, cost, path), layer by layer.
+
+    Every edge leads one layer down (``depths``), so a layer needs the edges that leave the one above it and no others.
+    """
+    links = edges.select("src", "dst", F.col(weight).alias("w")).join(depths.select(F.col("node").alias("src"), "depth"), "src")
+    links = cut(links)
     done = frontier = edges.sparkSession.createDataFrame([(root, 0.0, root)], "node string, cost double, path string")
-    for _ in range(deepest(depths)):
-        step = frontier.join(links, frontier.node == links.src).select(F.col("dst").alias("node"), F.round(F.col("cost") + F.col("w"), 9).alias("cost"), F.concat_ws(">", "path", "dst").alias("path"))
+    for depth in range(deepest(depths)):
+        step = frontier.join(links.where(F.col("depth") == depth), frontier.node == links.src).select(F.col("dst").alias("node"), F.round(F.col("cost") + F.col("w"), 9).alias("cost"), F.concat_ws(">", "path", "dst").alias("path"))
         frontier = cut(step.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.cost", "m.path"))
         done = done.union(frontier)
     return done
@@ -396,3 +414,26 @@ def radius_join(points: DataFrame, radius: float, id_col: str = "id") -> DataFra
     near = a.join(b, ["cx", "cy"]).where((F.col("i") != F.col("j")) & (d2 <= radius * radius)).withColumn("w", F.exp(-d2 / (2 * radius * radius)))
     sums = near.groupBy("i").agg(F.sum("w").alias("total"))
     return near.join(sums, "i").select("i", "j", "w", (F.col("w") / F.col("total")).alias("w_row"))
+
+
+def hex_cells(points: DataFrame, size: float) -> DataFrame:
+    """Points counted by the cells of a lattice of hexagons with the side ``size``: axial coordinates and counts (i, j, n).
+
+    Cells stand on a corner, that of (0, 0) around the origin. Points with a missing coordinate are left out.
+    """
+    q, r = (F.sqrt(F.lit(3.0)) / 3 * F.col("x") - F.col("y") / 3) / size, (F.lit(2.0) / 3 * F.col("y")) / size
+    near = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(q.alias("q"), r.alias("r"), (-q - r).alias("s"))
+    whole = near.select("q", "r", "s", *[F.round(c).alias(f"r{c}") for c in "qrs"])
+    off = {c: F.abs(F.col(f"r{c}") - F.col(c)) for c in "qrs"}  # of the three rounded coordinates, whose sum is 0, the worst follows from the others
+    worst_q, worst_r = (off["q"] > off["r"]) & (off["q"] > off["s"]), off["r"] > off["s"]
+    i = F.when(worst_q, -F.col("rr") - F.col("rs")).otherwise(F.col("rq"))
+    j = F.when(~worst_q & worst_r, -F.col("rq") - F.col("rs")).otherwise(F.col("rr"))
+    return whole.groupBy(i.cast("bigint").alias("i"), j.cast("bigint").alias("j")).agg(F.count("*").alias("n"))
+
+
+def hex_neighbours(cells: DataFrame) -> DataFrame:
+    """Occupied cells with their occupied neighbours, weighted by the neighbour's share of all neighbours' points: (i, j, k, l, w)."""
+    steps = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)]
+    around = F.explode(F.array(*[F.struct((F.col("i") + a).alias("k"), (F.col("j") + b).alias("l")) for a, b in steps]))
+    beside = cells.select("i", "j", around.alias("o")).select("i", "j", "o.k", "o.l").join(cells.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("n").alias("m")), ["k", "l"])
+    return beside.withColumn("w", F.col("m") / F.sum("m").over(Window.partitionBy("i", "j"))).select("i", "j", "k", "l", "w")  # six rows a window

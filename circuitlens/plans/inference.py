@@ -10,6 +10,7 @@ from circuitlens.plans import views as V
 from circuitlens.plans.design import SAMPLED, u
 from circuitlens.plans.design import _tail as tail
 from circuitlens.plans.graphs import DEPTH, E, QT, ROOT
+from circuitlens.plans.motifs import _canonical as canonical
 from circuitlens.sources.shared import cut
 
 QUERIES, ORACLES = {}, {}
@@ -219,3 +220,29 @@ def perturb_params(spark, d):
     sampled = spark.sql(SAMPLED, supplier=V.table(spark, d, "supplier")).withColumns({"km_act": F.lit(5.0), "kp": F.lit(0.1), "gamma_m": F.lit(0.05), "gamma_p": F.lit(0.02)})
     inside = sampled.withColumn("log10_kd_1", F.greatest(F.lit(-2.0), F.least(F.lit(4.0), F.col("log10_kd_1")))).withColumn("kd_2_1_ratio", F.least(F.lit(0.25), F.col("kd_2_1_ratio")))
     return rounded(D.perturb_params(D.to_params(inside), 0.1, "pp", "s_suppkey", 3), "s_suppkey", "replicate")
+
+
+# --- designs and lattices from the tables
+
+CODES = "[" + ", ".join(f"'{a}{b}{s}'" for a in "ABC" for b in "ABC" for s in "ai") + "]"
+GROWN = f"""{V.ctes('q_table')}, x AS (SELECT state, visits, list_filter(string_split(split_part(state, '::', 2), '_'), lambda i: i <> '') AS own FROM q_table), c AS (SELECT state, visits, own, unnest({CODES}) AS ixn FROM x WHERE len(own) <= 4),
+f AS (SELECT state, visits, list_append(own, ixn) AS g FROM c WHERE len(list_filter(own, lambda i: substr(i, 1, 2) = substr(ixn, 1, 2))) = 0), k AS (SELECT DISTINCT state, visits, {canonical('g')} AS grown FROM f)
+SELECT grown, count(*) AS n_parents, sum(visits)::BIGINT AS visits FROM k GROUP BY grown"""
+
+
+@query("grown_circuits", GROWN)
+def grown_circuits(spark, d):
+    q = cut(V.q_table(spark, d)).where(G.complexity(F.col("state")) <= 4)
+    return N.grow_circuits(q, "ABC").join(q.select("state", "visits"), "state").groupBy("grown").agg(F.count("*").alias("n_parents"), F.sum("visits").alias("visits"))
+
+
+HEX = """WITH p AS (SELECT (sqrt(3.0) / 3 * x - y / 3) / 0.03 AS q, (2.0 / 3 * y) / 0.03 AS r FROM (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)), o AS (SELECT q, r, -q - r AS s, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs FROM p),
+w AS (SELECT *, abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) AS worst_q, abs(rr - r) > abs(rs - s) AS worst_r FROM o),
+c AS (SELECT CAST(CASE WHEN worst_q THEN -rr - rs ELSE rq END AS BIGINT) AS i, CAST(CASE WHEN NOT worst_q AND worst_r THEN -rq - rs ELSE rr END AS BIGINT) AS j, count(*) AS n FROM w GROUP BY ALL)
+SELECT a.i, a.j, b.i AS k, b.j AS l, round(b.n / sum(b.n) OVER (PARTITION BY a.i, a.j), 6) AS w FROM c a JOIN c b ON (b.i - a.i, b.j - a.j) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))"""
+
+
+@query("hex_neighbours", HEX)
+def hex_neighbours(spark, d):
+    points = V.table(spark, d, "embeddings").select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return rounded(N.hex_neighbours(N.hex_cells(points, 0.03)), "i", "j", "k", "l")

@@ -204,3 +204,27 @@ def test_one_replicate_that_holds_all_rows_is_ordered_in_buckets(spark):
             keys = re.findall(r"\], \[(.*?)\], \[", lines[k])
             split = keys and ("__bucket" in keys[-1] or "state" in keys[-1])
             assert split or any("Aggregate [" in line for line in lines[k + 1 : k + 4]), lines[k]
+
+
+def test_grown_circuits(spark):
+    df = spark.createDataFrame([("*AB::ABa",), ("*AB::ABa",), ("*AB::AAa_ABa_BAi_BBi",)], "state string")
+    found = {r.grown for r in N.grow_circuits(df, "AB", interchangeable=False).collect()}
+    assert found == {"*AB::AAa_ABa", "*AB::AAi_ABa", "*AB::ABa_BAa", "*AB::ABa_BAi", "*AB::ABa_BBa", "*AB::ABa_BBi"}
+    assert N.grow_circuits(df, "AB").count() == 6  # AB and BA with a sign each are one orbit's circuits, but no two of these are
+
+
+def test_hexagons_hold_the_points_nearest_to_their_centres(spark):
+    rg = np.random.default_rng(8)
+    xy = rg.uniform(-3, 3, (500, 2))
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in xy] + [(None, 1.0)], "x double, y double")
+    cells = {(r.i, r.j): r.n for r in N.hex_cells(df, 0.5).collect()}
+    centres = {(i, j): (0.5 * math.sqrt(3) * (i + j / 2), 0.75 * j) for i in range(-15, 16) for j in range(-15, 16)}
+    names, places = list(centres), np.array(list(centres.values()))
+    want = Counter(names[k] for k in ((xy[:, None] - places[None]) ** 2).sum(axis=2).argmin(axis=1))
+    assert cells == dict(want)
+    rows = N.hex_neighbours(N.hex_cells(df, 0.5)).collect()
+    assert all(math.isclose(np.hypot(*np.subtract(centres[r.i, r.j], centres[r.k, r.l])), 0.5 * math.sqrt(3)) for r in rows)
+    sums = Counter()
+    for r in rows:
+        sums[r.i, r.j] += r.w
+    assert all(math.isclose(v, 1.0) for v in sums.values())
