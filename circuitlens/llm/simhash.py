@@ -14,12 +14,13 @@ further apart, 10 bits of 64, than a covering code can carry. For these
 (``near_copies``) a text gets many fingerprints, so that some half of them
 lies at the same anchor with threshold 0, where a fingerprint is replicated to
 the anchors within the covering radius alone; what meets there is compared
-over 384 bits of five-word shingles.
+over 256 bits of five-word shingles. These bits only name candidates: links
+hold where the five-word shingles of the two texts themselves are as similar.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import accumulate
 from math import acos, pi
 
@@ -37,7 +38,11 @@ SHINGLE_WORDS, SEED, THRESHOLD = 3, 42, 3
 TILE = 2048
 #: Near copies: fingerprints over three-word shingles that are searched, over five-word shingles that are compared,
 #: and the similarity (Jaccard, of five-word shingles) from which two texts are near copies.
-SEARCH_PRINTS, CHECK_PRINTS, CHECK_WORDS, SIMILARITY = 16, 6, 5, 0.8
+SEARCH_PRINTS, CHECK_PRINTS, CHECK_WORDS, SIMILARITY = 16, 4, 5, 0.8
+#: Candidates: standard errors of the estimate below which pairs of a group are linked first, then next, then last.
+ROOM = (-1.0, 0.5, 2.0)
+#: Texts that are compared with one text in one task; more are dealt out.
+STAR = 256
 #: Large anchors (two numbers each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -157,20 +162,28 @@ def _union(roots: dict[int, int], x: int) -> int:
     return x
 
 
-def _forest(bits: np.ndarray, groups: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+def _forest(bits: np.ndarray, groups: np.ndarray, home: np.ndarray, thresholds: Sequence[int]) -> list[tuple[int, int]]:
     """Links that span the same components as all links inside each group, whose rows stand together.
 
-    ``bits`` has a row of one or more 64-bit numbers for each; of a pair, one must be at home.
+    ``bits`` has a row of one or more 64-bit numbers for each; of a pair, one
+    must be at home. Links within a smaller threshold are taken before those
+    within the next.
     """
     found, roots = [], {}
+    for threshold in thresholds:
+        _grow(found, roots, bits, groups, home, threshold)
+    return found
+
+
+def _grow(found: list[tuple[int, int]], roots: dict[int, int], bits: np.ndarray, groups: np.ndarray, home: np.ndarray, threshold: int) -> None:
     ends = np.searchsorted(groups, groups, side="right") if len(groups) else groups
-    label = np.arange(len(bits))
+    label = np.fromiter((_union(roots, i) for i in range(len(bits))), np.int64, len(bits)) if roots else np.arange(len(bits))
     live, gap = np.arange(len(bits)), 0
     while True:
         gap += 1
         live = live[live + gap < ends[live]]
         if not len(live):
-            return found
+            return
         near = live[home[live] | home[live + gap]]
         near = near[label[near] != label[near + gap]]
         near = near[np.bitwise_count(bits[near] ^ bits[near + gap]).sum(axis=1, dtype=np.int64) <= threshold]
@@ -183,7 +196,7 @@ def _forest(bits: np.ndarray, groups: np.ndarray, home: np.ndarray, threshold: i
             label = np.fromiter((_union(roots, i) for i in range(len(bits))), np.int64, len(bits))
 
 
-def _compare(width: int, threshold: int):
+def _compare(width: int, thresholds: Sequence[int]):
     """Links of rows (anchor, i, j, node, bits, home) that come sorted by (anchor, i, j), those at home first.
 
     ``bits`` holds ``width`` 64-bit numbers. A group may go on in the next
@@ -193,7 +206,7 @@ def _compare(width: int, threshold: int):
     def links(table: pa.Table, groups: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
         node = table.column("node").to_numpy()
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(-1, width)
-        pairs = np.array(_forest(bits, groups, home, threshold), np.int64).reshape(-1, 2)
+        pairs = np.array(_forest(bits, groups, home, thresholds), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +247,8 @@ def _compare(width: int, threshold: int):
     return compare
 
 
-def _tiled_links(spread: DataFrame, width: int, threshold: int, tile: int) -> DataFrame:
-    """Links (a, b) of nodes whose rows (anchor, node, bits, home) meet at an anchor and differ in ``threshold`` bits or fewer.
+def _tiled_links(spread: DataFrame, width: int, thresholds: Sequence[int], tile: int) -> DataFrame:
+    """Links (a, b) of nodes whose rows (anchor, node, bits, home) meet at an anchor and differ in no more bits than the last of ``thresholds``.
 
     They span the components of all links: within a group at an anchor they
     are a spanning forest, so a cluster of k nodes gives k links, not k * k. An
@@ -251,13 +264,13 @@ def _tiled_links(spread: DataFrame, width: int, threshold: int, tile: int) -> Da
     dealt = dealt.where(tiles > 0).withColumn("mine", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     tiled = dealt.select("anchor", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "bits", "home")
     grouped = tiled.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", F.desc("home"))
-    return grouped.mapInArrow(_compare(width, threshold), "a bigint, b bigint")
+    return grouped.mapInArrow(_compare(width, thresholds), "a bigint, b bigint")
 
 
 def near_links(bits: DataFrame, tile: int = TILE) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``bits`` that differ in 3 or fewer bits; they span the components of all links."""
     spread = bits.select("bits").mapInArrow(_replicate, "anchor bigint, node bigint, bits binary, home boolean")
-    return _tiled_links(spread, 1, THRESHOLD, tile)
+    return _tiled_links(spread, 1, (THRESHOLD,), tile)
 
 
 def _named(first: DataFrame, links: DataFrame, node: str, value: str) -> DataFrame:
@@ -315,30 +328,110 @@ def _spread_prints(search: int):
     return spread
 
 
+def shingle_set(text: str | None, words: int = CHECK_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(_shingle_hashes(text, words, SEED))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two such sets is ``similarity`` or more; two empty sets are equal."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _verify(similarity: float):
+    """Links of rows (hub, tile, lead, node, text), sorted so that a hub's own text leads the texts that it is compared with."""
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
+        for batch in batches:
+            for block in text_blocks([batch], column=4):
+                found = []
+                for at, lead, node, text in zip(block.column(0).to_pylist(), block.column(2).to_pylist(), block.column(3).to_pylist(), block.column(4)):
+                    if lead:
+                        hub, own = at, shingle_set(text.as_py())
+                    elif at == hub and alike(own, shingle_set(text.as_py()), similarity):
+                        found.append((at, node))
+                pairs = np.array(found, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return verify
+
+
+def _verified(leads: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``members`` (hub, node, text) that are similar to their hub, whose text is in ``leads`` (hub, text).
+
+    Texts are read one after the other, so a task holds two at a time; a hub
+    of more than ``STAR`` texts is dealt out, with a copy of its own text each.
+    """
+    sized = members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > STAR)
+    large = checkpointed(sized.select("hub", F.ceil(F.col("n") / STAR).cast("int").alias("tiles")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    tiles = F.coalesce("tiles", F.lit(1))
+    first = leads.join(large, "hub", "left").select("hub", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(True).alias("lead"), F.col("hub").alias("node"), "text")
+    rest = members.join(large, "hub", "left").select("hub", F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), F.lit(False).alias("lead"), "node", "text")
+    grouped = first.unionByName(rest).repartition("hub", "tile").sortWithinPartitions("hub", "tile", F.desc("lead"))
+    return grouped.mapInArrow(_verify(similarity), "a bigint, b bigint")
+
+
+def _true_links(candidates: DataFrame, texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """Those links between nodes whose texts are as similar as asked, from the forest of ``candidates``.
+
+    Every text of a candidate group is compared with the group's smallest node
+    first; then candidates are compared whose ends these links leave apart.
+    """
+    groups = components(candidates)
+    wanted = groups.join(first.select("node", "digest"), "node")
+    named = _salted(texts, wanted, "digest", F.col("salt")).groupBy("node").agg(F.first("component").alias("hub"), F.first("text").alias("text"))
+    named = checkpointed(named)
+    star = checkpointed(_verified(named.where("node = hub").select("hub", "text"), named.where("node <> hub"), similarity))
+    near = star.select(F.col("b").alias("node"), F.col("a").alias("label"))
+
+    def labelled(links: DataFrame, end: str) -> DataFrame:
+        label = near.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        return links.join(label, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+
+    apart = labelled(labelled(candidates, "a"), "b").where("label_a <> label_b and a <> label_b and b <> label_a")
+    apart = checkpointed(apart.select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct())
+    members = apart.join(named.select("node", "text"), "node").select("hub", "node", "text")
+    leads = apart.select("hub").distinct().join(named.select(F.col("node").alias("hub"), "text"), "hub")
+    return star.unionByName(_verified(leads, members, similarity))
+
+
 def near_copies(docs: DataFrame, text_col: str = "text", key_col: str = "key", similarity: float = SIMILARITY, search: int = SEARCH_PRINTS, check: int = CHECK_PRINTS, tile: int = TILE) -> DataFrame:
     """The group of near copies of every text: (``key_col``, smallest), smallest the least key that it reaches, its own included.
 
-    Two texts are near copies if their five-word shingles are estimated to
-    have a Jaccard similarity of ``similarity`` or more, from the share of
-    differing bits of ``check`` fingerprints (cosine 2s / (1 + s)), with one
-    standard error of room. Pairs are compared where some half of ``search``
-    fingerprints of three-word shingles meets at an anchor (see the module). The
-    search is not complete, as its recall is a matter of similarity; the README
-    has figures. Texts with equal fingerprints are compared once. Null, empty
-    and white-space texts are copies of each other. Keys may repeat.
+    Two texts are near copies if the sets of their five-word shingles have a
+    Jaccard similarity of ``similarity`` or more (``alike``). Pairs are looked
+    at where some half of ``search`` fingerprints of three-word shingles meets
+    at an anchor (see the module) and the share of differing bits of ``check``
+    fingerprints of five-word shingles (cosine 2s / (1 + s)) leaves the
+    similarity possible, with ``ROOM``; of those, a forest of the likeliest in
+    each group is compared, and every text with one text of its group. So no
+    link is false, while the search is not complete: its recall is a matter
+    of similarity, and the README has figures. Texts with equal fingerprints
+    are compared once. Null, empty and white-space texts are copies of each
+    other. Keys may repeat.
     """
     kind = docs.schema[key_col].dataType.simpleString()
     share = acos(2 * similarity / (1 + similarity)) / pi
-    limit = int(64 * check * share + (64 * check * share * (1 - share)) ** 0.5)
+    limits = [int(64 * check * share + room * (64 * check * share * (1 - share)) ** 0.5) for room in ROOM]
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([many_prints(t, search, check) for t in block.column(1).to_pylist()], pa.binary())], names=["__key", "prints"])
+            prints = pa.array([many_prints(t, search, check) for t in block.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column(0), prints, block.column(2)], names=["__key", "prints", "digest"])
 
-    marked = checkpointed(docs.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text")).mapInArrow(hashed, f"__key {kind}, prints binary"))
-    first = checkpointed(marked.groupBy("prints").agg(F.min("__key").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    digest = F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("digest")
+    marked = checkpointed(docs.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text"), digest).mapInArrow(hashed, f"__key {kind}, prints binary, digest binary"))
+    first = marked.groupBy("prints").agg(F.min("__key").alias("first"), F.min("digest").alias("digest")).withColumn("node", F.monotonically_increasing_id())
+    first = checkpointed(first)
     spread = first.select("node", "prints").mapInArrow(_spread_prints(search), "anchor bigint, node bigint, bits binary, home boolean")
-    named = _named(first, _tiled_links(spread, check, limit, tile), "node", "first").join(first.select("node", "prints"), "node").select("prints", "smallest")
+    candidates = checkpointed(_tiled_links(spread, check, limits, tile).distinct())
+    texts = docs.select(digest, F.col(text_col).alias("text"), F.struct(key_col).alias("salt"))
+    named = _named(first, _true_links(candidates, texts, first, similarity), "node", "first").join(first.select("node", "prints"), "node").select("prints", "smallest")
     return _salted(marked, named, "prints", F.col("__key")).select(F.col("__key").alias(key_col), "smallest")
 
 

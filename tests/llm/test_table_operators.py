@@ -198,17 +198,24 @@ def test_cells_that_are_used_up_count_whole(spark, driver_cells):
     assert len(scale) == 1 and all(r.w * max(scale) >= r.tokens * 0.999 for r in rows if r.probability == 1)
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)}
+
+
 def plain_copies(texts):
-    """The smallest key that each text reaches over near copies, by comparing all pairs."""
+    """The smallest key that each text reaches over near copies that meet at an anchor, by comparing the shingles of all pairs."""
     share = math.acos(1.6 / 1.8) / math.pi
     bits = 64 * simhash.CHECK_PRINTS
-    limit = bits * share + math.sqrt(bits * share * (1 - share))
+    limit = bits * share + simhash.ROOM[-1] * math.sqrt(bits * share * (1 - share))
     prints = {i: np.frombuffer(simhash.many_prints(t), "<u8") for i, t in texts.items()}
     halves = {i: p[: simhash.SEARCH_PRINTS].copy().view("<u4").astype(np.uint64) for i, p in prints.items()}
     homes = {i: [set(simhash.anchors(h[k : k + 1], 0)[1].tolist()) for k in range(len(h))] for i, h in halves.items()}
+    sets = {i: shingles(t) for i, t in texts.items()}
     links = [
         (i, j) for i in texts for j in texts
-        if i < j and np.bitwise_count(prints[i][simhash.SEARCH_PRINTS :] ^ prints[j][simhash.SEARCH_PRINTS :]).sum() <= limit and any(a & b for a, b in zip(homes[i], homes[j]))
+        if i < j and np.bitwise_count(prints[i][simhash.SEARCH_PRINTS :] ^ prints[j][simhash.SEARCH_PRINTS :]).sum() <= limit
+        and any(a & b for a, b in zip(homes[i], homes[j])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
     ]
     group = {i: i for i in texts}
     for _ in range(6):

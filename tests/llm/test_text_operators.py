@@ -192,6 +192,37 @@ def test_near_copies(spark):
     assert {r.smallest for r in simhash.near_copies(many, tile=50).collect()} == {0}
 
 
+def test_near_copies_are_verified(spark, monkeypatch):
+    """Texts that are a little less alike than asked keep apart, however many they are; a text links through another."""
+    import random
+
+    rg = random.Random(11)
+    fresh = lambda n: [f"w{rg.getrandbits(30)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(60):  # 104 of 136 shingles: 0.765
+        base = fresh(124)
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base[:108] + fresh(16)))]
+        want |= {10 * k: 10 * k, 10 * k + 1: 10 * k + 1}
+    for k in range(60, 90):  # each 0.954 from the next one, 0.789 over all five steps
+        words_ = fresh(400)
+        rows += [(10 * k + step, " ".join(words_[8 * step : 8 * step + 344])) for step in range(6)]
+    found = {r.key: r.smallest for r in simhash.near_copies(spark.createDataFrame(rows, "key bigint, text string")).collect()}
+    assert {i: found[i] for i in want} == want
+    assert sum(found[10 * k + step] == 10 * k for k in range(60, 90) for step in range(6)) >= 162
+    monkeypatch.setattr(simhash, "STAR", 8)
+    base = fresh(400)
+    many = [(k, " ".join(base[: 390 - k % 3] + fresh(10))) for k in range(100)] + [(100, None), (101, " \n"), (102, "a b"), (103, "A  b"), (104, "a c")]
+    found = {r.key: r.smallest for r in simhash.near_copies(spark.createDataFrame(many * 2, "key bigint, text string"), tile=50).collect()}
+    assert found == {k: 0 for k in range(100)} | {100: 100, 101: 100, 102: 102, 103: 102, 104: 104}
+
+
+def test_likeness_of_shingle_sets():
+    make = lambda text: simhash.shingle_set(text)
+    assert simhash.alike(make(None), make(" ")) and simhash.alike(make("a b"), make("A\tB")) and not simhash.alike(make("a"), make(""))
+    line = [f"v{k}" for k in range(104)]  # 100 shingles; 80 of 100 stay if 20 are cut off at the end
+    assert simhash.alike(make(" ".join(line)), make(" ".join(line[:84]))) and not simhash.alike(make(" ".join(line)), make(" ".join(line[:83])))
+
+
 def brute_measure(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
