@@ -43,7 +43,7 @@ SEARCH_PRINTS, CHECK_PRINTS, CHECK_WORDS, SIMILARITY = 16, 4, 5, 0.8
 ROOM = (-1.0, 0.5, 2.0)
 #: Texts that are compared with one text in one task; more are dealt out.
 STAR = 256
-#: Large anchors (two numbers each) that may be broadcast; more are joined by a shuffle.
+#: Large anchors (two numbers each) or candidates (a digest and two numbers) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 _LANES = np.uint64(0x0101010101010101)
@@ -383,8 +383,9 @@ def _true_links(candidates: DataFrame, texts: DataFrame, first: DataFrame, simil
     first; then candidates are compared whose ends these links leave apart.
     """
     groups = components(candidates)
-    wanted = groups.join(first.select("node", "digest"), "node")
-    named = _salted(texts, wanted, "digest", F.col("salt")).groupBy("node").agg(F.first("component").alias("hub"), F.first("text").alias("text"))
+    wanted = checkpointed(groups.join(first.select("node", "digest"), "node"))
+    met = texts.join(F.broadcast(wanted), "digest") if wanted.count() <= BROADCAST_ROWS else _salted(texts, wanted, "digest", F.col("salt"))
+    named = met.groupBy("node").agg(F.first("component").alias("hub"), F.first("text").alias("text"))
     named = checkpointed(named)
     star = checkpointed(_verified(named.where("node = hub").select("hub", "text"), named.where("node <> hub"), similarity))
     near = star.select(F.col("b").alias("node"), F.col("a").alias("label"))

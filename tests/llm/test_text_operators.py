@@ -210,6 +210,7 @@ def test_near_copies_are_verified(spark, monkeypatch):
     assert {i: found[i] for i in want} == want
     assert sum(found[10 * k + step] == 10 * k for k in range(60, 90) for step in range(6)) >= 162
     monkeypatch.setattr(simhash, "STAR", 8)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
     base = fresh(400)
     many = [(k, " ".join(base[: 390 - k % 3] + fresh(10))) for k in range(100)] + [(100, None), (101, " \n"), (102, "a b"), (103, "A  b"), (104, "a c")]
     found = {r.key: r.smallest for r in simhash.near_copies(spark.createDataFrame(many * 2, "key bigint, text string"), tile=50).collect()}
