@@ -55,7 +55,8 @@ def pattern_containment(circuits: DataFrame, patterns: DataFrame, names: str = "
 def contingency(q_table: DataFrame, pairs: DataFrame, success: Column, exclude_self: bool = True) -> DataFrame:
     """Cells per pattern: with it and without it, among successful circuits and among all (the null set).
 
-    With ``exclude_self`` the circuit that is the pattern itself counts in neither.
+    With ``exclude_self`` the circuit that is the pattern itself counts in neither. States and patterns must be
+    canonical forms (``canonical_state``), as a relabelled twin of the pattern would count.
     """
     marked = q_table.select("state", success.cast("int").alias("ok"))
     total = marked.agg(F.count("*").alias("n_all"), F.sum("ok").alias("n_ok"))
