@@ -34,8 +34,10 @@ from circuitlens.llm.pretokens import splitter
 BLOCK_BYTES = 24_000_000
 #: Bytes of text whose number sequence makes up one row.
 PART_BYTES = 1_000_000
-#: Bytes of all text for each task that encodes or assembles, and buckets of words for each such task.
-TASK_BYTES, BUCKETS = 32_000_000, 4
+#: Bytes of all text for each task that assembles.
+TASK_BYTES = 32_000_000
+#: Distinct words of the corpus for each bucket, and the least number of buckets for each shuffle partition.
+BUCKET_WORDS, BUCKETS = 100_000, 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,6 +83,12 @@ class _Numbers(dict):
         return n
 
 
+def _distinct_words(docs: DataFrame, text_col: str) -> int:
+    """About how many distinct words all texts have, cut at blanks; it only sizes buckets."""
+    words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("word"))
+    return words.agg(F.approx_count_distinct("word")).first()[0] or 0
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every whole text: (``id_col``, ids ARRAY<INT>), one row per input row.
 
@@ -94,11 +102,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     come to hold other rows (an input that is drawn anew on a retry), the
     block's name, a digest of its place, keys and content, differs and the job
     stops with an error instead of mixing the two.
+
+    Texts are assembled in as many tasks as they need by their bytes, words are
+    encoded in as many buckets as there are distinct words for; these grow far
+    slower than the bytes, so that a block still sends many words at once to
+    each bucket when the corpus is large.
     """
     spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    buckets = BUCKETS * tasks
+    tasks = max(least, -(-size // TASK_BYTES))
+    buckets = max(BUCKETS * least, -(-_distinct_words(docs, text_col) // BUCKET_WORDS))
     shared = spark.sparkContext.broadcast(ranks)
     id_type = docs.schema[id_col].dataType.simpleString()
     row_type = f"bucket int, block string, part int, keys array<{id_type}>, payload binary"
@@ -203,7 +217,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([keys.values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], names=["__id", "ids"])
 
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).sortWithinPartitions(F.xxhash64("__text"), F.xxhash64("__id"), "__text", "__id")
-    numbered = picked.mapInArrow(number, row_type).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, row_type)
+    numbered = picked.mapInArrow(number, row_type).repartition(min(tasks, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(merge, row_type)
     blocks = numbered.drop("bucket").repartition(tasks, "block").sortWithinPartitions("block", "part")
     return blocks.mapInArrow(assemble, f"__id {id_type}, ids array<int>").withColumnRenamed("__id", id_col)
 

@@ -188,6 +188,16 @@ def test_targets_that_cannot_be_met_are_reported(spark, driver_cells):
     assert all(r.marginal_error > 0.1 for r in rows)
 
 
+def test_raking_ends_when_it_stalls(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 100), ("b", "de", "y", 100)], CELL_TYPE)
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}, "topic": 1.0}
+    with pytest.warns(UserWarning, match=f"after {mixing.STALL_ROUNDS + 1} rounds a marginal of lang"):
+        mixing.calibrate(cells, targets)
+    slow = [{"source": 1 / k, "lang": 0.5 / k, "topic": 0.0} for k in range(1, mixing.MAX_ROUNDS + 1)]  # as with sparse tables
+    assert not any(mixing._settled(slow[:n], 1e-9) for n in range(1, len(slow), 97)) and mixing._settled(slow, 1 / 2000)
+
+
+
 @pytest.mark.parametrize("driver_cells", [1000, 0])
 def test_cells_that_are_used_up_count_whole(spark, driver_cells):
     rows = mixing.calibrate(spark.createDataFrame(CELLS, CELL_TYPE), {"source": 1.0, "lang": {"en": 0.95, "de": 0.05}, "topic": 1.0}, keep=0.6, driver_cells=driver_cells).collect()

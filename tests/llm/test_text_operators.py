@@ -10,6 +10,8 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from circuitlens.llm import bpe, licenses, quality_model, quality_rules, secrets, simhash
 from circuitlens.llm.token_counts import count_tokens, whole_tokens
 
@@ -68,6 +70,17 @@ def test_bpe_in_many_blocks(spark, ranks, monkeypatch):
     assert {r.doc_id: list(r.ids) for r in bpe.encode(df, ranks, P.PATTERN).collect()} == {k: library.encode_ordinary(t) for k, t in enumerate(texts)}
 
 
+def test_bpe_buckets_follow_the_distinct_words(spark, ranks, monkeypatch):
+    texts = [" ".join(f"word{(k * j) % 401}" for j in range(k % 90)) + "\tMore of it, 12 345" * (k % 3) for k in range(200)]
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, " ")], "doc_id bigint, text string")
+    words = {w for t in [*texts, " "] for w in t.split(" ")}
+    assert abs(bpe._distinct_words(df, "text") - len(words)) < 0.2 * len(words) and bpe._distinct_words(df.limit(0), "text") == 0
+    monkeypatch.setattr(bpe, "BUCKET_WORDS", 1)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {k: library.encode_ordinary(t) for k, t in enumerate(texts)} | {900: [], 901: library.encode_ordinary(" ")}
+    assert {r.doc_id: list(r.ids) for r in bpe.encode(df, ranks, P.PATTERN).collect()} == want
+
+
 def test_bpe_of_equal_blocks(spark, ranks, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 1)
     monkeypatch.setattr(bpe, "PART_BYTES", 1)
@@ -217,6 +230,20 @@ def test_near_copies_are_verified(spark, monkeypatch):
     assert found == {k: 0 for k in range(100)} | {100: 100, 101: 100, 102: 102, 103: 102, 104: 104}
 
 
+def test_texts_that_may_be_candidates(spark, monkeypatch):
+    """Every wanted digest stays, whatever the size of the table of bits; few others do if there is room."""
+    digest = F.unhex(F.md5(F.col("id").cast("string"))).alias("digest")
+    texts, wanted = spark.range(4000).select("id", digest), spark.range(0, 4000, 40).select(digest)
+    for slots in (64, 256, simhash.SLOTS):
+        monkeypatch.setattr(simhash, "SLOTS", slots)
+        rows = simhash._maybe_wanted(texts, wanted)
+        assert rows.columns == ["id", "digest"]
+        found = [r.id for r in rows.select("id").collect()]
+        assert set(range(0, 4000, 40)) <= set(found) and len(found) == len(set(found))
+    assert len(found) < 110
+    assert not simhash._maybe_wanted(texts, wanted.limit(0)).count()
+
+
 def test_likeness_of_shingle_sets():
     make = lambda text: simhash.shingle_set(text)
     assert simhash.alike(make(None), make(" ")) and simhash.alike(make("a b"), make("A\tB")) and not simhash.alike(make("a"), make(""))
