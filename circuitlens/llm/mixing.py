@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from circuitlens.llm.common import Rounds, checkpointed
 from circuitlens.llm.token_counts import count_tokens
 
-#: Raking ends when every marginal is this close to its target, in proportion, or after so many rounds with a warning.
-TOLERANCE, MAX_ROUNDS = 1e-9, 2000
+#: Raking ends when every marginal is this close to its target, in proportion; with a warning after so many rounds,
+#: or when in so many rounds the distance has not fallen by this share, as when the targets can't be met together.
+TOLERANCE, MAX_ROUNDS, STALL_ROUNDS, STALL = 1e-9, 2000, 50, 0.01
 #: Share of all tokens to keep, and the targets: a power of the observed shares, or weights by value.
 KEEP = 0.5
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.7}
@@ -62,7 +63,8 @@ def calibrate(cells: DataFrame, targets: Mapping = TARGETS, keep: float = KEEP,
     in proportion to it) and draw_error (the greatest distance between a
     marginal's share of the expected draw and its target share, which cells
     that are used up leave). Targets that can't be met together leave a
-    marginal_error above the tolerance and give a warning. Named values that
+    marginal_error above the tolerance and give a warning that names the
+    dimension; raking then ends once the error no longer falls. Named values that
     no cell has are left out of the targets.
 
     All work is on cells, of which there are as many as combinations of
@@ -80,8 +82,15 @@ def calibrate(cells: DataFrame, targets: Mapping = TARGETS, keep: float = KEEP,
     return out.select(*DIMS, "tokens", "w", F.round("probability", 6).alias("probability"), F.round("marginal_error", 9).alias("marginal_error"), F.round("draw_error", 6).alias("draw_error"))
 
 
-def _warn(error: float, rounds: int) -> None:
-    warnings.warn(f"the targets can't be met together: after {rounds} rounds a marginal is off by {error:.3g} of its target", stacklevel=3)
+def _warn(errors: list[dict[str, float]]) -> None:
+    dim, error = max(errors[-1].items(), key=lambda e: e[1])
+    warnings.warn(f"the targets can't be met together: after {len(errors)} rounds a marginal of {dim} is off by {error:.3g} of its target", stacklevel=3)
+
+
+def _settled(errors: list[dict[str, float]], tolerance: float) -> bool:
+    """Whether raking ends, by the distances of the marginals after each round."""
+    worst = [max(e.values()) for e in errors]
+    return worst[-1] <= tolerance or len(worst) > STALL_ROUNDS and worst[-1] > (1 - STALL) * worst[-1 - STALL_ROUNDS]
 
 
 def _here(cells: DataFrame, keep: float, tolerance: float, max_rounds: int) -> DataFrame:
@@ -89,15 +98,16 @@ def _here(cells: DataFrame, keep: float, tolerance: float, max_rounds: int) -> D
     tokens = np.array([r["tokens"] for r in rows], float)
     codes = [np.unique([r[d] for r in rows] or [""], return_inverse=True)[1][: len(rows)] for d in DIMS]
     wants = [np.array([r[f"want_{d}"] for r in rows], float) for d in DIMS]
-    w, error = tokens.copy(), 0.0
+    w, errors = tokens.copy(), []
     for _ in range(max_rounds if rows else 0):
         for code, want in zip(codes, wants):
             w *= want / np.bincount(code, w)[code]
-        error = max(float(np.abs(np.bincount(c, w)[c] / want - 1).max()) for c, want in zip(codes, wants))
-        if error <= tolerance:
+        errors.append({d: float(np.abs(np.bincount(c, w)[c] / want - 1).max()) for d, c, want in zip(DIMS, codes, wants)})
+        if _settled(errors, tolerance):
             break
+    error = max(errors[-1].values()) if errors else 0.0
     if error > tolerance:
-        _warn(error, max_rounds)
+        _warn(errors)
     drawn = tokens
     if keep < 1 and rows:  # cells are used up in the order of tokens over weight
         order = np.argsort(tokens / w, kind="stable")
@@ -111,27 +121,28 @@ def _here(cells: DataFrame, keep: float, tolerance: float, max_rounds: int) -> D
     return cells.sparkSession.createDataFrame(found, ", ".join(f"{d} string" for d in DIMS) + ", tokens bigint, w double, probability double, marginal_error double, draw_error double")
 
 
-def _greatest(cells: DataFrame, column: Column, want: dict[str, Column], gap) -> float:
-    """The greatest ``gap`` between a marginal of ``column`` and its target, over all dimensions."""
-    parts = [cells.groupBy(d).agg(F.sum(column).alias("have"), F.first(want[d]).alias("want")).agg(F.max(gap(F.col("have"), F.col("want")))).first()[0] for d in DIMS]
-    return float(max((p for p in parts if p is not None), default=0.0))
+def _gaps(cells: DataFrame, column: Column, want: dict[str, Column], gap) -> dict[str, float]:
+    """For each dimension the greatest ``gap`` between a marginal of ``column`` and its target."""
+    parts = {d: cells.groupBy(d).agg(F.sum(column).alias("have"), F.first(want[d]).alias("want")).agg(F.max(gap(F.col("have"), F.col("want")))).first()[0] for d in DIMS}
+    return {d: float(p or 0.0) for d, p in parts.items()}
 
 
 def _spread(cells: DataFrame, keep: float, tolerance: float, max_rounds: int) -> DataFrame:
     """The same in Spark; a round's sums are combined before the shuffle, and the round ends in a written table."""
     want = {d: F.col(f"want_{d}") for d in DIMS}
     hand_on = Rounds(cells.sparkSession)
-    cells, error = hand_on(cells.withColumn("w", F.col("tokens").cast("double"))), 0.0
+    cells, errors = hand_on(cells.withColumn("w", F.col("tokens").cast("double"))), []
     for _ in range(max_rounds):
         for dim in DIMS:
             sums = cells.groupBy(dim).agg(F.sum("w").alias("have"))
             cells = cells.join(sums, dim).withColumn("w", F.col("w") * (want[dim] / F.col("have"))).drop("have")
         cells = hand_on(cells)
-        error = _greatest(cells, F.col("w"), want, lambda have, wanted: F.abs(have / wanted - 1))
-        if error <= tolerance:
+        errors.append(_gaps(cells, F.col("w"), want, lambda have, wanted: F.abs(have / wanted - 1)))
+        if _settled(errors, tolerance):
             break
+    error = max(errors[-1].values()) if errors else 0.0
     if error > tolerance:
-        _warn(error, max_rounds)
+        _warn(errors)
     cells, scale = hand_on.close(cells), None
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     while True:  # each round uses up another cell, or is the last
@@ -144,7 +155,7 @@ def _spread(cells: DataFrame, keep: float, tolerance: float, max_rounds: int) ->
             break
     drawn = F.col("tokens").cast("double") if keep >= 1 or scale is None else F.least(F.col("tokens").cast("double"), F.lit(scale) * F.col("w"))
     expected = float(cells.agg(F.sum(drawn)).first()[0] or 1)
-    off = _greatest(cells, drawn, want, lambda have, wanted: F.abs(have / F.lit(expected) - wanted / F.lit(total or 1.0)))
+    off = max(_gaps(cells, drawn, want, lambda have, wanted: F.abs(have / F.lit(expected) - wanted / F.lit(total or 1.0))).values())
     return cells.withColumns({"probability": drawn / F.col("tokens"), "marginal_error": F.lit(error), "draw_error": F.lit(off)})
 
 
