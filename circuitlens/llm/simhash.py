@@ -45,6 +45,8 @@ ROOM = (-1.0, 0.5, 2.0)
 STAR = 256
 #: Large anchors (two numbers each) or candidates (a digest and two numbers) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits, 64 a row, of the table that tells texts which may be candidates from others before they are shuffled (16 MB at most).
+SLOTS = 1 << 26
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -376,6 +378,18 @@ def _verified(leads: DataFrame, members: DataFrame, similarity: float) -> DataFr
     return grouped.mapInArrow(_verify(similarity), "a bigint, b bigint")
 
 
+def _maybe_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose digest may be one of ``wanted``: all that are, and few others while these are fewer than ``SLOTS``.
+
+    The digests set bits of a table whose size is fixed, which may therefore be broadcast however many they are.
+    """
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    bits = wanted.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    marked = texts.withColumn("slot", slot).withColumn("word", F.floor(F.col("slot") / 64))
+    return marked.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "word", "bits")
+
+
 def _true_links(candidates: DataFrame, texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
     """Those links between nodes whose texts are as similar as asked, from the forest of ``candidates``.
 
@@ -384,7 +398,7 @@ def _true_links(candidates: DataFrame, texts: DataFrame, first: DataFrame, simil
     """
     groups = components(candidates)
     wanted = checkpointed(groups.join(first.select("node", "digest"), "node"))
-    met = texts.join(F.broadcast(wanted), "digest") if wanted.count() <= BROADCAST_ROWS else _salted(texts, wanted, "digest", F.col("salt"))
+    met = texts.join(F.broadcast(wanted), "digest") if wanted.count() <= BROADCAST_ROWS else _salted(_maybe_wanted(texts, wanted), wanted, "digest", F.col("salt"))
     named = met.groupBy("node").agg(F.first("component").alias("hub"), F.first("text").alias("text"))
     named = checkpointed(named)
     star = checkpointed(_verified(named.where("node = hub").select("hub", "text"), named.where("node <> hub"), similarity))
