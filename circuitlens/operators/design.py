@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from math import exp
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from circuitlens.functions.digests import digits, equal_digits, heads, padded
 from circuitlens.functions.draws import index, uniform
 
 #: Ranges of the eight sampled quantities, by name.
@@ -122,21 +125,75 @@ def batch_bootstrap(df: DataFrame, by: str, value: str, size: int, n: int, cutof
     return batches.groupBy(by).agg(F.avg("t").alias("mean"), F.stddev_samp("t").alias("sd"), F.percentile("t", 0.5).alias("median"), F.min("t").alias("low"), F.max("t").alias("high"), F.percentile("t", 0.05).alias("q5"), F.percentile("t", 0.95).alias("q95"))
 
 
+#: Distinct values of a group that are looked up in a list, draws of one replicate that make a row, tasks that they are dealt to, draws hashed at once.
+LISTED, SPAN, TASKS, AT_ONCE = 4096, 20_000, 256, 32_768
+
+
+def _drawn(head: bytes, low: int, high: int, size: int, n: int, upto: np.ndarray) -> np.ndarray:
+    """How often each place of ``upto`` is drawn in each of ``n`` replicates by the draws ``low`` to ``high`` of ``index(seed, size, by, b, k)``."""
+    counts = np.zeros(n * len(upto), np.int64)
+    step = max(1, AT_ONCE // n)
+    for first in range(low, high + 1, step):
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for ks in equal_digits(first, min(first + step - 1, high)):
+            for bs in equal_digits(1, n):
+                parts = [np.broadcast_to(np.frombuffer(head, np.uint8), (len(bs), len(ks), len(head))), digits(bs)[:, None, :].repeat(len(ks), 1), np.full((len(bs), len(ks), 1), ord("|"), np.uint8), np.broadcast_to(digits(ks), (len(bs), len(ks), len(str(ks[0]))))]
+                texts = np.concatenate(parts, axis=2)
+                rows = padded(texts.reshape(-1, texts.shape[2]))
+                found.setdefault(rows.shape[1], []).append((rows, (bs - 1).repeat(len(ks))))
+        for pieces in found.values():
+            place = np.floor(heads(np.concatenate([rows for rows, _ in pieces])) / 4294967296.0 * size).astype(np.int64)
+            counts += np.bincount(np.concatenate([b for _, b in pieces]) * len(upto) + np.searchsorted(upto, place, "right"), minlength=len(counts))
+    return counts.reshape(n, len(upto))
+
+
+def _replicates(n: int, seed: str):
+    def replicates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rest = batch.column(0), batch.drop_columns([batch.schema.names[0]]).to_pylist()
+            for at, row in enumerate(rest):
+                values = np.array(row["values"])
+                counts = _drawn(f"{seed}|{row['key']}|".encode(), row["low"], row["high"], row["n"], n, np.cumsum(row["counts"]))
+                totals = np.where(counts > 0, counts * np.where(counts > 0, values, 0.0), 0.0).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array([at] * n)), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(totals), pa.array(np.full(n, row["n"], np.int64))], names=[batch.schema.names[0], "b", "total", "n"])
+
+    return replicates
+
+
+def _numbers(first: Column, last: Column) -> Column:
+    """Whole numbers in two steps, so that no row holds all: an array of the starts of spans, to be exploded and filled up by ``_span``."""
+    return F.explode(F.sequence(first, last, F.lit(SPAN).cast("bigint")))
+
+
+def _span(start: str, last: Column) -> Column:
+    return F.explode(F.sequence(F.col(start), F.least(F.col(start) + SPAN - 1, last)))
+
+
 def bootstrap_ci(df: DataFrame, by: str, value: str, level: float, n: int, seed: str) -> DataFrame:
     """Interval of a group's mean over ``n`` bootstrap replicates.
 
     Draws are over the distinct values of a group, weighted by how often they
     occur: a draw is a place among the group's rows in order of value, found
-    by the running counts, so copies of a value aren't moved.
+    by the running counts. A group of up to ``LISTED`` distinct values carries them as
+    a list, and the draws of a span are made and looked up in the task, so that
+    no draw is a row. In other groups draws meet the places of the values in a join.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value))).withColumn("from", F.col("upto") - F.col("c"))
-    sizes = counts.groupBy(by).agg(F.sum("c").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    counts = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    sizes = counts.groupBy(by).agg(F.sum("c").alias("n"), F.count("*").alias("d"))
+
+    listed = counts.join(sizes.where(F.col("d") <= LISTED), by).groupBy(by, "n").agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), "c"))).alias("l"))
+    spans = listed.withColumn("low", _numbers(F.lit(1).cast("bigint"), F.col("n"))).withColumn("high", F.least(F.col("low") + SPAN - 1, F.col("n"))).repartition(TASKS, by, "low")
+    rows = spans.select(by, F.col(by).cast("string").alias("key"), "n", "low", "high", F.transform("l", lambda x: x["v"]).alias("values"), F.transform("l", lambda x: x["c"]).alias("counts"))
+    totals = rows.mapInArrow(_replicates(n, seed), T.StructType([df.schema[by], T.StructField("b", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())]))
+    means = totals.groupBy(by, "b").agg((F.sum("total") / F.max("n")).alias("m"))
+
+    many = counts.join(sizes.where(F.col("d") > LISTED).select(by, "n"), by)
+    upto = many.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value))).withColumn("from", F.col("upto") - F.col("c"))
+    draws = sizes.where(F.col("d") > LISTED).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("low", _numbers(F.lit(1).cast("bigint"), F.col("n"))).withColumn("k", _span("low", F.col("n")))
     draws = draws.select(by, "b", index(seed, F.col("n"), by, "b", "k").alias("i"))
-    places = upto.select(by, value, F.explode(F.sequence("from", F.col("upto") - 1)).alias("i"))
-    means = draws.join(places, [by, "i"]).groupBy(by, "b").agg(F.avg(value).alias("m"))
-    return means.groupBy(by).agg(F.percentile("m", (1 - level) / 2).alias("ci_low"), F.percentile("m", (1 + level) / 2).alias("ci_high"))
+    places = upto.withColumn("low", _numbers(F.col("from"), F.col("upto") - 1)).select(by, F.col(value).cast("double").alias("v"), _span("low", F.col("upto") - 1).alias("i"))
+    joined = draws.join(places, [by, "i"]).groupBy(by, "b").agg(F.avg("v").alias("m"))
+    return means.unionByName(joined).groupBy(by).agg(F.percentile("m", (1 - level) / 2).alias("ci_low"), F.percentile("m", (1 + level) / 2).alias("ci_high"))
 
 
 def knockdown_design(params: DataFrame, components: str, coefficients: Sequence[float], rates: Sequence[str]) -> DataFrame:

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from circuitlens.functions import tails
-from circuitlens.operators import distributions as P, graphs as N, motifs as M, outcomes as O, resampling as B, scan, search as W
+from circuitlens.functions.digests import heads, padded
+from circuitlens.operators import design as D, distributions as P, graphs as N, motifs as M, outcomes as O, resampling as B, scan, search as W
 
 
 def plain_u(x, y):
@@ -259,3 +260,29 @@ def test_p_values_of_patterns_no_longer_leave_the_engine(spark):
     df = M.with_p_values(spark.createDataFrame([(0.0,), (3.84,), (80.0,)], "chi2 double"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     assert np.allclose([r.pvalue for r in df.orderBy("chi2").collect()], [1.0, math.erfc(math.sqrt(1.92)), math.erfc(math.sqrt(40.0))])
+
+
+def test_heads_are_those_of_md5():
+    for head in (b"", b"s|7|", b"x" * 51, b"y" * 130):  # up to three blocks, and lengths at which the padding takes another
+        texts = [np.frombuffer(head + str(k).encode(), np.uint8) for k in range(100, 160)]
+        assert heads(padded(np.array(texts))).tolist() == [int(hashlib.md5(t.tobytes()).hexdigest()[:8], 16) for t in texts]
+
+
+def test_bootstrap_interval_makes_no_row_of_a_draw(spark, monkeypatch):
+    rows = [("g" * 50, float(v % 7)) for v in range(1200)] + [("h", 0.1 * v) for v in range(30)] + [("one", 4.0), ("h", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    monkeypatch.setattr(D, "SPAN", 500)
+    found = {r.g: (r.ci_low, r.ci_high) for r in D.bootstrap_ci(df, "g", "v", 0.9, 20, "s").collect()}
+    plan = D.bootstrap_ci(df, "g", "v", 0.9, 20, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    monkeypatch.setattr(D, "LISTED", 10)  # the group of 30 values goes the other way
+    again = {r.g: (r.ci_low, r.ci_high) for r in D.bootstrap_ci(df, "g", "v", 0.9, 20, "s").collect()}
+    assert set(found) == set(again) == {"g" * 50, "h", "one"} and found["one"] == (4.0, 4.0)
+    for g in found:
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        means = []
+        for b in range(1, 21):
+            us = [int(hashlib.md5(f"s|{g}|{b}|{k}".encode()).hexdigest()[:8], 16) / 2**32 for k in range(1, len(values) + 1)]
+            means.append(np.mean([values[int(u * len(values))] for u in us]))
+        want = np.percentile(means, [5, 95])
+        assert np.allclose(found[g], want, rtol=0, atol=1e-9) and np.allclose(again[g], want, rtol=0, atol=1e-9)
