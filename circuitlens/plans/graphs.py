@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from circuitlens.functions import genotype as G
 from circuitlens.operators import graphs as N, search as W
 from circuitlens.plans import views as V
+from circuitlens.sources.shared import cut
 
 QUERIES, ORACLES = {}, {}
 r6 = lambda c: F.round(c, 6)
@@ -163,7 +164,7 @@ def cluster_circuits(spark, d):
     ixns = G.interactions(F.col("state"))
     sign = lambda c: F.when(F.array_contains(ixns, c + "a"), 1.0).when(F.array_contains(ixns, c + "i"), -1.0).otherwise(0.0)
     canonical = V.q_table(spark, d).groupBy(G.canonical(F.col("state")).alias("state")).agg(F.sum("visits").alias("visits"))
-    rows = canonical.select("state", "visits", array_to_vector(F.array(*[sign(c) for c in CELLS])).alias("features"))
+    rows = cut(canonical).select("state", "visits", array_to_vector(F.array(*[sign(c) for c in CELLS])).alias("features"))  # the fit and its use read the circuits, not the lines
     model = BisectingKMeans(k=6, seed=7).fit(rows)
     return model.transform(rows).select("state", "visits", "prediction")
 

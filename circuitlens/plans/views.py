@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from circuitlens.functions import genotype as G
 
@@ -95,18 +95,36 @@ def runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common(spark, sf_dir, "runtime")
 
 
-def circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+CELLS = [a + b for a in "ABC" for b in "ABC"]
+
+
+def coded_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circuits as (circuit_id, code, success): a bit for each pair of components that interacts, and one for each that activates.
+
+    So an order's lines are one number wherever they are added up, and names are made of numbers once they are few.
+    """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    xy = F.concat(F.substring(F.lit("ABC"), (F.col("l_linenumber") % 3 + 1).cast("int"), F.lit(1)), F.substring(F.lit("ABC"), (F.col("l_suppkey") % 3 + 1).cast("int"), F.lit(1)))
-    ixns = lines.groupBy("l_orderkey", xy.alias("xy")).agg(F.min(F.when(F.col("l_linestatus") == "F", "a").otherwise("i")).alias("z"))
-    built = ixns.groupBy(F.col("l_orderkey").alias("circuit_id")).agg(F.collect_list(F.concat("xy", "z")).alias("ixns"))
-    named = built.select("circuit_id", G.genotype(F.lit("ABC"), F.col("ixns")).alias("state"))
-    return named.join(orders.select(F.col("o_orderkey").alias("circuit_id"), (F.col("o_orderstatus") == "F").alias("success")), "circuit_id")
+    cell = F.pmod(F.col("l_linenumber"), F.lit(3)) * 3 + F.pmod(F.col("l_suppkey"), F.lit(3))
+    marked = lines.select(F.col("l_orderkey").alias("circuit_id"), cell.cast("int").alias("cell"), (F.col("l_linestatus") == "F").alias("active"))
+    bits = marked.select("circuit_id", F.expr(f"shiftleft(CASE WHEN active THEN {1 + 2 ** len(CELLS)} ELSE 1 END, cell)").alias("bits"))
+    coded = bits.groupBy("circuit_id").agg(F.coalesce(F.bit_or("bits"), F.lit(0)).alias("code"))
+    return coded.join(orders.select(F.col("o_orderkey").alias("circuit_id"), (F.col("o_orderstatus") == "F").alias("success")), "circuit_id")
+
+
+def decoded(code: Column) -> Column:
+    """The genotype of a circuit's number."""
+    seen = lambda bit: code.bitwiseAND(F.lit(1 << bit)) != 0
+    ixns = [F.when(seen(k + len(CELLS)), c + "a").when(seen(k), c + "i") for k, c in enumerate(CELLS)]
+    return F.concat(F.lit("*ABC::"), F.concat_ws("_", *ixns))
+
+
+def circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_circuits(spark, sf_dir).select("circuit_id", decoded(F.col("code")).alias("state"), "success")
 
 
 def q_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = circuits(spark, sf_dir).groupBy("state").agg(F.count("*").alias("visits"), F.count_if("success").alias("reward"))
-    return found.withColumn("q", F.col("reward") / F.col("visits"))
+    found = coded_circuits(spark, sf_dir).groupBy("code").agg(F.count("*").alias("visits"), F.count_if("success").alias("reward"))
+    return found.select(decoded(F.col("code")).alias("state"), "visits", "reward", (F.col("reward") / F.col("visits")).alias("q"))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

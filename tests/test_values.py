@@ -228,3 +228,11 @@ def test_hexagons_hold_the_points_nearest_to_their_centres(spark):
     for r in rows:
         sums[r.i, r.j] += r.w
     assert all(math.isclose(v, 1.0) for v in sums.values())
+
+
+def test_circuits_are_added_up_as_numbers_and_read_once_for_clusters(spark, monkeypatch):
+    wanted = spark.sql("SELECT explode(array(0, 1, 513, 256, 131328, 131841)) AS code").select("code", V.decoded(F.col("code")).alias("state")).collect()
+    assert {r.code: r.state for r in wanted} == {0: "*ABC::", 1: "*ABC::AAi", 513: "*ABC::AAa", 256: "*ABC::CCi", 131328: "*ABC::CCa", 131841: "*ABC::AAa_CCa"}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan(V.q_table(spark, FOLDER)) and "lineitem" in "".join(V.q_table(spark, FOLDER).inputFiles())
+    assert catalog.queries()["cluster_circuits"](spark, FOLDER).inputFiles() == []  # from the checkpoint
