@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -60,37 +60,75 @@ def sequential_search(q_table: DataFrame, steps: int, save_every: int, seed: str
     return out.withColumn("q", F.when(F.col("visits") > 0, F.col("reward") / F.col("visits")).otherwise(0.0))
 
 
+#: Distinct values of a group that one task adds up (a larger group is dealt out in pieces), tasks that pieces and groups are dealt to, rows put out at once.
+PIECE, TASKS, HELD = 4096, 256, 256
+
+
+def _added(batches: Iterable[pa.RecordBatch], add: Callable[[str, dict], np.ndarray]) -> Iterator[tuple[str, np.ndarray]]:
+    """Sums over the rows of each key, which stand together: one key is held at a time."""
+    key, held = None, None
+    for batch in batches:
+        for slice_at in range(0, batch.num_rows, HELD):
+            for row in batch.slice(slice_at, HELD).to_pylist():
+                if row["key"] != key and held is not None:
+                    yield key, held
+                    held = None
+                more = add(row["key"], row)
+                key, held = row["key"], more if held is None else held + more
+    if held is not None:
+        yield key, held
+
+
+def _packed(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
 def _weighted(n: int, seed: str):
+    schema = pa.schema([("key", pa.string()), ("totals", pa.list_(pa.float64())), ("weights", pa.list_(pa.float64()))])
+
+    def add(key: str, row: dict) -> np.ndarray:
+        draws = np.random.Generator(np.random.Philox(key=int(hashlib.md5(f"{seed}|{key}|{row['value']!r}".encode()).hexdigest(), 16)))
+        weights = draws.poisson(row["copies"], n)
+        return np.array([weights * row["value"], weights])
+
     def weighted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for key, value, copies in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), batch.column("copies").to_pylist()):
-                draws = np.random.Generator(np.random.Philox(key=int(hashlib.md5(f"{seed}|{key}|{value!r}".encode()).hexdigest(), 16)))
-                weights = draws.poisson(copies, n)
-                held = sums.setdefault(key, np.zeros((2, n)))
-                held[0] += weights * value
-                held[1] += weights
-                if len(sums) * n > 4_000_000:
-                    yield packed(sums)
-        if sums:
-            yield packed(sums)
-
-    def packed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
-        keys = np.repeat(np.arange(len(sums)), n)
-        both = np.concatenate(list(sums.values()), axis=1)
-        out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()).take(pa.array(keys)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(sums))), pa.array(both[0]), pa.array(both[1])], names=["key", "b", "total", "weight"])
-        sums.clear()
-        return out
+        return _packed(((key, *both) for key, both in _added(batches, add)), schema)
 
     return weighted
 
 
+def _ends(level: float):
+    schema = pa.schema([("key", pa.string()), ("ci_low", pa.float64()), ("ci_high", pa.float64()), ("se", pa.float64())])
+
+    def end(key: str, both: np.ndarray) -> tuple:
+        means = np.sort(both[0][both[1] > 0] / both[1][both[1] > 0])
+        if not len(means):
+            return key, None, None, None
+        places = np.array([(1 - level) / 2, (1 + level) / 2]) * (len(means) - 1)
+        low, high = np.floor(places).astype(int), np.ceil(places).astype(int)
+        cut = np.where(low == high, means[low], (high - places) * means[low] + (places - low) * means[high])
+        return key, float(cut[0]), float(cut[1]), float(np.std(means, ddof=1)) if len(means) > 1 else None
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed((end(key, both) for key, both in _added(batches, lambda _, row: np.array([row["totals"], row["weights"]]))), schema)
+
+    return ends
+
+
 def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, level: float = 0.95, n: int = 200, seed: str = "boot") -> DataFrame:
     """Mean of each group with its bootstrap interval and standard error: (by, n, mean, ci_low, ci_high, se).
 
     A replicate weighs each row by a Poisson variate of mean 1, a value that
-    comes c times by one of mean c: so draws are made for each distinct value and replicate, and
-    add up over tasks whatever the group's size. Weights are a function of
+    comes c times by one of mean c: so draws are made for each distinct value and replicate.
+    A group's values come in order and are added up one by one, those of a group of more than
+    ``PIECE`` in pieces, so a task holds the replicates of one group. Weights are a function of
     seed, group and value. Replicates without weight are left out (a group of one row has 37 % of
     them). Null and NaN values don't count; groups without any other are left out. Null keys are a group.
     """
@@ -98,9 +136,10 @@ def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, level: float =
     counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("__value")).agg(F.count("*").alias("__copies"))
     key = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(by)]), {"ignoreNullFields": "false"})
     keyed = counts.select(key.alias("key"), F.col("__value").alias("value"), F.col("__copies").alias("copies"))
-    sums = keyed.mapInArrow(_weighted(n, seed), "key string, b int, total double, weight double").groupBy("key", "b").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
-    means = sums.where("weight > 0").select("key", (F.col("total") / F.col("weight")).alias("m"))
-    ends = means.groupBy("key").agg(F.percentile("m", (1 - level) / 2).alias("ci_low"), F.percentile("m", (1 + level) / 2).alias("ci_high"), F.stddev_samp("m").alias("se"))
+    pieces = keyed.groupBy("key").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    dealt = keyed.join(pieces, "key").select("key", F.pmod(F.xxhash64("value"), "pieces").alias("piece"), "value", "copies").repartition(TASKS, "key", "piece").sortWithinPartitions("key", "piece", "value")
+    sums = dealt.select("key", "value", "copies").mapInArrow(_weighted(n, seed), "key string, totals array<double>, weights array<double>")
+    ends = sums.repartition(TASKS, "key").sortWithinPartitions("key").mapInArrow(_ends(level), "key string, ci_low double, ci_high double, se double")
     groups = counts.groupBy(*by).agg(F.sum("__copies").alias("n"), (F.sum(F.col("__value") * F.col("__copies")) / F.sum("__copies")).alias("mean")).withColumn("key", key)
     return groups.join(ends, "key", "left").select(*by, "n", "mean", "ci_low", "ci_high", "se")
 

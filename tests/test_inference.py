@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,18 @@ def test_bootstrap_interval_makes_no_row_of_a_draw(spark, monkeypatch):
             means.append(np.mean([values[int(u * len(values))] for u in us]))
         want = np.percentile(means, [5, 95])
         assert np.allclose(found[g], want, rtol=0, atol=1e-9) and np.allclose(again[g], want, rtol=0, atol=1e-9)
+
+
+def test_bootstrap_of_means_holds_one_group_at_a_time(spark, monkeypatch):
+    most = []
+    rows = (pa.RecordBatch.from_pylist([{"key": f"k{g:04}", "value": float(v), "copies": 1} for v in range(3)]) for g in range(5000))
+    for batch in B._weighted(100, "s")(rows):
+        most.append(batch.num_rows)
+        assert all(len(x) == 100 for x in batch.column("totals").to_pylist())
+    assert sum(most) == 5000 and max(most) <= B.HELD  # a row a group, put out as groups end
+    df = spark.createDataFrame([("a", float(v % 90)) for v in range(2000)] + [("b", 1.0), ("b", 2.0)], "g string, v double")
+    whole = {r.g: r for r in B.bootstrap_mean(df, ["g"], "v", 0.9, 50, "s").collect()}
+    monkeypatch.setattr(B, "PIECE", 7)
+    pieces = {r.g: r for r in B.bootstrap_mean(df, ["g"], "v", 0.9, 50, "s").collect()}
+    assert set(whole) == set(pieces) == {"a", "b"}
+    assert all(math.isclose(whole[g][c], pieces[g][c], rel_tol=1e-12) for g in whole for c in ("n", "mean", "ci_low", "ci_high", "se"))
