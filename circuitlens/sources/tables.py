@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 FILE = "_metadata.file_path"
+#: Rows that a task puts in order.
+TASK_ROWS = 500_000
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -102,5 +104,11 @@ def split_write(df: DataFrame, outputs: dict[str, Column], path: str) -> None:
 
 
 def compact_by_state(samples: DataFrame, numbers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All samples of a state in one partition, ordered, with the sample number that their parameters have."""
-    return samples.join(numbers, list(keys)).repartition("state").sortWithinPartitions("state", "sample_num")
+    """All samples of a state in one partition, ordered, with the sample number that their parameters have.
+
+    There are as many partitions as the (counted) samples ask for, ``TASK_ROWS`` each, and no fewer than shuffles have; so what a task
+    orders doesn't grow with the table. Numbers are looked up in a hash table of their partition; samples aren't ordered for that.
+    """
+    parts = max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-samples.count() // TASK_ROWS))
+    joined = samples.join(numbers.hint("shuffle_hash"), list(keys))
+    return joined.repartition(parts, "state").sortWithinPartitions("state", "sample_num")

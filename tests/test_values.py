@@ -236,3 +236,15 @@ def test_circuits_are_added_up_as_numbers_and_read_once_for_clusters(spark, monk
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan(V.q_table(spark, FOLDER)) and "lineitem" in "".join(V.q_table(spark, FOLDER).inputFiles())
     assert catalog.queries()["cluster_circuits"](spark, FOLDER).inputFiles() == []  # from the checkpoint
+
+
+def test_compacted_states_are_in_as_many_partitions_as_their_rows_ask_for(spark, monkeypatch):
+    samples = spark.createDataFrame([(f"p{k % 300}", k % 5, float(k % 3)) for k in range(3000)], "state string, param_idx int, sim_time double")
+    numbers = samples.select("param_idx", "sim_time", (F.col("param_idx") * 10 + F.col("sim_time")).cast("int").alias("sample_num")).distinct()
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    out = tables.compact_by_state(samples, numbers, ["param_idx", "sim_time"]).withColumn("at", F.spark_partition_id())
+    assert out.rdd.getNumPartitions() == 30
+    rows = out.collect()  # partition by partition
+    assert len(rows) == 3000 and all(r.sample_num == r.param_idx * 10 + r.sim_time for r in rows)
+    assert all((a.state, a.sample_num) <= (b.state, b.sample_num) for a, b in zip(rows, rows[1:]) if a.at == b.at)
+    assert max(Counter(state for state, _ in {(r.state, r.at) for r in rows}).values()) == 1
