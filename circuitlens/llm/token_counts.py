@@ -23,12 +23,13 @@ def whole_tokens(path: str) -> frozenset[str]:
 
     Proven by encoding each entry of the vocabulary once with the library; a
     pre-token equal to one of them therefore always counts one. The set is no
-    larger than the vocabulary, whatever the corpus.
+    larger than the vocabulary, whatever the corpus. Entries are encoded one by one: the
+    threads of a batch keep their memory, more of it each time.
     """
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
-    texts = [library.decode([i], skip_special_tokens=False) for i in range(library.get_vocab_size())]
-    return frozenset(t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)) if t and len(e.ids) == 1)
+    texts = (library.decode([i], skip_special_tokens=False) for i in range(library.get_vocab_size()))
+    return frozenset(t for t in texts if t and len(library.encode(t, add_special_tokens=False).ids) == 1)
 
 
 def byte_of() -> dict[str, int]:

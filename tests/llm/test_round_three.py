@@ -1,5 +1,9 @@
 """Code compression, divergence of sources and main text of pages, against plain versions."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
 import hashlib
 import html
 import math
@@ -286,3 +290,10 @@ def test_secrets_inside_nested_values():
     key = "xK9vLq2mZ8tR4wYp"
     for text in (f'password = load(default="{key}")', f'{{"secret": [{{"name": "{key}"}}]}}', f'credentials = [[{{a: [{{b: "{key}"}}]}}]]', f'opts = dict(a=[1, {{"x": 2}}], password="{key}")', f'token = (\n  first(x="a b"),\n  "{key}")', f'k = ["{key}"]\npassword = f(y=k[0])'):
         assert [text[a:b] for a, b in secrets.literals(text)] in ([key], []) and (key in [text[a:b] for a, b in secrets.literals(text)] or text.startswith("k = [")), text
+
+
+def test_proving_whole_tokens_takes_little_memory_however_often():
+    code = "import psutil, public_tokenizers\nfrom circuitlens.llm.token_counts import whole_tokens\np, path = psutil.Process(), public_tokenizers.path('byte_bpe_50k.json')\nstart = p.memory_info().rss\nfor _ in range(3):\n    assert len(whole_tokens(path)) > 40_000\nprint((p.memory_info().rss - start) / 1e6)"
+    root = Path(__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 100
