@@ -1,15 +1,15 @@
 """Code compression, divergence of sources and main text of pages, against plain versions."""
 
-import os
-import subprocess
-import sys
-from pathlib import Path
 import hashlib
 import html
 import math
+import os
 import re
+import subprocess
+import sys
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
